@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wayspan.llm.frequent import shared_values, top_values
 from wayspan.llm.packing import containers
 from wayspan.llm.pairs import cooccurrence
+from wayspan.llm.sentences import sentence_ends
 from wayspan.llm.tokens import token_ids, token_texts
 from wayspan.session import table
 
@@ -56,7 +57,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.join(kinds, "kind_id").select("kind_id", "n_containers", "n_tokens", least.alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_found, p5_top, p6_ids, p6_texts, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_ends(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_found, p5_top, p6_ids, p6_texts, p7_containers, p7_fill, p8_found)}
 
 _PAIRS = """
     WITH b AS (SELECT DISTINCT u, ts // 86400 AS day, v FROM arrival WHERE u IS NOT NULL AND ts IS NOT NULL AND v IS NOT NULL),
