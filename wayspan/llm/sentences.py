@@ -278,7 +278,7 @@ def sentence_ends(documents: DataFrame) -> DataFrame:
         "doc_id",
         "text",
         F.col("width").cast("int").alias("width"),
-        *[F.transform("boxes", lambda b, c=c: b[c].cast("int")).alias(c) for c in "xywh"],
+        *[F.col(f"boxes.{c}").cast("array<int>").alias(c) for c in "xywh"],
     )
     return flat.mapInArrow(_run, "doc_id bigint, end_pos bigint")
 
