@@ -7,6 +7,7 @@ where no number is given. Border sets are kept as sets, never as hashes.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -69,7 +70,7 @@ def least_fragments(slot: DataFrame, edge: DataFrame, most: int = 1024) -> int:
     return low
 
 
-_KERNEL = "frag bigint, row string, v bigint, slot_start bigint, class bigint, n bigint, members array<struct<v:bigint,slot_start:bigint>>"
+_KERNEL = "frag bigint, row string, v bigint, slot_start bigint, class bigint, n bigint, bits binary"
 
 
 def _pieces(frag: DataFrame, edge: DataFrame) -> DataFrame:
@@ -103,23 +104,13 @@ def _closure(pdf: pd.DataFrame):
     return nodes, children, list(ghosts), out, entries
 
 
-def _members(bits: int, names: list) -> list[dict]:
-    found, k = [], 0
-    while bits:
-        low = (bits & -bits).bit_length() - 1
-        k += low
-        found.append({"v": names[k][1], "slot_start": names[k][0]})
-        bits >>= low + 1
-        k += 1
-    return found
-
-
 def classes(frag: DataFrame, edge: DataFrame) -> DataFrame:
     """Classes of slots of one fragment that lead to, or come from, the same border slots.
 
     Rows: row = out and in for each slot (class is its class within the fragment and side, n the
-    size of its border set, members null); row = out_class and in_class for each class with its
-    members, v and slot_start null. Class 0 is the empty set.
+    size of its border set, bits null); row = out_class and in_class for each class that isn't empty,
+    with its set as bits, v and slot_start null; row = ghost and entry for the border slots of later
+    fragments and of this one, class being the bit they have. Class 0 is the empty set.
     """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,15 +125,16 @@ def classes(frag: DataFrame, edge: DataFrame) -> DataFrame:
         for i in range(len(nodes) - 1, -1, -1):
             for j in children[i]:
                 out[i] |= out[j]
-        rows = []
-        for side, bits, names in (("out", out, ghosts), ("in", back, [nodes[i] for i in entries])):
+        rows = [(here, "ghost", v, t, k, None, None) for k, (t, v) in enumerate(ghosts)]
+        rows += [(here, "entry", nodes[i][1], nodes[i][0], k, None, None) for k, i in enumerate(entries)]
+        for side, bits, width in (("out", out, len(ghosts)), ("in", back, len(entries))):
             number = {0: 0}
             for (t, v), b in zip(nodes, bits):
                 c = number.setdefault(b, len(number))
                 rows.append((here, side, v, t, c, b.bit_count(), None))
-            rows += [(here, f"{side}_class", None, None, c, b.bit_count(), _members(b, names)) for b, c in number.items() if b]
-        frame = pd.DataFrame(rows, columns=["frag", "row", "v", "slot_start", "class", "n", "members"])
-        return frame.astype({"v": "Int64", "slot_start": "Int64"})
+            rows += [(here, f"{side}_class", None, None, c, b.bit_count(), b.to_bytes(-(-width // 8), "little")) for b, c in number.items() if b]
+        frame = pd.DataFrame(rows, columns=["frag", "row", "v", "slot_start", "class", "n", "bits"])
+        return frame.astype({"v": "Int64", "slot_start": "Int64", "class": "Int64", "n": "Int64"})
 
     return _pieces(frag, edge).groupBy("frag").applyInPandas(kernel, _KERNEL)
 
@@ -220,12 +212,38 @@ def labels_meet(lout: str, lin: str):
     return F.exists(lout, lambda x: F.exists(lin, lambda y: (x["rank"] == y["rank"]) & (x["at"] <= y["at"])))
 
 
+def _local_hits(pairs: DataFrame, frag: DataFrame, edge: DataFrame) -> DataFrame:
+    """qid of the pairs (qid, f, src_v, src_start, dst_v, dst_start) that reach within their fragment f; one walk for each source."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, children, _, _, _ = _closure(pdf)
+        at = {x: i for i, x in enumerate(nodes)}
+        asks = pdf[pdf["row"] == "ask"]
+        by: dict[int, list] = {}
+        for q, av, t, bv, bt in zip(asks["qid"], asks["a_v"], asks["a_t"], asks["b_v"].astype("int64"), asks["b_t"].astype("int64")):
+            by.setdefault(at[(t, av)], []).append((at[(bt, bv)], q))
+        yes = []
+        for start, goals in by.items():
+            last, seen, stack = max(g for g, _ in goals), {start}, [start]
+            while stack:
+                for j in children[stack.pop()]:
+                    if j <= last and j not in seen:
+                        seen.add(j)
+                        stack.append(j)
+            yes += [int(q) for g, q in goals if g in seen]
+        return pd.DataFrame({"qid": yes}, dtype="int64")
+
+    asks = pairs.select("qid", F.col("f").alias("frag"), F.lit("ask").alias("row"), F.col("src_v").alias("a_v"), F.col("src_start").alias("a_t"), F.col("dst_v").alias("b_v"), F.col("dst_start").alias("b_t"))
+    rows = _pieces(frag, edge).join(asks.select("frag").distinct(), "frag", "left_semi").withColumn("qid", F.lit(None).cast("bigint"))
+    return rows.unionByName(asks).groupBy("frag").applyInPandas(kernel, "qid bigint")
+
+
 def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: DataFrame) -> DataFrame:
     """qid of the pairs of ends (qid, src_v, src_start, dst_v, dst_start) that reach, through fragments and classes.
 
-    found is the result of classes(). Within a fragment: a walk over its edges. Between fragments:
-    from the out-borders of the source, border to border by out-classes, to an in-border of the target.
-    Each step leads to a later fragment.
+    found is the result of classes(). Within a fragment: a walk by its kernel. Between fragments:
+    from the out-class of the source, border to border, to the in-class of the target. Cut edges lead
+    to later fragments, so one pass over the fragments in order is enough; each is a job of its own.
     """
     where = frag.select("v", "slot_start", "frag")
     rows = cut(
@@ -233,31 +251,78 @@ def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: D
         .join(where.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), F.col("frag").alias("g")), ["dst_v", "dst_start"])
         .select("qid", "src_v", "src_start", "dst_v", "dst_start", "f", "g")
     )
-    # within one fragment
-    same = rows.where("f = g")
-    inner = edge.where("src_frag = dst_frag").select("src_v", "src_start", "dst_v", "dst_start")
-    seen = fresh = cut(same.select("qid", F.col("src_v").alias("v"), F.col("src_start").alias("slot_start")).distinct())
-    until = same.select("qid", F.col("dst_start").alias("until"))
-    while not fresh.isEmpty():
-        step = fresh.join(inner, (fresh["v"] == inner["src_v"]) & (fresh["slot_start"] == inner["src_start"])).select("qid", F.col("dst_v").alias("v"), F.col("dst_start").alias("slot_start"))
-        step = step.join(until, "qid").where("slot_start <= until").drop("until").distinct()
-        fresh = cut(step.join(seen, ["qid", "v", "slot_start"], "left_anti"))
-        seen = cut(seen.unionByName(fresh))
-    local = same.join(seen, (same["qid"] == seen["qid"]) & (same["dst_v"] == seen["v"]) & (same["dst_start"] == seen["slot_start"])).select(same["qid"])
-    # from fragment to fragment
-    of = found.where("row = 'out' AND class > 0").select("frag", "v", "slot_start", "class")
-    sets = found.where("row = 'out_class'").select("frag", "class", F.explode("members").alias("m")).select("frag", "class", F.col("m.v").alias("to_v"), F.col("m.slot_start").alias("to_start"))
-    leads = cut(of.join(borders(edge).select("v", "slot_start"), ["v", "slot_start"]).join(sets, ["frag", "class"]).select("v", "slot_start", "to_v", "to_start").distinct())
+    local = _local_hits(rows.where("f = g"), frag, edge)
     far = rows.where("f < g")
-    start = far.select("qid", F.col("src_v").alias("v"), F.col("src_start").alias("slot_start"), F.col("dst_start").alias("until"))
-    start = start.join(of, ["v", "slot_start"]).join(sets, ["frag", "class"]).where("to_start <= until")
-    seen = fresh = cut(start.select("qid", F.col("to_v").alias("v"), F.col("to_start").alias("slot_start"), "until").distinct())
-    while not fresh.isEmpty():
-        step = fresh.join(leads, ["v", "slot_start"]).where("to_start <= until").select("qid", F.col("to_v").alias("v"), F.col("to_start").alias("slot_start"), "until").distinct()
-        fresh = cut(step.join(seen, ["qid", "v", "slot_start"], "left_anti"))
-        seen = cut(seen.unionByName(fresh))
-    into = found.where("row = 'in' AND class > 0").select("frag", F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), "class")
-    inset = found.where("row = 'in_class'").select("frag", "class", F.explode("members").alias("m")).select("frag", "class", F.col("m.v").alias("v"), F.col("m.slot_start").alias("slot_start"))
-    goal = far.select("qid", "dst_v", "dst_start").join(into, ["dst_v", "dst_start"]).join(inset, ["frag", "class"])
-    between = seen.join(goal, ["qid", "v", "slot_start"]).select("qid")
-    return local.unionByName(between).distinct()
+    of = found.where("row IN ('out', 'in') AND class > 0").select("row", "frag", "v", "slot_start", "class")
+    sets = found.where("row IN ('out_class', 'in_class')").select(F.regexp_replace("row", "_class", "").alias("row"), "frag", "class", "bits")
+    has = cut(of.join(sets, ["row", "frag", "class"]).select("row", "frag", "v", "slot_start", "bits"))
+    empty = F.lit(None).cast("bigint")
+    begin = far.join(has.where("row = 'out'"), (F.col("f") == F.col("frag")) & (F.col("src_v") == F.col("v")) & (F.col("src_start") == F.col("slot_start")))
+    begin = begin.select("frag", F.lit("begin").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits")
+    goal = far.join(has.where("row = 'in'"), (F.col("g") == F.col("frag")) & (F.col("dst_v") == F.col("v")) & (F.col("dst_start") == F.col("slot_start")))
+    goal = goal.select("frag", F.lit("goal").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits")
+    entry = found.where("row = 'entry'").select("frag", "v", "slot_start", F.col("class").alias("k"))
+    lead = entry.join(has.where("row = 'out'"), ["frag", "v", "slot_start"]).select("frag", F.lit("lead").alias("row"), empty.alias("qid"), "k", empty.alias("to_frag"), "bits")
+    ghost = found.where("row = 'ghost'").select("frag", "v", "slot_start", F.col("class").alias("k"))
+    ghost = ghost.join(entry.select(F.col("frag").alias("to_frag"), "v", "slot_start", F.col("k").alias("to_k")), ["v", "slot_start"])
+    ghost = ghost.select("frag", F.lit("ghost").alias("row"), F.col("to_k").alias("qid"), "k", "to_frag", F.lit(None).cast("binary").alias("bits"))
+    fixed = cut(begin.unionByName(goal).unionByName(lead).unionByName(ghost))
+    states, hits = [], []
+    for f in range((frag.agg(F.max("frag")).first()[0] or 0) + 1):
+        come = [s.where(F.col("to_frag") == f).select(F.lit(f).cast("bigint").alias("frag"), F.lit("come").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits") for s in states]
+        here = fixed.where(F.col("frag") == f)
+        for c in come:
+            here = here.unionByName(c)
+        states.append(cut(here.groupBy("frag").applyInPandas(_hop, "qid bigint, to_frag bigint, bits binary")))
+        hits.append(states[-1].where("to_frag = -1").select("qid"))
+    for h in hits:
+        local = local.unionByName(h)
+    return local.distinct()
+
+
+def _bits(rows: list, width: int) -> np.ndarray:
+    """Bit strings as a matrix; shorter ones are filled up."""
+    out = np.zeros((len(rows), width), bool)
+    for k, r in enumerate(rows):
+        b = np.unpackbits(np.frombuffer(r, np.uint8), bitorder="little")[:width]
+        out[k, : len(b)] = b
+    return out
+
+
+def _hop(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the queries that have come to a fragment, or begin there, reach: entries of later fragments, or their goal (to_frag -1)."""
+    by = {k: g for k, g in pdf.groupby("row")}
+    ghost = by.get("ghost", pdf.iloc[:0])
+    n_ghosts = int(ghost["k"].max()) + 1 if len(ghost) else 0
+    n_entries = 1 + max([int(by["lead"]["k"].max()) if "lead" in by else -1, *(8 * len(b) - 1 for r in ("goal", "come") if r in by for b in by[r]["bits"])])
+    place: dict[int, int] = {}
+    rows = []
+    at = np.zeros((0, n_entries), bool)
+    if "come" in by:
+        come = by["come"]
+        for q in come["qid"]:
+            place.setdefault(int(q), len(place))
+        at = np.zeros((len(place), n_entries), bool)
+        np.logical_or.at(at, [place[int(q)] for q in come["qid"]], _bits(come["bits"].tolist(), n_entries))
+        if "goal" in by:
+            goal = by["goal"]
+            for q, b in zip(goal["qid"], _bits(goal["bits"].tolist(), n_entries)):
+                if int(q) in place and (at[place[int(q)]] & b).any():
+                    rows.append((int(q), -1, b""))
+    if n_ghosts:
+        out = np.zeros((len(place), n_ghosts), bool)
+        if "lead" in by and len(place):
+            lead = by["lead"]
+            table = np.zeros((n_entries, n_ghosts), bool)
+            table[lead["k"].astype("int64").to_numpy()] = _bits(lead["bits"].tolist(), n_ghosts)
+            out = at.astype(np.float32) @ table.astype(np.float32) > 0
+        ids = list(place)
+        if "begin" in by:
+            ids += [int(q) for q in by["begin"]["qid"]]
+            out = np.concatenate([out, _bits(by["begin"]["bits"].tolist(), n_ghosts)])
+        for to, g in ghost.groupby("to_frag"):
+            there = np.zeros((len(ids), int(g["qid"].max()) + 1), bool)
+            there[:, g["qid"].astype("int64").to_numpy()] = out[:, g["k"].astype("int64").to_numpy()]
+            packed = np.packbits(there, axis=1, bitorder="little")
+            rows += [(q, int(to), packed[k].tobytes()) for k, q in enumerate(ids) if there[k].any()]
+    return pd.DataFrame(rows, columns=["qid", "to_frag", "bits"])

@@ -7,16 +7,23 @@ so a lost executor costs at most a round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayspan.operators.blocks import by_cells
-from wayspan.session import cut
+from wayspan.session import BROADCAST_ROWS, cut
 
 DAY = 86_400
 #: Rounds after which a fixpoint is taken to be broken; each round is a change of place, of which a path has few.
 MOST_ROUNDS = 500
 
 
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """df cut, with a broadcast hint if its rows, which are counted from the files' footers, are few; and their number."""
+    df = cut(df)
+    n = df.count()
+    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
+
+
 def clean_queries(queries: DataFrame) -> DataFrame:
     """Distinct queries that can be true: no null, q_start <= q_end."""
     rows = queries.select(*[F.col(c).cast("bigint") for c in ("qid", "u", "w", "q_start", "q_end")]).dropna().where("q_start <= q_end")
@@ -55,27 +62,26 @@ def spread(seeds: DataFrame, visits: DataFrame, bound: DataFrame | None = None)
     starts at or after it leads to the later visits of its run.
     """
     state = cut(seeds.groupBy("qid", "v", "c_start").agg(F.min("at").alias("at")))
-    fresh, left = state, None
+    fresh, n = _sized(state)
+    left = None
     rows = cut(visits.select("u", "run", "v", "c_start", "ts", "last_start"))
     for _ in range(MOST_ROUNDS):
         caught = fresh.join(rows, ["v", "c_start"]).where("last_start >= at")
         if bound is not None:
             caught = caught.join(bound, "qid").where("ts <= until").drop("until")
         caught = caught.groupBy("qid", "u", "run").agg(F.min("ts").alias("ts0"))
-        if left is None:
-            better = caught
-        else:
-            better = caught.join(left.withColumnRenamed("ts0", "_had"), ["qid", "u", "run"], "left").where("_had IS NULL OR ts0 < _had").drop("_had")
-        better = cut(better)
-        if better.isEmpty():
+        if left is not None:
+            caught = caught.join(left.withColumnRenamed("ts0", "_had"), ["qid", "u", "run"], "left").where("_had IS NULL OR ts0 < _had").drop("_had")
+        better, n = _sized(caught)
+        if not n:
             return state
         left = better if left is None else cut(left.unionByName(better).groupBy("qid", "u", "run").agg(F.min("ts0").alias("ts0")))
         went = better.join(rows, ["u", "run"]).where("ts > ts0")
         if bound is not None:
             went = went.join(bound, "qid").where("ts <= until")
         went = went.groupBy("qid", "v", "c_start").agg(F.min("ts").alias("at"))
-        fresh = cut(went.join(state.withColumnRenamed("at", "_had"), ["qid", "v", "c_start"], "left").where("_had IS NULL OR at < _had").drop("_had"))
-        if fresh.isEmpty():
+        fresh, n = _sized(went.join(state.withColumnRenamed("at", "_had"), ["qid", "v", "c_start"], "left").where("_had IS NULL OR at < _had").drop("_had"))
+        if not n:
             return state
         state = cut(state.unionByName(fresh).groupBy("qid", "v", "c_start").agg(F.min("at").alias("at")))
     raise RuntimeError("no fixpoint was reached")
@@ -99,11 +105,12 @@ def reachable(queries: DataFrame, visits: DataFrame, ends: DataFrame) -> DataFra
 def _improve(state: DataFrame, step, keys: list[str], value: str, better: Column, least: bool) -> DataFrame:
     """Label correcting: state and what step() makes of its last improvements, until none is left."""
     agg = F.min if least else F.max
-    state = fresh = cut(state.groupBy(*keys).agg(agg(value).alias(value)))
+    state = cut(state.groupBy(*keys).agg(agg(value).alias(value)))
+    fresh, n = _sized(state)
     for _ in range(MOST_ROUNDS):
         made = step(fresh).groupBy(*keys).agg(agg(value).alias(value))
-        fresh = cut(made.join(state.withColumnRenamed(value, "_had"), keys, "left").where(F.col("_had").isNull() | better).drop("_had"))
-        if fresh.isEmpty():
+        fresh, n = _sized(made.join(state.withColumnRenamed(value, "_had"), keys, "left").where(F.col("_had").isNull() | better).drop("_had"))
+        if not n:
             return state
         state = cut(state.unionByName(fresh).groupBy(*keys).agg(agg(value).alias(value)))
     raise RuntimeError("no fixpoint was reached")
@@ -131,16 +138,32 @@ def earliest_arrival(sources: DataFrame, edges: DataFrame) -> DataFrame:
 def fastest(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Least time of passage of each query to each other vertex it reaches: qid, vertex, seconds.
 
-    For each departure of an edge of the source in [t_start, t_end] the earliest arrivals are found;
-    the least arrival - departure counts. Input as for earliest_arrival.
+    A passage leaves with an edge of the source that departs in [t_start, t_end], and arrives by
+    t_end; the least arrival - departure counts. Labels are pairs of departure and arrival; of those
+    at one vertex only such are kept as no other leaves later and arrives no later. Input as for
+    earliest_arrival.
     """
-    edge = edges.select("src", "dst", "depart", "duration").dropna().where("duration >= 0")
-    ask = sources.select("qid", "source", "t_start", "t_end").dropna().where("t_start <= t_end").distinct()
-    leave = ask.join(edge.select(F.col("src").alias("source"), F.col("depart").alias("leave")).distinct(), "source").where("leave BETWEEN t_start AND t_end")
-    leave = cut(leave.withColumn("run", F.struct("qid", "leave")))
-    runs = leave.select(F.col("run").alias("qid"), "source", F.col("leave").alias("t_start"), "t_end")
-    got = earliest_arrival(runs, edges).join(leave.select(F.col("run").alias("qid"), "source"), "qid").where("vertex <> source")
-    return got.groupBy(F.col("qid.qid").alias("qid"), "vertex").agg(F.min(F.col("arrival") - F.col("qid.leave")).alias("seconds"))
+    edge = cut(edges.select("src", "dst", "depart", "duration").dropna().where("duration >= 0"))
+    ask = cut(sources.select("qid", "source", "t_start", "t_end").dropna().where("t_start <= t_end").distinct())
+    until = ask.select("qid", "t_end")
+
+    def kept(labels: DataFrame) -> DataFrame:
+        best = labels.groupBy("qid", "vertex", "leave").agg(F.min(F.struct("arrival", "fresh")).alias("x")).select("qid", "vertex", "leave", "x.*")
+        later = W.partitionBy("qid", "vertex").orderBy(F.desc("leave")).rowsBetween(W.unboundedPreceding, -1)
+        return best.withColumn("_m", F.min("arrival").over(later)).where("_m IS NULL OR arrival < _m").drop("_m")
+
+    first = ask.join(edge, F.col("source") == F.col("src")).where("depart BETWEEN t_start AND t_end AND depart + duration <= t_end")
+    start = first.select("qid", F.col("dst").alias("vertex"), F.col("depart").alias("leave"), (F.col("depart") + F.col("duration")).alias("arrival"), F.lit(True).alias("fresh"))
+    state = cut(kept(start))
+    for _ in range(MOST_ROUNDS):
+        fresh, n = _sized(state.where("fresh").drop("fresh"))
+        if not n:
+            got = state.join(ask.select("qid", "source"), "qid").where("vertex <> source")
+            return got.groupBy("qid", "vertex").agg(F.min(F.col("arrival") - F.col("leave")).alias("seconds"))
+        step = fresh.join(edge, fresh["vertex"] == edge["src"]).where("depart >= arrival").join(until, "qid").where("depart + duration <= t_end")
+        step = step.select("qid", F.col("dst").alias("vertex"), "leave", (F.col("depart") + F.col("duration")).alias("arrival"), F.lit(True).alias("fresh"))
+        state = cut(kept(state.withColumn("fresh", F.lit(False)).unionByName(step)))
+    raise RuntimeError("no fixpoint was reached")
 
 
 def wedge_reachable(queries: DataFrame, contact: DataFrame) -> DataFrame:

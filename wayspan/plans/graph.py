@@ -149,8 +149,8 @@ def windowed_reach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fastest(spark: SparkSession, d: str) -> DataFrame:
-    """Fastest passages within the first six hours of each window."""
-    ask = _sources(spark, d).withColumn("t_end", F.least(F.col("t_end"), F.col("t_start") + 21_600))
+    """Fastest passages within the first two hours of each window."""
+    ask = _sources(spark, d).withColumn("t_end", F.least(F.col("t_end"), F.col("t_start") + 7_200))
     got = reach.fastest(ask, _travel(spark, d))
     return got.groupBy("qid").agg(F.count("*").alias("n_places"), F.sum("seconds").alias("sum_seconds"), F.min("seconds").alias("least_seconds"))
 
@@ -255,7 +255,7 @@ SQL = {
     "windowed_reach": f"WITH RECURSIVE {SLOTS} {_ENDPOINTS} {_TRAVEL} SELECT ep.qid, count(er.qid) > 0 AS reachable FROM ep LEFT JOIN er ON er.qid = ep.qid AND er.vertex = ep.dst_v GROUP BY ep.qid",
     "fastest": f"""WITH RECURSIVE {SLOTS} {_ENDPOINTS},
         tr AS MATERIALIZED (SELECT DISTINCT v AS src, next_v AS dst, last_start AS depart, gap AS duration FROM mo WHERE next_ts IS NOT NULL),
-        so AS (SELECT qid, src_v AS source, q_start AS t_start, least(q_end, q_start + 21600) AS t_end FROM ep JOIN qs USING (qid)),
+        so AS (SELECT qid, src_v AS source, q_start AS t_start, least(q_end, q_start + 7200) AS t_end FROM ep JOIN qs USING (qid)),
         fa AS (
             SELECT DISTINCT qid, source, depart AS leave, source AS vertex, depart AS arrival, t_end FROM so JOIN tr ON src = source WHERE depart BETWEEN t_start AND t_end
             UNION SELECT qid, source, leave, dst, depart + duration, t_end FROM fa JOIN tr ON src = vertex WHERE depart >= arrival AND depart + duration <= t_end

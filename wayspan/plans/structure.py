@@ -244,6 +244,11 @@ SQL = {
     "transitive_closure": f"""WITH RECURSIVE {_fragments_sql(SMALL_K)} {_UP},
         tc AS (SELECT v, slot_start AS t, v AS bv, slot_start AS bt FROM sl UNION SELECT tc.v, tc.t, dst_v, dst_start FROM tc JOIN lf ON src_v = bv AND src_start = bt)
         SELECT v, t AS slot_start, count(*) AS n_reached FROM tc GROUP BY v, t""",
+    "level_labels": f"""WITH RECURSIVE {_fragments_sql(SMALL_K)} {_UP},
+        up AS (SELECT v, slot_start AS t, 0 AS n FROM sl UNION SELECT dst_v, dst_start, n + 1 FROM up JOIN lf ON src_v = up.v AND src_start = up.t),
+        dn AS (SELECT v, slot_start AS t, 0 AS n FROM sl UNION SELECT src_v, src_start, n + 1 FROM dn JOIN lf ON dst_v = dn.v AND dst_start = dn.t),
+        um AS (SELECT v, t, max(n) AS up FROM up GROUP BY v, t), dm AS (SELECT v, t, max(n) AS down FROM dn GROUP BY v, t)
+        SELECT v, t AS slot_start, CAST(up AS BIGINT) AS up, CAST(down AS BIGINT) AS down FROM um JOIN dm USING (v, t)""",
     "split_graph_nodes": f"WITH {_TRAVEL} SELECT vertex, time, 'start' AS kind FROM st UNION ALL SELECT vertex, time, 'arrive' FROM ar",
     "split_graph_edges": f"""WITH {_TRAVEL},
         ch AS (SELECT vertex, time, kind, lead(time) OVER (PARTITION BY vertex, kind ORDER BY time) AS then_ FROM (SELECT *, 'start' AS kind FROM st UNION ALL SELECT *, 'arrive' FROM ar))
@@ -252,6 +257,8 @@ SQL = {
         UNION ALL SELECT src, depart, 'start', dst, depart + duration, 'arrive', 'travel' FROM tr""",
     "weak_components": f"""WITH RECURSIVE {_PLACES}, bt AS MATERIALIZED (SELECT a, b FROM pl UNION SELECT b, a FROM pl),
         w AS (SELECT id, id AS label FROM nd UNION SELECT b, label FROM w JOIN bt ON a = id WHERE label < b) SELECT id, min(label) AS label FROM w GROUP BY id""",
+    "strong_components": f"""WITH RECURSIVE {_PLACES}, c AS (SELECT id AS a, id AS b FROM nd UNION SELECT c.a, pl.b FROM c JOIN pl ON pl.a = c.b)
+        SELECT x.a AS id, min(x.b) AS label FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
     "successor_classes": f"WITH {graph.edges_sql()} {_HOPS}, hp AS (SELECT a, b FROM e2), {_CLASSED}",
     "two_hop_classes": f"WITH {graph.edges_sql()} {_HOPS}, hp AS (SELECT a, b FROM e2 UNION SELECT x.a, y.b FROM e2 x JOIN e2 y ON x.b = y.a), {_CLASSED}",
     "heaviest_parents": f"WITH {_PLACES}, wt AS (SELECT a AS src, b AS dst, count(*) AS weight FROM pl GROUP BY ALL) SELECT src, dst, weight FROM wt QUALIFY row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) = 1",
