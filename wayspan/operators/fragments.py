@@ -175,27 +175,32 @@ def levels(frag: DataFrame, edge: DataFrame) -> DataFrame:
 def chain_labels(frag: DataFrame, edge: DataFrame, k: int = 5) -> DataFrame:
     """Chain labels of each slot within its fragment: v, slot_start, lout, lin (arrays of rank and at).
 
-    A chain is a place; chains rank by the number of their slots in the fragment, ties by v. lout has,
-    for the k lowest ranks among chains a slot leads to, the first slot start reached there; lin the
-    last slot start that leads to it.
+    A chain is a path of edges within one place; chains rank by the number of their slots, ties by
+    their first slot. lout has, for the k lowest ranks among chains a slot leads to, the first slot
+    start reached there; lin the last slot start that leads to it.
     """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, children, _, _, _ = _closure(pdf)
-        size: dict[int, int] = {}
-        for _, v in nodes:
-            size[v] = size.get(v, 0) + 1
-        rank = {v: i for i, v in enumerate(sorted(size, key=lambda v: (-size[v], v)))}
+        chain, size = [-1] * len(nodes), {}
+        for i, (_, v) in enumerate(nodes):
+            if chain[i] < 0:
+                chain[i] = i
+            size[chain[i]] = size.get(chain[i], 0) + 1
+            then = min((j for j in children[i] if nodes[j][1] == v and chain[j] < 0), default=None)
+            if then is not None:
+                chain[then] = chain[i]
+        rank = {c: i for i, c in enumerate(sorted(size, key=lambda c: (-size[c], nodes[c])))}
         lout: list[dict] = [{} for _ in nodes]
         lin: list[dict] = [{} for _ in nodes]
         for i in range(len(nodes) - 1, -1, -1):
-            own = {rank[nodes[i][1]]: nodes[i][0]}
+            own = {rank[chain[i]]: nodes[i][0]}
             for j in children[i]:
                 for r, t in lout[j].items():
                     own[r] = min(t, own.get(r, t))
             lout[i] = {r: own[r] for r in sorted(own)[:k]}
         for i in range(len(nodes)):
-            lin[i][rank[nodes[i][1]]] = nodes[i][0]
+            lin[i][rank[chain[i]]] = nodes[i][0]
             lin[i] = {r: lin[i][r] for r in sorted(lin[i])[:k]}
             for j in children[i]:
                 for r, t in lin[i].items():

@@ -36,7 +36,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 def with_line_numbers(rows: DataFrame, name: str) -> DataFrame:
     """rows with their place in the file; one file, read in order."""
     marked = rows.withColumn("_at", F.monotonically_increasing_id())
-    return with_rank(marked, ["_at"], name).drop("_at")
+    return with_rank(marked, ["_at"], name).select(name, *rows.columns)
 
 
 def read_labelled_queries(spark: SparkSession, path: str) -> DataFrame:
