@@ -56,7 +56,7 @@ _OTHER = re.compile(r"[\p{Arabic}\p{Devanagari}\p{Ethiopic}]")
 _UNCASED = re.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}\p{Arabic}\p{Devanagari}\p{Ethiopic}]")
 _GREEK = re.compile(r"\p{Greek}")
 _SHUT = "\"'”’»«“‹›)\\]"
-_CASED_MARK = re.compile(rf"[.!?…]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n](?:[»”’)\]]|[\"“«](?=[\s]|$))+(?=[\s.,;:!?]|$))*")
+_CASED_MARK = re.compile(rf"[.!?…]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n](?:[»”’)\]]|\"(?=\s|$))+(?=[\s.,;:!?]|$))*")
 _GREEK_MARK = re.compile(rf"[.!?…;;]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n][»”’)\]]+(?=[\s.,;:!?]|$))*")
 _HAN_MARK = re.compile(r"(?:[。！？．｡!?]|……|…|\.{3,4}(?!\.))+(?:[ 　\n]?[」』”’）)】》〉]+)*")
 _OTHER_MARK = re.compile(r"(?:[.!?؟…।॥።፧᎐]|(?<=[\p{L}\p{M}])\|)+(?:[\"'”’»)\]]+|[  \n][”»)\]]+(?=\s|$))*")
