@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import regex as re
+
 BODY, HEAD, ADVERT, TITLE = "body", "head", "advert", "title"
 
 
@@ -103,19 +105,57 @@ def blocks(text: str, lines: list[tuple[int, int]], xs: list, ys: list, ws: list
     return out
 
 
+#: A line that closes with a mark, and one that opens as a sentence or a block would.
+_CLOSED = re.compile(r"[.!?…。！？．؟।॥።|;,][\"'”’»«“)\]」』]*$")
+_SMALL = re.compile(r"^\p{Ll}")
+#: Share of a full line up to which a line counts as short.
+SHORT = 0.74
+
+
 def plain_blocks(text: str, lines: list[tuple[int, int]]) -> list[tuple[str, list[int]]]:
-    """Blocks of a page without boxes: page numbers, runs of lines in capitals, and all between."""
+    """Blocks of a page without boxes, told by the lengths of its lines.
+
+    Short lines without a closing mark, after a finished line or in capitals, are a headline, a
+    running title or an advert; what is unfinished before them goes on after them if it opens small.
+    """
+    words = [text[a:b].strip() for a, b in lines]
+    there = [k for k, w in enumerate(words) if w]
+    if not there:
+        return []
+    full = sorted(len(words[k]) for k in there)[int(0.9 * (len(there) - 1))]
     out: list[tuple[str, list[int]]] = []
-    for k, (a, b) in enumerate(lines):
-        line = text[a:b].strip()
-        if not line:
-            continue
-        if len(line) < 14 and any(c.isdigit() for c in line) and (line[0] in "—–-" or line.startswith("Page ")):
+    body: list[int] | None = None
+    place = 0
+    while place < len(there):
+        k = there[place]
+        line = words[k]
+        small = _SMALL.match(line) is not None
+        number = len(line) < 14 and (line[0] in "—–" or line.startswith("Page "))
+        capitals = line.isupper() and sum(c.isalpha() for c in line) > 3
+        done = body is None or _CLOSED.search(words[body[-1]]) is not None
+        brief = not small and len(line) <= SHORT * full and not _CLOSED.search(line)
+        if number or "   " in line and line[-1:] == ".":
             out.append((TITLE, [k]))
+            place += 1
             continue
-        kind = HEAD if line.isupper() and sum(c.isalpha() for c in line) > 3 else BODY
-        if out and out[-1][0] == kind:
-            out[-1][1].append(k)
-        else:
-            out.append((kind, [k]))
+        if capitals or brief and (done or len(line) <= 0.6 * full):
+            run = [k]
+            while place + len(run) < len(there):
+                other = words[there[place + len(run)]]
+                if other.isupper() == capitals and (capitals or len(other) <= SHORT * full and not _CLOSED.search(other)):
+                    run.append(there[place + len(run)])
+                else:
+                    break
+            after = words[there[place + len(run)]] if place + len(run) < len(there) else ""
+            if capitals or not _SMALL.match(after) or not done:
+                out.append((HEAD if done else ADVERT, run))
+                place += len(run)
+                if done:
+                    body = None
+                continue
+        if body is None:
+            body = []
+            out.append((BODY, body))
+        body.append(k)
+        place += 1
     return out

@@ -110,7 +110,8 @@ def _block_ends(block: str, kind: str, uncased: bool) -> list[int]:
     if last < close - 1:
         speck = _SPECK.search(block, max(last, 0), close)
         if speck:
-            close = speck.start() or close
+            first = speck.group().lstrip()[:1]
+            close = speck.end() - len(speck.group().lstrip()) + 1 if first == "." else speck.start() or close
         rest = block[last + 1 : close]
         if any(c.isalnum() for c in rest):
             found.append(close - 1)
@@ -142,11 +143,12 @@ def _cased(block: str, kind: str) -> list[int]:
         lone = start > 0 and block[start - 1].isspace()
         if not word:
             more = any(c.isalnum() for c in block[end : end + 12])
-            if not shut and (lone or more) and marks == ".":
+            if not shut and (lone and _done(block, start) or more) and marks == ".":
                 continue
             out.append(end - 1)
             continue
-        opens = word in _OPENERS or (word.isupper() and len(word) > 1 and word.capitalize() in _OPENERS)
+        initial = len(word) == 1 and block[nxt.end() : nxt.end() + 1] == "."
+        opens = not initial and word in _OPENERS or (word.isupper() and len(word) > 1 and word.capitalize() in _OPENERS)
         if "!" in marks or "?" in marks or ";" in marks or ";" in marks:
             if start and not lone and not shut and block[end : end + 1] not in (" ", "\n", " ", "", "“", "«", "("):
                 continue
@@ -158,7 +160,7 @@ def _cased(block: str, kind: str) -> list[int]:
             if upper or (opened.strip() and not word[0].islower()):
                 out.append(end - 1)
             continue
-        if lone and not shut:
+        if lone and not shut and (not opens or _done(block, start)):
             continue
         if not upper and not (opened.strip() and shut):
             continue
@@ -179,6 +181,11 @@ def _cased(block: str, kind: str) -> list[int]:
     return out
 
 
+def _done(block: str, at: int) -> bool:
+    """Whether what stands before a lone mark has an end already, so that the mark is a speck."""
+    return block[:at].rstrip()[-1:] in ".!?…\"'”’»«“)]"
+
+
 def _follows(block: str, end: int, words: list[str]) -> bool:
     rest = block[end : end + 12].lstrip(" \n 　")
     return any(rest.startswith(w) for w in words)
