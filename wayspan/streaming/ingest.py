@@ -34,6 +34,6 @@ def stream_sessions(arrivals: DataFrame, gap: int = 3600, late: int = 86_400) ->
     choose it above the feeds' delay. Distinct starts are counted by rows: deduplicate before.
     """
     rows = arrivals.where("u IS NOT NULL AND ts IS NOT NULL").select("u", F.timestamp_seconds("ts").alias("at"), "ts")
-    # session_window ends gap seconds after its last row and joins what starts before that end
-    window = F.session_window("at", f"{gap + 1} seconds").alias("w")
+    # session_window ends gap seconds after its last row and joins what starts at or before that end
+    window = F.session_window("at", f"{gap} seconds").alias("w")
     return rows.withWatermark("at", f"{late} seconds").groupBy("u", window).agg(F.min("ts").alias("s_start"), F.max("ts").alias("s_end"), F.count("*").alias("n_starts")).drop("w")
