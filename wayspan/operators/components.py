@@ -81,7 +81,7 @@ def sessions(arrivals: DataFrame, gap: int = 3600, width: int = 86_400) -> DataF
     rows = rows.withColumn("cid", F.sum("_new").over(within.rowsBetween(W.unboundedPreceding, 0)))
     parts = rows.groupBy("u", "bucket", "cid").agg(F.min("ts").alias("s_start"), F.max("ts").alias("s_end"), F.count("*").alias("n_starts"), F.sum("n").alias("n_arrivals"))
     blocks = W.partitionBy("u", "bucket")
-    parts = parts.withColumn("_last", F.max("cid").over(blocks))
+    parts = cut(parts.withColumn("_last", F.max("cid").over(blocks)))
     inner = parts.where("cid > 0 AND cid < _last")
     edge = parts.where("cid = 0 OR cid = _last")
     along = W.partitionBy("u").orderBy("s_start")
