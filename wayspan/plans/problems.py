@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayspan.operators.components import interval_components, sessions
 from wayspan.operators.selection import key_quantiles
-from wayspan.session import table
+from wayspan.session import cut, table
 from wayspan.sources.rejects import TIME_HIGH, TIME_LOW, parse_lines
 
 SESSION_GAP = 3600
@@ -26,7 +26,7 @@ def p1_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    visits = _visits(spark, d).where("te > ts").dropna().distinct()
+    visits = cut(_visits(spark, d).where("te > ts").dropna().distinct())
     return key_quantiles(visits.select("v", (F.col("te") - F.col("ts")).alias("seconds")), "v", "seconds", QUANTILES)
 
 
