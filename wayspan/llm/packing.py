@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wayspan.llm.tokens import TOKENIZERS, VOCABULARY, codec, encoded
+from wayspan.session import cut
 
 #: The curve: dimensions of the projected vectors and bits of each.
 DIMENSIONS, BITS = 4, 8
@@ -91,7 +92,8 @@ def containers(documents: DataFrame, kinds: DataFrame, folder: str = TOKENIZERS,
     null. container is unique over kinds. No documents or no kinds: no rows.
 
     The rest pieces are range-sorted by kind and curve key, with doc_id and piece to part ties,
-    so hot places on the curve spread over tasks. A task packs BLOCK neighbours at a time: in
+    so hot places on the curve spread over tasks; sizes and keys are cut first, since the range sort
+    reads its input twice. A task packs BLOCK neighbours at a time: in
     falling size, each into the fullest container that still takes it. It holds two blocks of
     sizes at most.
     """
@@ -101,7 +103,7 @@ def containers(documents: DataFrame, kinds: DataFrame, folder: str = TOKENIZERS,
     kind = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("kind_id"), F.lit(r[1]).cast("bigint").alias("capacity")) for r in sorted(known)])
     if not known:
         return documents.sparkSession.createDataFrame([], SCHEMA)
-    sized = page_keys(documents, folder, vocabulary).select("doc_id", "n_tokens", "curve", F.explode(kind).alias("k")).select("k.*", "doc_id", "n_tokens", "curve")
+    sized = cut(page_keys(documents, folder, vocabulary)).select("doc_id", "n_tokens", "curve", F.explode(kind).alias("k")).select("k.*", "doc_id", "n_tokens", "curve")
     whole = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("bigint")
     sized = sized.withColumn("_whole", whole).withColumn("_rest", F.col("n_tokens") - F.col("_whole") * F.col("capacity"))
     pieces = sized.select(
