@@ -126,6 +126,10 @@ def sentences(text):
         ("यह नदी है। वह पुल है| “कहाँ?” पूछा राम।", ["यह नदी है।", "वह पुल है|", "“कहाँ?” पूछा राम।"]),
         ("ይህ ወንዝ ነው። «ማን ነው?» ጠየቀ ገበሬ።", ["ይህ ወንዝ ነው።", "«ማን ነው?» ጠየቀ ገበሬ።"]),
         ("هذا الجسر. من هو؟ قال د. ملمان نعم.", ["هذا الجسر.", "من هو؟", "قال د. ملمان نعم."]),
+        ("Ես եկա։ Նա գնաց։", ["Ես եկա։", "Նա գնաց։"]),
+        ("সে এল। কে গেল? রাম ড. সেন।", ["সে এল।", "কে গেল?", "রাম ড. সেন।"]),
+        ("הוא בא. מי הלך? אני.", ["הוא בא.", "מי הלך?", "אני."]),
+        ("Ο κ. Α. Καρβικ ήρθε. A. A. Pemdorp left.", ["Ο κ. Α. Καρβικ ήρθε.", "A. A. Pemdorp left."]),
         ("Τι είναι; Ο μύλος κ. Λισβικ.", ["Τι είναι;", "Ο μύλος κ. Λισβικ."]),
         ("", []), (" \r\n ", []), ("no mark here", ["no mark here"]), ("........", []),
     ],

@@ -42,9 +42,12 @@ def cooccurrence(baskets: DataFrame, keys: list[str], item: str, min_together: i
     within = within.where(F.col("_k") < F.size("_items") - 1).select("a", F.explode(F.expr("slice(_items, _k + 2, size(_items))")).alias("b"))
     made = within
     if not sizes.isEmpty():
+        # each pair of blocks is a key of its own, so a long basket is spread over tasks here too
         parts = blocks.where("_of > 1")
-        other = parts.select(*keys, F.col("_block").alias("_block2"), F.col("_items").alias("_items2"))
-        across = parts.join(other, keys).where("_block < _block2").select(F.explode("_items").alias("x"), "_items2").select("x", F.explode("_items2").alias("y"))
+        one = F.lit(1).cast("bigint")
+        left = parts.where(F.col("_block") < F.col("_of") - 1).select(*keys, F.col("_block").alias("_i"), F.explode(F.sequence(F.col("_block") + one, F.col("_of") - one)).alias("_j"), "_items")
+        right = parts.where("_block > 0").select(*keys, F.col("_block").alias("_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_block") - one)).alias("_i"), F.col("_items").alias("_items2"))
+        across = left.join(right, [*keys, "_i", "_j"]).select(F.explode("_items").alias("x"), "_items2").select("x", F.explode("_items2").alias("y"))
         made = made.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     pairs = made.groupBy("a", "b").agg(F.count("*").alias("n_ab"))
     if not rare.isEmpty():

@@ -50,17 +50,20 @@ _CLOSING = frozenset(w for words in CLOSING.values() for w in words.split())
 _ENDABLE = _CLOSING | {"t", "т", "д"}
 
 # Character properties: terminators by script, and the quotes and brackets that may close after them.
-_THAI = re.compile(r"\p{Thai}")
+# STerm is the standard property of marks that end sentences in any script.
+_THAI = re.compile(r"[\p{Thai}\p{Lao}]")
 _HAN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-_OTHER = re.compile(r"[\p{Arabic}\p{Devanagari}\p{Ethiopic}]")
-_UNCASED = re.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}\p{Arabic}\p{Devanagari}\p{Ethiopic}]")
+#: Letters without case, but for the ordinal signs of Latin.
+_UNCASED = re.compile(r"(?![ªº])\p{Lo}")
+#: Scripts with a full stop of their own, in which a point only abbreviates.
+_POINTLESS = re.compile(r"[\p{Devanagari}\p{Bengali}\p{Ethiopic}\p{Myanmar}\p{Khmer}\p{Tibetan}]")
 _GREEK = re.compile(r"\p{Greek}")
 _SHUT = "\"'”’»«“‹›)\\]"
-_CASED_MARK = re.compile(rf"[.!?…]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n](?:[»”’)\]]|\"(?=\s|$))+(?=[\s.,;:!?]|$))*")
-_GREEK_MARK = re.compile(rf"[.!?…;;]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n][»”’)\]]+(?=[\s.,;:!?]|$))*")
-_HAN_MARK = re.compile(r"(?:[。！？．｡!?]|……|…|\.{3,4}(?!\.))+(?:[ 　\n]?[」』”’）)】》〉]+)*")
-_OTHER_MARK = re.compile(r"(?:[.!?؟…।॥።፧᎐]|(?<=[\p{L}\p{M}])\|)+(?:[\"'”’»)\]]+|[  \n][”»)\]]+(?=\s|$))*")
-_THAI_MARK = re.compile(r"(?:[!?…]|\.{3,4}(?!\.))+(?:[ \n]?[”’»)\]]+)*|(?<=\p{Thai})[”»)]+")
+_CASED_MARK = re.compile(rf"[.…\p{{SB=STerm}}]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n](?:[»”’)\]]|\"(?=\s|$))+(?=[\s.,;:!?]|$))*")
+_GREEK_MARK = re.compile(rf"[.…;;\p{{SB=STerm}}]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n][»”’)\]]+(?=[\s.,;:!?]|$))*")
+_HAN_MARK = re.compile(r"(?:[．\p{SB=STerm}]|……|…|\.{3,4}(?!\.))+(?:[ 　\n]?[」』”’）)】》〉]+)*")
+_OTHER_MARK = re.compile(r"(?:[.…\p{SB=STerm}]|(?<=[\p{L}\p{M}])\|)+(?:[\"'”’»)\]]+|[  \n][”»)\]]+(?=\s|$))*")
+_THAI_MARK = re.compile(r"(?:[…\p{SB=STerm}]|\.{3,4}(?!\.))+(?:[ \n]?[”’»)\]]+)*|(?<=[\p{Thai}\p{Lao}])[”»)]+")
 _LOST = re.compile(r"([\p{Ll}\p{N}]|(?<=\w)[,·'])[ \n]((?:" + "|".join(sorted(_OPENERS)) + r"))[ \n](?=[\p{L}])")
 _NEXT = re.compile(r"[\s ]*(?:[·|'.,*•¦:][\s]+)*([“«\"„(¿¡‘»”*'\[]*[\s  ]?)([\p{L}\p{M}\p{N}]*)")
 _SAYS = re.compile(r"[\p{L}.]+[ \n]\p{Ll}+[ ]?:")
@@ -206,7 +209,7 @@ def _han(block: str) -> list[int]:
 
 def _other(block: str) -> list[int]:
     out = []
-    arabic = re.search(r"\p{Arabic}", block) is not None
+    pointless = _POINTLESS.search(block) is not None
     for m in _OTHER_MARK.finditer(block):
         start, end = m.span()
         found = m.group()
@@ -214,7 +217,7 @@ def _other(block: str) -> list[int]:
         shut = len(marks) < len(found)
         lone = start > 0 and block[start - 1].isspace()
         if marks == ".":
-            if not arabic and not shut:
+            if pointless and not shut:
                 continue
             token = _before(block, start)
             if not shut and (lone or len(token) == 1 or token in _LEADING or not token):
