@@ -126,6 +126,9 @@ def sentences(text):
         ("यह नदी है। वह पुल है| “कहाँ?” पूछा राम।", ["यह नदी है।", "वह पुल है|", "“कहाँ?” पूछा राम।"]),
         ("ይህ ወንዝ ነው። «ማን ነው?» ጠየቀ ገበሬ።", ["ይህ ወንዝ ነው።", "«ማን ነው?» ጠየቀ ገበሬ።"]),
         ("هذا الجسر. من هو؟ قال د. ملمان نعم.", ["هذا الجسر.", "من هو؟", "قال د. ملمان نعم."]),
+        ("(We left the railway,) One winter lamp burned.", ["(We left the railway,)", "One winter lamp burned."]),
+        ("電話 ........ 電話", ["電話 ........ 電話"]),
+        ("«هذا كل الجريدة,» هذا كبير.", ["«هذا كل الجريدة,»", "هذا كبير."]),
         ("Ես եկա։ Նա գնաց։", ["Ես եկա։", "Նա գնաց։"]),
         ("সে এল। কে গেল? রাম ড. সেন।", ["সে এল।", "কে গেল?", "রাম ড. সেন।"]),
         ("הוא בא. מי הלך? אני.", ["הוא בא.", "מי הלך?", "אני."]),

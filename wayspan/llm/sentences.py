@@ -61,10 +61,10 @@ _GREEK = re.compile(r"\p{Greek}")
 _SHUT = "\"'”’»«“‹›)\\]"
 _CASED_MARK = re.compile(rf"[.…\p{{SB=STerm}}]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n](?:[»”’)\]]|\"(?=\s|$))+(?=[\s.,;:!?]|$))*")
 _GREEK_MARK = re.compile(rf"[.…;;\p{{SB=STerm}}]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n][»”’)\]]+(?=[\s.,;:!?]|$))*")
-_HAN_MARK = re.compile(r"(?:[．\p{SB=STerm}]|……|…|\.{3,4}(?!\.))+(?:[ 　\n]?[」』”’）)】》〉]+)*")
-_OTHER_MARK = re.compile(r"(?:[.…\p{SB=STerm}]|(?<=[\p{L}\p{M}])\|)+(?:[\"'”’»)\]]+|[  \n][”»)\]]+(?=\s|$))*")
-_THAI_MARK = re.compile(r"(?:[…\p{SB=STerm}]|\.{3,4}(?!\.))+(?:[ \n]?[”’»)\]]+)*|(?<=[\p{Thai}\p{Lao}])[”»)]+")
-_LOST = re.compile(r"([\p{Ll}\p{N}]|(?<=\w)[,·'])[ \n]((?:" + "|".join(sorted(_OPENERS)) + r"))[ \n](?=[\p{L}])")
+_HAN_MARK = re.compile(r"(?:[．\p{SB=STerm}]|……|…|(?<!\.)\.{3,4}(?!\.))+(?:[ 　\n]?[」』”’）)】》〉]+)*")
+_OTHER_MARK = re.compile(r"(?:[.…\p{SB=STerm}]|(?<=[\p{L}\p{M}])\||[,،](?=[»”)]))+(?:[\"'”’»)\]]+|[  \n][”»)\]]+(?=\s|$))*")
+_THAI_MARK = re.compile(r"(?:[…\p{SB=STerm}]|(?<!\.)\.{3,4}(?!\.))+(?:[ \n]?[”’»)\]]+)*|(?<=[\p{Thai}\p{Lao}])[”»)]+")
+_LOST = re.compile(r"((?:[\p{Ll}\p{N}]|(?<=\w)[,·'])[)\]\"”’»“«]{0,2})[ \n]((?:" + "|".join(sorted(_OPENERS)) + r"))[ \n](?=[\p{L}])")
 _NEXT = re.compile(r"[\s ]*(?:[·|'.,*•¦:][\s]+)*([“«\"„(¿¡‘»”*'\[]*[\s  ]?)([\p{L}\p{M}\p{N}]*)")
 _SAYS = re.compile(r"[\p{L}.]+[ \n]\p{Ll}+[ ]?:")
 _SPECK = re.compile(r"(?:[\s ]+[·|'.,*•¦~^_`]+)+[\s ]*$")
@@ -179,7 +179,7 @@ def _cased(block: str, kind: str) -> list[int]:
         out.append(end - 1)
     if kind == BODY:
         for m in _LOST.finditer(block):
-            if m.group(1) in ",·'" or _before(block, m.end(1)).lower() not in _LEADING:
+            if len(m.group(1)) > 1 or m.group(1) in ",·'" or _before(block, m.end(1)).lower() not in _LEADING:
                 out.append(m.end(1) - 1)
     return out
 
