@@ -103,6 +103,13 @@ def test_against_sql(spark, name):
     assert len(a) == len(b) and all(_same(x, y) for r, s in zip(a, b) for x, y in zip(r, s))
 
 
+def test_labels_agree_with_answers(spark):
+    sure = {r["qid"]: r["verdict"] for r in entry.queries()["label_tests"](spark, DATA).collect() if r["verdict"] != "open"}
+    reached = {r["qid"]: r["reachable"] for r in entry.queries()["span_reach"](spark, DATA).collect()}
+    assert all(reached[q] == (v != "no") for q, v in sure.items())
+    assert entry.queries()["index_size"](spark, DATA).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -55,6 +55,10 @@ def with_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
 
 
 def by_cells(df: DataFrame, start: Column, end: Column, width: int, name: str = "_cell") -> DataFrame:
-    """A row of df for each cell of width seconds that [start, end) touches, for range joins on equal cells."""
+    """A row of df for each cell of width seconds that [start, end) touches, for range joins on equal cells.
+
+    Rows with start >= end have no cell. A long interval has many cells: where its end may lie far
+    beyond all that it is joined with, give the lesser end.
+    """
     cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    return df.withColumn(name, F.explode(F.sequence(cell(start), cell(end - 1))))
+    return df.where(start < end).withColumn(name, F.explode(F.sequence(cell(start), cell(end - 1))))

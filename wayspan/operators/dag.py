@@ -38,7 +38,8 @@ def meeting_visits(visits: DataFrame, drop_touching: bool = False) -> tuple[Data
     if drop_touching:
         visits = touching_kept(visits)
     parts = interval_components(visits).where("n >= 2").select("v", "c_start", "c_end")
-    cells = by_cells(parts, F.col("c_start"), F.col("c_end"), CELL)
+    last = visits.agg(F.max("ts")).first()[0]  # cells hold starts only
+    cells = by_cells(parts, F.col("c_start"), F.least(F.col("c_end"), F.lit((last or 0) + 1)), CELL)
     rows = visits.withColumn("_cell", F.floor(F.col("ts") / F.lit(CELL)).cast("bigint"))
     rows = rows.join(cells, ["v", "_cell"]).where("c_start <= ts AND ts < c_end")
     return rows.select("u", "v", "ts", "te", "c_start", "c_end"), parts
@@ -132,7 +133,9 @@ def contacts(visits: DataFrame, cell: int = 3_600) -> DataFrame:
     An equi-join on place and cell of time; a pair comes out in the cell in which its overlap starts.
     visits must be clipped.
     """
-    rows = by_cells(visits.select("u", "v", "ts", "te"), F.col("ts"), F.col("te"), cell)
+    # an overlap starts where a visit does, so no cell after the last start is needed
+    last = visits.agg(F.max("ts")).first()[0]
+    rows = by_cells(visits.select("u", "v", "ts", "te"), F.col("ts"), F.least(F.col("te"), F.lit((last or 0) + 1)), cell)
     left = rows.select("v", "_cell", F.col("u").alias("a"), F.col("ts").alias("a_ts"), F.col("te").alias("a_te"))
     right = rows.select("v", "_cell", F.col("u").alias("b"), F.col("ts").alias("b_ts"), F.col("te").alias("b_te"))
     both = left.join(right, ["v", "_cell"]).where("a < b AND a_ts < b_te AND b_ts < a_te")

@@ -94,6 +94,31 @@ def chain_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("v", "slot_start", F.size("lout").cast("bigint").alias("n_out"), F.size("lin").cast("bigint").alias("n_in"), fr.labels_meet("lout", "lin").alias("meets_itself"))
 
 
+def label_tests(spark: SparkSession, d: str) -> DataFrame:
+    """What labels alone say of queries whose endpoints share a fragment: yes (a common chain), no (levels refute it), same or open."""
+    i = index(spark, d)
+    frag, edge = _parts(spark, d, K)
+    ends = reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots).select("qid", "src_v", "src_start", "dst_v", "dst_start")
+    label = cut(fr.chain_labels(frag, edge).join(fr.levels(frag, edge), ["v", "slot_start"]).join(frag.select("v", "slot_start", "frag"), ["v", "slot_start"]))
+    a = label.select(F.col("v").alias("src_v"), F.col("slot_start").alias("src_start"), "lout", F.col("up").alias("up_a"), F.col("down").alias("down_a"), F.col("frag").alias("f"))
+    b = label.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), "lin", F.col("up").alias("up_b"), F.col("down").alias("down_b"), F.col("frag").alias("g"))
+    rows = ends.join(a, ["src_v", "src_start"]).join(b, ["dst_v", "dst_start"]).where("f = g")
+    same = (F.col("src_v") == F.col("dst_v")) & (F.col("src_start") == F.col("dst_start"))
+    no = (F.col("up_a") >= F.col("up_b")) | (F.col("down_a") <= F.col("down_b")) | (F.col("src_start") >= F.col("dst_start"))
+    verdict = F.when(same, "same").when(no, "no").when(fr.labels_meet("lout", "lin"), "yes").otherwise("open")
+    return rows.select("qid", verdict.alias("verdict"))
+
+
+def index_size(spark: SparkSession, d: str) -> DataFrame:
+    """For each fragment: slots, border slots it leads to and holds, classes on either side, and bytes of their sets."""
+    rows = _classes(spark, d)
+    is_ = lambda r: F.col("row") == r
+    return rows.groupBy("frag").agg(
+        F.count_if(is_("out")).alias("n_slots"), F.count_if(is_("ghost")).alias("n_ghosts"), F.count_if(is_("entry")).alias("n_entries"),
+        F.count_if(is_("out_class")).alias("n_out_classes"), F.count_if(is_("in_class")).alias("n_in_classes"), F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("n_bytes"),
+    )
+
+
 def split_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graphs.split_graph(graph._travel(spark, d))[0]
 
@@ -182,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fragments, edge_cut, fragment_matrix, fragment_time_range, perfect_partition_num, border_vertices, out_classes, in_classes, contracted_size, span_reach_contracted,
-        transitive_closure, level_labels, chain_labels, split_graph_nodes, split_graph_edges, weak_components, strong_components, successor_classes, two_hop_classes, heaviest_parents,
+        transitive_closure, level_labels, chain_labels, label_tests, index_size, split_graph_nodes, split_graph_edges, weak_components, strong_components, successor_classes, two_hop_classes, heaviest_parents,
         power_law_durations, generated_visits, redrawn_visits, generated_queries, bigraph_roundtrip, adjacency_export, metis_export, visits_by_date, first_fifth,
     )
 }
