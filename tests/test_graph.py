@@ -179,3 +179,19 @@ def test_temporal_paths(spark, rows):
     assert rows(reach.fastest(ask_, edges)) == [(0, 2, 1), (0, 3, 8), (2, 2, 1)]
     nodes, links = graphs.split_graph(edges)
     assert (2, 13, "arrive", 2, 13, "start", "wait") in rows(links) and nodes.count() == 10
+
+
+def test_least_fragments(spark):
+    visits, _ = drawn(11)
+    i = built(spark, visits)
+    edges = dag.edges(i.slots, i.moves)
+    slot, links, _ = graph(visits)
+    order = {s: k for k, s in enumerate(sorted(slot, key=lambda s: (s[1], slot[s][0], s[0])))}
+
+    def fits(k):
+        size = -(-len(slot) // k)
+        found = {b for a, b in links if order[a] // size != order[b] // size}
+        return bool(found) and size <= 8 * len(found)
+
+    k = fr.least_fragments(i.slots, edges, 8)
+    assert fits(k) and not (k > 1 and fits(k - 1))
