@@ -8,6 +8,7 @@ from graph_brute import INF, answer, graph, wedge
 from pyspark.sql import functions as F
 
 from wayspan.operators import dag, fragments as fr, graphs, reach
+from wayspan.plans import structure
 from wayspan.session import cut
 
 VISIT = "u bigint, v bigint, ts bigint, te bigint"
@@ -139,6 +140,36 @@ def test_labels(spark):
             assert (v2, t2) in reached[(v, t)]
 
 
+@pytest.mark.parametrize("width, run", [(65_536, 16_384), (8, 4), (5, 3), (4, 9)])
+def test_whole_closure_crosses_every_border(spark, width, run):
+    visits, _ = drawn(9)
+    i = built(spark, visits)
+    slot, edges, _ = graph(visits)
+    reached = {s: {s} for s in slot}
+    for s in sorted(slot, key=lambda s: -s[1]):
+        for a, b in edges:
+            if a == s:
+                reached[s] |= reached[b]
+    assert max(map(len, reached.values())) > 8
+    got = fr.whole_closure(i.slots, dag.edges(i.slots, i.moves), width, run).collect()
+    assert len(got) == len(slot) and {(r["v"], r["slot_start"]): r["n_reached"] for r in got} == {s: len(x) for s, x in reached.items()}
+    assert fr.whole_closure(i.slots.limit(0), dag.edges(i.slots, i.moves).limit(0), width, run).count() == 0
+
+
+def test_closure_query_is_whole(spark, tmp_path):
+    visits, _ = drawn(9)
+    visits = list({(u, ts): (u, v, ts, te) for u, v, ts, te in visits}.values())
+    spark.createDataFrame(visits, VISIT).write.parquet(f"{tmp_path}/visit.parquet")
+    slot, edges, _ = graph(visits)
+    reached = {s: {s} for s in slot}
+    for s in sorted(slot, key=lambda s: -s[1]):
+        for a, b in edges:
+            if a == s:
+                reached[s] |= reached[b]
+    got = structure.transitive_closure(spark, str(tmp_path)).collect()
+    assert {(r["v"], r["slot_start"]): r["n_reached"] for r in got} == {s: len(x) for s, x in reached.items()}
+
+
 def test_general_graphs(spark, rows):
     r = random.Random(3)
     edges = [(r.randint(0, 25), r.randint(0, 25)) for _ in range(24)] + [(None, 1)]

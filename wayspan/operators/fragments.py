@@ -155,6 +155,108 @@ def local_closure(frag: DataFrame, edge: DataFrame) -> DataFrame:
     return _pieces(frag, edge).groupBy("frag").applyInPandas(kernel, "v bigint, slot_start bigint, n_reached bigint")
 
 
+#: Slots whose targets a task of whole_closure counts at a time (a bit each), and slots of a packed run of edges.
+CLOSURE_WIDTH, CLOSURE_RUN = 65_536, 16_384
+
+
+def whole_closure(slot: DataFrame, edge: DataFrame, width: int = CLOSURE_WIDTH, run: int = CLOSURE_RUN) -> DataFrame:
+    """v, slot_start, n_reached: slots of the whole graph that each slot leads to, itself too.
+
+    Slots are numbered in time order, which is topological, and targets are counted by blocks of
+    width numbers. The task of a block reads the edges from the block's end back to the first slot,
+    a run at a time, and keeps a bitset of width bits only for slots that an earlier one still leads
+    to: as many as there are places and visitors under way. The work grows with the square of the slots.
+    """
+    ranked = cut(with_rank(slot.select("v", "slot_start", "slot_end"), ["slot_start", "slot_end", "v"]).select("v", "slot_start", "rank"))
+    n = ranked.count()
+    a = ranked.select(F.col("v").alias("src_v"), F.col("slot_start").alias("src_start"), F.col("rank").alias("src"))
+    b = ranked.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), F.col("rank").alias("dst"))
+    links = cut(edge.select("src_v", "src_start", "dst_v", "dst_start").distinct().join(a, ["src_v", "src_start"]).join(b, ["dst_v", "dst_start"]).select("src", "dst"))
+    entered = cut(links.groupBy("dst").agg(F.min("src").alias("first")))
+    links = links.join(entered, "dst").join(entered.select(F.col("dst").alias("src"), F.lit(2).alias("_in")), "src", "left")
+    links = links.withColumn("flag", (F.col("src") == F.col("first")).cast("int") + F.coalesce("_in", F.lit(0)))
+    links = links.withColumn("run", F.floor(F.col("src") / F.lit(run)).cast("bigint"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst"], ascending=False)
+        return pd.DataFrame({"run": pdf["run"].iloc[:1], "src": [pdf["src"].to_numpy("int64").tobytes()], "step": [(pdf["dst"] - pdf["src"]).to_numpy("int64").tobytes()], "flag": [pdf["flag"].to_numpy("int8").tobytes()]})
+
+    runs = cut(links.select("run", "src", "dst", "flag").groupBy("run").applyInPandas(pack, "run bigint, src binary, step binary, flag binary"))
+    last = max(n - 1, 0) // width
+    asks = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("run") * F.lit(run) / F.lit(width)).cast("bigint"), F.lit(last).cast("bigint"))))
+    asks = asks.repartition(last + 1, "block").sortWithinPartitions("block", F.desc("run"))
+
+    def count(frames):
+        block = None
+        for pdf in frames:
+            for b, r, *packed in zip(pdf["block"].tolist(), pdf["run"].tolist(), pdf["src"], pdf["step"], pdf["flag"]):
+                if b != block:
+                    block, live = b, {}
+                src, step, flag = (np.frombuffer(x, kind) for x, kind in zip(packed, (np.int64, np.int64, np.int8)))
+                found = _reached(src, step, flag, live, b * width, (b + 1) * width, r * run, run)
+                yield pd.DataFrame({"run": [r], "counts": [found.tobytes()]})
+
+    parts = cut(asks.mapInPandas(count, "run bigint, counts binary"))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(run, np.int64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(c, np.int32)
+        at = total.nonzero()[0]
+        return pd.DataFrame({"rank": at + int(pdf["run"].iloc[0]) * run, "n": total[at]})
+
+    sums = parts.groupBy("run").applyInPandas(add, "rank bigint, n bigint")
+    return ranked.join(sums, "rank", "left").select("v", "slot_start", (F.coalesce("n", F.lit(0)) + 1).cast("bigint").alias("n_reached"))
+
+
+def _reached(src: np.ndarray, step: np.ndarray, flag: np.ndarray, live: dict, low: int, high: int, first: int, run: int) -> np.ndarray:
+    """For each slot of a run from number first: how many slots of the block [low, high) come after it; its edges go backwards.
+
+    live holds, for slots that were passed, the bits of themselves and of what they lead to in the
+    block, and their number; slots may share one bitset. flag: 1 where no later edge enters the
+    target, so it leaves live; 2 where some edge enters the source, so it has to be kept.
+    """
+    out = np.zeros(run, np.int32)
+    keep = src + step < high
+    sources, targets, flags = src[keep].tolist(), (src + step)[keep].tolist(), flag[keep].tolist()
+    k, m = 0, len(sources)
+    while k < m:
+        s, bits, n, fresh = sources[k], None, 0, False
+        while k < m and sources[k] == s:
+            c, f = targets[k], flags[k]
+            k += 1
+            has = live.pop(c, None) if f & 1 else live.get(c)
+            if has is None:
+                if c < low:
+                    continue
+                own = np.zeros(-(-(high - low) // 64), np.uint64)
+                own[(c - low) >> 6] = np.uint64(1 << ((c - low) & 63))
+                has = own, 1
+                if not f & 1:
+                    live[c] = has
+            if bits is None:
+                bits, n = has
+            elif bits is not has[0]:
+                if fresh:
+                    np.bitwise_or(bits, has[0], out=bits)
+                else:
+                    bits, fresh = bits | has[0], True
+                n = -1
+        if bits is None:
+            continue
+        if n < 0:
+            n = int(np.bitwise_count(bits).sum())
+        out[s - first] = n
+        if not f & 2:
+            continue
+        if s >= low:
+            bits = bits if fresh else bits.copy()
+            bits[(s - low) >> 6] |= np.uint64(1 << ((s - low) & 63))
+            n += 1
+        live[s] = bits, n
+    return out
+
+
 def levels(frag: DataFrame, edge: DataFrame) -> DataFrame:
     """v, slot_start, up, down: longest paths to and from each slot within its fragment; what reaches has the lesser up and greater down."""
 

@@ -82,7 +82,8 @@ def span_reach_contracted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transitive_closure(spark: SparkSession, d: str) -> DataFrame:
-    return fr.local_closure(*_parts(spark, d, SMALL_K))
+    i = index(spark, d)
+    return fr.whole_closure(i.slots, i.edges)
 
 
 def level_labels(spark: SparkSession, d: str) -> DataFrame:
