@@ -8,7 +8,7 @@ from graph_brute import INF, answer, graph, wedge
 from pyspark.sql import functions as F
 
 from wayspan.operators import dag, fragments as fr, graphs, reach
-from wayspan.plans import structure
+from wayspan.plans import graph as graph_plans, structure
 from wayspan.session import cut
 
 VISIT = "u bigint, v bigint, ts bigint, te bigint"
@@ -212,6 +212,36 @@ def test_temporal_paths(spark, rows):
     assert (2, 13, "arrive", 2, 13, "start", "wait") in rows(links) and nodes.count() == 10
 
 
+def test_fastest_query_takes_whole_windows(spark, rows, tmp_path):
+    visits, queries = drawn(9)
+    visits = [(u, v, ts * 3_600, te * 3_600) for u, v, ts, te in visits]
+    queries = [(n, u, w, a * 3_600, b * 3_600) for n, (u, w, a, b) in enumerate(queries)]
+    d = str(tmp_path)
+    spark.createDataFrame(visits, VISIT).write.parquet(f"{d}/visit.parquet")
+    spark.createDataFrame(queries, QUERY).write.parquet(f"{d}/span_query.parquet")
+    travel = [tuple(r) for r in graph_plans._travel(spark, d).collect()]
+    want = []
+    for q, source, start, end in graph_plans._sources(spark, d).select("qid", "source", "t_start", "t_end").collect():
+        best = {}
+        for leave in {t for a, _, t, _ in travel if a == source and start <= t <= end}:
+            seen, stack = set(), [(source, leave)]
+            while stack:
+                at, t = stack.pop()
+                for a, b, depart, duration in travel:
+                    # the first leg leaves at the time itself
+                    ok = depart == leave if not seen and (at, t) == (source, leave) else depart >= t
+                    if a == at and ok and depart + duration <= end and (b, depart + duration) not in seen:
+                        stack.append((b, depart + duration))
+                seen.add((at, t))
+            for b, t in seen:
+                if b != source:
+                    best[b] = min(t - leave, best.get(b, t - leave))
+        if best:
+            want.append((q, len(best), sum(best.values()), min(best.values())))
+    assert any(x[3] > 7_200 for x in want)
+    assert rows(graph_plans.fastest(spark, d)) == sorted(want)
+
+
 def test_least_fragments(spark):
     visits, _ = drawn(11)
     i = built(spark, visits)
