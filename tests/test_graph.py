@@ -212,6 +212,19 @@ def test_temporal_paths(spark, rows):
     assert (2, 13, "arrive", 2, 13, "start", "wait") in rows(links) and nodes.count() == 10
 
 
+def test_label_tests_decide_every_query(spark, tmp_path):
+    visits, queries = drawn(9)
+    d = str(tmp_path)
+    spark.createDataFrame(visits, VISIT).write.parquet(f"{d}/visit.parquet")
+    spark.createDataFrame([(n, *x) for n, x in enumerate(queries)], QUERY).write.parquet(f"{d}/span_query.parquet")
+    ends = {r["qid"] for r in graph_plans.query_endpoints(spark, d).collect()}
+    got = structure.label_tests(spark, d).collect()
+    g = graph(visits)
+    assert len(got) == len(ends) and {r["qid"] for r in got} == ends
+    assert all(r["verdict"] in ("same", "yes", "no") and (r["verdict"] != "no") == answer(g, *queries[r["qid"]]) for r in got)
+    assert {"labels", "order", "classes", "reach"} >= {r["told_by"] for r in got} > {"labels"}
+
+
 def test_fastest_query_takes_whole_windows(spark, rows, tmp_path):
     visits, queries = drawn(9)
     visits = [(u, v, ts * 3_600, te * 3_600) for u, v, ts, te in visits]
