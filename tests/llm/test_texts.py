@@ -141,6 +141,23 @@ def test_sentences(text, want):
     assert sentences(text) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("They like the look of modern art. John went with his horse.", ["They like the look of modern art.", "John went with his horse."]),
+        ("Er war da. Peter kam mit dem Pferd und der Frau.", ["Er war da.", "Peter kam mit dem Pferd und der Frau."]),
+        ("Voir art. Dumont dans le livre que nous avons et la page.", ["Voir art. Dumont dans le livre que nous avons et la page."]),
+        ("The mill was built in 1897. It was of stone. He left.", ["The mill was built in 1897.", "It was of stone.", "He left."]),
+        ("They sold bread, wine, etc. He left the market with her.", ["They sold bread, wine, etc.", "He left the market with her."]),
+        ("Er kam am 3. Mai mit dem Zug und der Post.", ["Er kam am 3. Mai mit dem Zug und der Post."]),
+        ("They wrote to Smith & Co. Ltd. of the city about No. 112. Mill and his man.", ["They wrote to Smith & Co. Ltd. of the city about No. 112. Mill and his man."]),
+        ("The letter was for J. Karmann and his wife.", ["The letter was for J. Karmann and his wife."]),
+    ],
+)
+def test_abbreviations_by_language(text, want):
+    assert sentences(text) == want
+
+
 def test_page_blocks(spark):
     lines = ["The Daily Bell", "BIG STORM", "Our mill stood near", "That horse ran.", "FOR SALE", "Tel. 5", "some river. The end came", "A cart broke"]
     #                  title    headline  column 1       column 2        advert          column 1 goes on

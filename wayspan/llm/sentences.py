@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +36,33 @@ LEADING = {
 }
 CLOSING = {
     "en": "etc a.m p.m co esq jr sr inc ltd doz s d",
-    "de": "usw etc chr m pf mk uhr",
+    "de": "usw etc chr m pf mk uhr a",
     "fr": "etc cie fr h j.-c c",
     "es": "etc cía pts m a",
     "ru": "др пр руб коп к р г т.д т.п д",
     "el": "κ.λπ κ.ά δρχ μ.μ π.μ",
 }
+# Words that tell a language of Latin script; those of two count for both.
+STOPS = {
+    "en": "the and of to is are were with for his her that this which by from not it he they every their one some our",
+    "de": "der die das und ist war nicht mit von zu ein eine einen dem den des auf für im am jeder jede unser unsere dieser diese aus gegen durch er sie wurde bei",
+    "fr": "le la les des un une et est dans pour que qui du au il elle sur pas avec ce cette notre était chaque sous",
+    "es": "el la los las un una y es en por que con del al se su este esta nuestro nuestra fue cada para",
+}
 SAID = "说道 问道 答道 說道 問道 答えた と سأل قال أجاب رد पूछा कहा बोला ጠየቀ አለ መለሰ".split()
 GOES_ON = "但是 因为 并且 于是 而且 و لكن عندما بينما لأن ثم और लेकिन क्योंकि जब እና ግን ሲ ምክንያቱም และ แต่ เมื่อ เพราะ".split()
 
-_OPENERS = frozenset(w for words in OPENERS.values() for w in words.split())
-_LEADING = frozenset(w for words in LEADING.values() for w in words.split())
-_CLOSING = frozenset(w for words in CLOSING.values() for w in words.split())
-_ENDABLE = _CLOSING | {"t", "т", "д"}
+def _by_language(words: dict[str, str]) -> dict[str | None, frozenset]:
+    """The words of each language; under None those of all, for blocks whose language can't be told."""
+    return {k: frozenset(x.split()) for k, x in words.items()} | {None: frozenset(w for x in words.values() for w in x.split())}
+
+
+_OPENERS, _LEADING, _CLOSING = _by_language(OPENERS), _by_language(LEADING), _by_language(CLOSING)
+_STOPS: dict[str, list[str]] = {}
+for _code, _words in STOPS.items():
+    for _word in _words.split():
+        _STOPS.setdefault(_word, []).append(_code)
+_NUMBERED = frozenset("no nos nr n nº núm p pp pág págs s str bd vol ch chap cap fig art стр гл ст σελ αρ".split())
 
 # Character properties: terminators by script, and the quotes and brackets that may close after them.
 # STerm is the standard property of marks that end sentences in any script.
@@ -64,7 +79,8 @@ _GREEK_MARK = re.compile(rf"[.…;;\p{{SB=STerm}}]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N
 _HAN_MARK = re.compile(r"(?:[．\p{SB=STerm}]|……|…|(?<!\.)\.{3,4}(?!\.))+(?:[ 　\n]?[」』”’）)】》〉]+)*")
 _OTHER_MARK = re.compile(r"(?:[.…\p{SB=STerm}]|(?<=[\p{L}\p{M}])\||[,،](?=[»”)]))+(?:[\"'”’»)\]]+|[  \n][”»)\]]+(?=\s|$))*")
 _THAI_MARK = re.compile(r"(?:[…\p{SB=STerm}]|(?<!\.)\.{3,4}(?!\.))+(?:[ \n]?[”’»)\]]+)*|(?<=[\p{Thai}\p{Lao}])[”»)]+")
-_LOST = re.compile(r"((?:[\p{Ll}\p{N}]|(?<=\w)[,·'])[)\]\"”’»“«]{0,2})[ \n]((?:" + "|".join(sorted(_OPENERS)) + r"))[ \n](?=[\p{L}])")
+_LOST = {k: re.compile(r"((?:[\p{Ll}\p{N}]|(?<=\w)[,·'])[)\]\"”’»“«]{0,2})[ \n]((?:" + "|".join(sorted(x)) + r"))[ \n](?=[\p{L}])") for k, x in _OPENERS.items()}
+_CYRILLIC = re.compile(r"\p{Cyrillic}")
 _NEXT = re.compile(r"[\s ]*(?:[·|'.,*•¦:][\s]+)*([“«\"„(¿¡‘»”*'\[]*[\s  ]?)([\p{L}\p{M}\p{N}]*)")
 _SAYS = re.compile(r"[\p{L}.]+[ \n]\p{Ll}+[ ]?:")
 _SPECK = re.compile(r"(?:[\s ]+[·|'.,*•¦~^_`]+)+[\s ]*$")
@@ -90,13 +106,13 @@ def ends_of(text: str | None, boxes: tuple[list, list, list, list] | None, width
             pieces.append(text[a:b])
             at += b - a + 1
         block = "\n".join(pieces)
-        for e in _block_ends(block, kind, uncased):
+        for e in _block_ends(block, kind, uncased, text):
             k = bisect_right(begins, e) - 1
             out.add(lines[numbers[k]][0] + e - begins[k])
     return sorted(out)
 
 
-def _block_ends(block: str, kind: str, uncased: bool) -> list[int]:
+def _block_ends(block: str, kind: str, uncased: bool, page: str) -> list[int]:
     if uncased and _UNCASED.search(block):
         if _THAI.search(block):
             found = _thai(block)
@@ -105,7 +121,7 @@ def _block_ends(block: str, kind: str, uncased: bool) -> list[int]:
         else:
             found = _other(block)
     else:
-        found = _cased(block, kind)
+        found = _cased(block, kind, page)
     close = len(block.rstrip())
     if not close:
         return found
@@ -127,8 +143,51 @@ def _before(block: str, at: int) -> str:
     return block[start:at].lstrip("“«\"„(¿¡‘»”'[")
 
 
-def _cased(block: str, kind: str) -> list[int]:
+def _votes(text: str) -> list[tuple[int, str]]:
+    """Languages of Latin script by the number of their words, the most first."""
+    n = dict.fromkeys(STOPS, 0)
+    for word in text.lower().split():
+        for k in _STOPS.get(word, ()):
+            n[k] += 1
+    return sorted(((c, k) for k, c in n.items()), reverse=True)
+
+
+@lru_cache(maxsize=8)
+def _page_language(page: str) -> str | None:
+    first, second = _votes(page)[:2]
+    return first[1] if first[0] > second[0] else None
+
+
+def _language(block: str, page: str) -> str | None:
+    """Language of a block by its letters and words; where these are few, of the page; None where neither tells."""
+    if _CYRILLIC.search(block):
+        return "ru"
+    if _GREEK.search(block):
+        return "el"
+    first, second = _votes(block)[:2]
+    return first[1] if first[0] > second[0] + 1 else _page_language(page) or (first[1] if first[0] > second[0] else None)
+
+
+def _closes(block: str, start: int, token: str, kind: str, lang: str | None) -> bool:
+    """Whether any word in capitals opens a sentence after this number or closing abbreviation.
+
+    Not in titles and adverts, nor where what follows may belong to it: German ordinals, days of
+    dates, numbers after No. or p., and numbers that open a block.
+    """
+    if kind != BODY:
+        return False
+    if not token[-1:].isdigit():
+        return len(token) > 1 and token in _CLOSING[lang] and token not in _LEADING[lang]
+    before = block[: start - len(token)].rstrip()
+    if not before or _before(block, len(before)).lower().rstrip(".") in _NUMBERED:
+        return False
+    return token.isdigit() and (len(token) > 2 or lang not in ("de", None))
+
+
+def _cased(block: str, kind: str, page: str) -> list[int]:
     out = []
+    lang = _language(block, page)
+    openers, leading, closing, lost = _OPENERS[lang], _LEADING[lang], _CLOSING[lang], _LOST[lang]
     for m in (_GREEK_MARK if _GREEK.search(block) else _CASED_MARK).finditer(block):
         start, end = m.span()
         found = m.group()
@@ -151,7 +210,7 @@ def _cased(block: str, kind: str) -> list[int]:
             out.append(end - 1)
             continue
         initial = len(word) == 1 and block[nxt.end() : nxt.end() + 1] == "."
-        opens = not initial and word in _OPENERS or (word.isupper() and len(word) > 1 and word.capitalize() in _OPENERS)
+        opens = not initial and word in openers or (word.isupper() and len(word) > 1 and word.capitalize() in openers)
         if "!" in marks or "?" in marks or ";" in marks or ";" in marks:
             if start and not lone and not shut and block[end : end + 1] not in (" ", "\n", " ", "", "“", "«", "("):
                 continue
@@ -171,15 +230,15 @@ def _cased(block: str, kind: str) -> list[int]:
         if shut and (upper or opened.strip()):
             out.append(end - 1)
             continue
-        short = len(token) == 1 or token in _LEADING or token in _ENDABLE or "." in token or token.endswith("str") or token[-1:].isdigit() or not token
-        if short and not opens:
-            ending = token in _CLOSING or token.rstrip(".") in _CLOSING or token[-1:].isdigit()
+        short = len(token) == 1 or token in leading or token in closing or "." in token or (lang in ("de", None) and token.endswith("str")) or token[-1:].isdigit() or not token
+        if short and not opens and not (upper and not initial and not (block[nxt.end() : nxt.end() + 1] == "." and word.lower() in leading | closing) and _closes(block, start, token, kind, lang)):
+            ending = token in closing or token.rstrip(".") in closing or token[-1:].isdigit()
             if not ((ending or token[-1:].isdigit()) and (opened.strip() in ("“", "«", '"', "„", "(", "¿", "¡", "‘", "»") or _SAYS.match(block, nxt.start(2)))):
                 continue
         out.append(end - 1)
     if kind == BODY:
-        for m in _LOST.finditer(block):
-            if len(m.group(1)) > 1 or m.group(1) in ",·'" or _before(block, m.end(1)).lower() not in _LEADING:
+        for m in lost.finditer(block):
+            if len(m.group(1)) > 1 or m.group(1) in ",·'" or _before(block, m.end(1)).lower() not in leading:
                 out.append(m.end(1) - 1)
     return out
 
@@ -220,7 +279,7 @@ def _other(block: str) -> list[int]:
             if pointless and not shut:
                 continue
             token = _before(block, start)
-            if not shut and (lone or len(token) == 1 or token in _LEADING or not token):
+            if not shut and (lone or len(token) == 1 or token in _LEADING[None] or not token):
                 if not (len(token) > 0 and end >= len(block.rstrip())):
                     continue
             if end < len(block) and not shut and not block[end].isspace():
