@@ -269,3 +269,11 @@ def test_least_fragments(spark):
 
     k = fr.least_fragments(i.slots, edges, 8)
     assert fits(k) and not (k > 1 and fits(k - 1))
+
+
+def test_least_fragments_beyond_the_first_upper_end(spark):
+    slot = spark.range(1_000).selectExpr("0L AS v", "id AS slot_start", "id + 1 AS slot_end")
+    edge = spark.range(999).selectExpr("0L AS src_v", "id AS src_start", "0L AS dst_v", "id + 1 AS dst_start")
+    assert fr.least_fragments(slot, edge, 4) == 12
+    assert fr.least_fragments(slot.limit(20), edge.limit(0), 4) is None
+    assert fr.least_fragments(slot.limit(0), edge.limit(0), 4) is None

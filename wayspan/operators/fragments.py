@@ -52,15 +52,23 @@ def borders(edge: DataFrame) -> DataFrame:
     return edge.where("src_frag <> dst_frag").select(F.col("dst_v").alias("v"), F.col("dst_start").alias("slot_start"), F.col("dst_frag").alias("frag")).distinct()
 
 
-def least_fragments(slot: DataFrame, edge: DataFrame, most: int = 1024) -> int:
-    """The least k, by bisection, with ceil(n / k) <= 8 * borders(k): a fragment's slots fit its border bitset."""
+def least_fragments(slot: DataFrame, edge: DataFrame, most: int = 1024) -> int | None:
+    """The least k, by bisection, with ceil(n / k) <= 8 * borders(k): a fragment's slots fit its border bitset.
+
+    most is where the search for an upper end starts; it is doubled until it fits. None where no k
+    does: with a slot for each fragment every edge leads over a border, so only without edges.
+    """
     n = slot.count()
 
     def fits(k: int) -> bool:
         found = borders(with_fragments(edge, fragments(slot, k))).count()
         return found > 0 and -(-n // k) <= 8 * found
 
-    low, high = 1, most
+    low, high = 1, max(1, min(most, n))
+    while not fits(high):
+        if high >= n:
+            return None
+        low, high = high + 1, min(2 * high, n)
     while low < high:
         middle = (low + high) // 2
         if fits(middle):
