@@ -1,6 +1,7 @@
 """Components, sessions, selection and rejects against brute force, with nulls, ties, repeats and clashing names."""
 
 import random
+import time
 
 import pytest
 from brute import components, line_reason, sessions as brute_sessions
@@ -8,7 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from wayspan.operators.components import interval_components, sessions
-from wayspan.operators.selection import key_quantiles, select_ranks
+from wayspan.operators.selection import bucket_of, key_quantiles, key_splits, select_ranks
 from wayspan.sources.rejects import parse_lines
 
 VISIT = "u bigint, v bigint, ts bigint, te bigint"
@@ -50,6 +51,25 @@ def test_sessions(spark, rows, width):
     assert rows(sessions(df, 20, width)) == brute_sessions(data, 20)
 
 
+def test_buckets_by_default_cut_hot_nodes(spark, rows, monkeypatch):
+    from wayspan.operators import components as c
+
+    cut_at = []
+    monkeypatch.setattr(c, "key_splits", lambda *a: cut_at.append(key_splits(*a)) or cut_at[-1])
+    data = drawn_visits(3000, 9, span=3000) + [(k, 1, 2 * k, 2 * k + 3 - k % 2) for k in range(4000)]
+    got = c.interval_components(spark.createDataFrame(data, "u bigint, v bigint, ts bigint, te bigint"))
+    assert rows(got) == components(data)
+    assert sum(len(r["splits"]) for r in cut_at[0].collect()) > 3
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 8])
+def test_bucket_of(spark, most):
+    splits = list(range(0, 10 * most, 10))
+    df = spark.createDataFrame([(splits, x) for x in range(-3, 10 * most + 3)] + [(None, 1)], "s array<bigint>, x bigint")
+    for r in df.select("s", "x", bucket_of("s", "x", most).alias("b")).collect():
+        assert r["b"] == (None if r["s"] is None else sum(k <= r["x"] for k in splits))
+
+
 def test_sessions_gap_is_inclusive_and_empty(spark, rows):
     df = spark.createDataFrame([(1, 0, 1), (1, 3600, 1), (1, 7201, 1)], "u bigint, ts bigint, v bigint")
     assert rows(sessions(df)) == [(1, 0, 3600, 3600, 2, 2), (1, 7201, 7201, 0, 1, 1)]
@@ -74,7 +94,7 @@ def test_quantiles_of_hot_and_cold_keys(spark, rows):
         if x is not None:
             by.setdefault(k, []).append(x)
     want = sorted((k, len(x), sorted(x)[(len(x) - 1) // 2], sorted(x)[9 * (len(x) - 1) // 10]) for k, x in by.items())
-    got = key_quantiles(spark.createDataFrame(data, "k bigint, x bigint"), "k", "x", {"p50": 0.5, "p90": 0.9}, direct_rows=100)
+    got = key_quantiles(spark.createDataFrame(data, "k bigint, x bigint"), "k", "x", {"p50": 0.5, "p90": 0.9})
     assert rows(got.select("k", "n", "p50", "p90")) == want
     assert key_quantiles(spark.createDataFrame([], "k bigint, x bigint"), "k", "x", {"p50": 0.5}).count() == 0
 
@@ -111,6 +131,16 @@ def test_reject_cases(spark):
     assert got[4]["u"] is None
 
 
+def test_a_batch_full_of_open_quotes(spark):
+    a, b = 1_700_000_000, 1_700_000_600
+    lines = [(1, f'1,2,{a},"{b}') if k % 100 else (1, f"1,2,{a},{b}") for k in range(100_000)] + [(3, f'1\t2\t{a}\t{b}\t"x')] * 500 + [(3, f'1\t2\t{a}\t{b}\t"x"')]
+    began = time.time()
+    got = reasons(spark, lines)
+    assert time.time() - began < 60
+    assert [k for k, r in got.items() if r["reason"] is None] == [*range(0, 100_000, 100), len(lines) - 1]
+    assert {r["reason"] for r in got.values()} == {None, "quoting"}
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from([1, 2, 3, 5]), st.lists(st.sampled_from(['"', '""', ",", " ", "\t", ";", "1", "7", "1700000000", "1700000009", "\n", "x", "\r"]), max_size=12).map("".join)), min_size=60, max_size=200))
 def test_reject_reasons_of_any_lines(spark, lines):

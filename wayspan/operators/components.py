@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wayspan.operators.selection import key_splits
-from wayspan.session import cut, small
+from wayspan.operators.selection import bucket_of, key_splits
+from wayspan.session import cut
 
+#: Least rows of a bucket of a node, and buckets for each partition of a shuffle where their size is left open.
+LEAST_BUCKET, BUCKETS = 256, 4
 
-def interval_components(visits: DataFrame, rows_per_bucket: int = 50_000) -> DataFrame:
+
+def interval_components(visits: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """Components of overlapping visits at every node: v, c_start, c_end, n (all BIGINT).
 
     Input: u, v, ts, te, of integer types; other columns are ignored. Rows with a null in one
@@ -18,16 +21,19 @@ def interval_components(visits: DataFrame, rows_per_bucket: int = 50_000) -> Dat
 
     Visits of one v and ts always share a component, so they are merged first, which bounds
     the rows of a node by the distinct instants. Nodes that still hold more than
-    rows_per_bucket are cut at exact quantiles of ts; each bucket is solved by itself, and at
-    most two partial components a bucket are joined across its borders.
+    rows_per_bucket (left open: an even share of all rows, BUCKETS for each partition of a
+    shuffle) are cut at exact quantiles of ts; each bucket is solved by itself, and at
+    most two partial components a bucket are joined across its borders. There are at most
+    rows / rows_per_bucket splits, which bounds what is broadcast by the partitions.
     """
     rows = visits.select(*[F.col(c).cast("bigint") for c in ("u", "v", "ts", "te")]).where("te > ts").dropna().distinct()
     rows = cut(rows.groupBy("v", "ts").agg(F.max("te").alias("te"), F.count("*").alias("n")))
-    splits = key_splits(rows, "v", "ts", rows_per_bucket)
+    n = rows.count()
+    size = rows_per_bucket or max(LEAST_BUCKET, -(-n // (BUCKETS * int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    splits = key_splits(rows, "v", "ts", size)
     hot = not splits.isEmpty()
     if hot:
-        rows = rows.join(small(splits, 20_000), "v", "left").withColumn("bucket", F.coalesce(F.size(F.filter("splits", lambda s: s <= F.col("ts"))), F.lit(0)))
-        rows = rows.withColumn("bucket", F.when(F.col("splits").isNull(), -1).otherwise(F.col("bucket"))).drop("splits")
+        rows = rows.join(F.broadcast(splits), "v", "left").withColumn("bucket", F.coalesce(bucket_of("splits", "ts", n // size), F.lit(-1))).drop("splits")
     else:
         rows = rows.withColumn("bucket", F.lit(-1))
     before = W.partitionBy("v", "bucket").orderBy("ts").rowsBetween(W.unboundedPreceding, -1)

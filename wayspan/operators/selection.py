@@ -16,19 +16,21 @@ from wayspan.session import cut, small
 ROUND_BITS = 11
 
 
-def select_ranks(df: DataFrame, wanted: DataFrame, key: str, value: str, round_bits: int = ROUND_BITS) -> DataFrame:
+def select_ranks(df: DataFrame, wanted: DataFrame, key: str, value: str, round_bits: int = ROUND_BITS, every_key: bool = False) -> DataFrame:
     """Values at given ranks: one row (key, rank, value) for each row (key, rank) of wanted.
 
     df: key of any groupable type, value BIGINT; rows with a null in either are left out.
     wanted: distinct (key, rank), rank BIGINT counted from 0 in ascending order of value,
     ties counted singly. Ranks outside a key's rows, and keys without rows, yield no row.
-    An empty df or wanted gives an empty result. Every round is one scan of the rows that
-    are still in open bins; rounds are at most ceil(bits of (max - min) / round_bits).
+    An empty df or wanted gives an empty result. every_key tells that wanted names all keys, so
+    rows needn't be looked up in it. A rank is settled once its bin holds one value only; every
+    round is one scan of the rows that are in bins still open, and there are at most
+    ceil(bits of (max - min) / round_bits).
     """
     rows = df.select(F.col(key).alias("_k"), F.col(value).cast("bigint").alias("_x")).dropna()
     state = cut(wanted.select(F.col(key).alias("_k"), F.col("rank").cast("bigint").alias("_r")).dropna().distinct())
-    keys = cut(state.select("_k").distinct())
-    rows = rows.join(small(keys), "_k", "left_semi")
+    if not every_key:
+        rows = rows.join(small(cut(state.select("_k").distinct())), "_k", "left_semi")
     low, high = rows.agg(F.min("_x"), F.max("_x")).first()
     if low is None:
         return state.limit(0).select(F.col("_k").alias(key), F.col("_r").alias("rank"), F.col("_r").alias(value))
@@ -36,25 +38,23 @@ def select_ranks(df: DataFrame, wanted: DataFrame, key: str, value: str, round_b
     while (high >> shift) - (low >> shift) >= 1 << round_bits:
         shift += 1
     #: _p: prefix of the open bin, _b: rows of the key below that bin.
-    state, open_shift = state.withColumn("_b", F.lit(0).cast("bigint")), None
+    state, open_shift, done = state.withColumn("_b", F.lit(0).cast("bigint")), None, []
     while True:
-        bin_ = F.shiftright("_x", shift)
-        if open_shift is None:
-            counts, on = rows.groupBy("_k", bin_.alias("_q")).agg(F.count("*").alias("_n")), ["_k"]
-        else:
-            bins = small(cut(state.select("_k", "_p").distinct()))
-            counts = rows.withColumn("_p", F.shiftright("_x", open_shift)).join(bins, ["_k", "_p"], "left_semi")
-            counts, on = counts.groupBy("_k", "_p", bin_.alias("_q")).agg(F.count("*").alias("_n")), ["_k", "_p"]
+        on, counted = ["_k"], rows
+        if open_shift is not None:
+            on, counted = ["_k", "_p"], rows.withColumn("_p", F.shiftright("_x", open_shift)).join(small(cut(state.select("_k", "_p").distinct())), ["_k", "_p"], "left_semi")
+        counts = counted.groupBy(*on, F.shiftright("_x", shift).alias("_q")).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         upto = W.partitionBy(*on).orderBy("_q").rowsBetween(W.unboundedPreceding, 0)
         counts = counts.withColumn("_to", F.sum("_n").over(upto)).withColumn("_from", F.col("_to") - F.col("_n"))
         left = F.col("_r") - F.col("_b")
-        state = cut(
-            counts.join(small(state), on)
-            .where((F.col("_from") <= left) & (left < F.col("_to")))
-            .select("_k", "_r", F.col("_q").alias("_p"), (F.col("_b") + F.col("_from")).alias("_b"))
-        )
-        if shift == 0:
-            return state.select(F.col("_k").alias(key), F.col("_r").alias("rank"), F.col("_p").alias(value))
+        found = cut(counts.join(small(state), on).where((F.col("_from") <= left) & (left < F.col("_to"))).select("_k", "_r", F.col("_q").alias("_p"), (F.col("_b") + F.col("_from")).alias("_b"), "_low", "_high"))
+        done.append(found.where("_low = _high").select(F.col("_k").alias(key), F.col("_r").alias("rank"), F.col("_low").alias(value)))
+        state = found.where("_low < _high").select("_k", "_r", "_p", "_b")
+        if shift == 0 or state.isEmpty():
+            out = done[0]
+            for more in done[1:]:
+                out = out.unionByName(more)
+            return out
         open_shift, shift = shift, max(0, shift - round_bits)
 
 
@@ -63,29 +63,19 @@ def quantile_rank(q: float, n: Column) -> Column:
     return F.expr("0").cast("bigint") + F.floor(F.lit(round(q * 10_000)).cast("bigint") * (n - 1) / F.lit(10_000)).cast("bigint")
 
 
-def key_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float], direct_rows: int = 20_000) -> DataFrame:
+def key_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles of value for every key: key, n and one BIGINT column for each name in probs.
 
     Quantiles are taken values (no interpolation), at rank floor(q * (n - 1)). Rows with a
-    null key or value don't count; a key without others has no row. Keys of at most
-    direct_rows rows are sorted in place, each group being that small; longer ones, of
-    which there are at most rows / direct_rows, go through select_ranks.
+    null key or value don't count; a key without others has no row. Keys of any size go through
+    select_ranks, so no task sees the rows of a key.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(value).cast("bigint").alias("_value")).dropna()
     sizes = cut(rows.groupBy("_key").agg(F.count("*").alias("n")))
-    hot = cut(sizes.where(F.col("n") > direct_rows))
-    cold_rows = rows.join(small(hot), "_key", "left_anti")
-    cold = (
-        cold_rows.groupBy("_key")
-        .agg(F.count("*").alias("n"), F.sort_array(F.collect_list("_value")).alias("_all"))
-        .select("_key", "n", *[F.element_at("_all", (quantile_rank(q, F.col("n")) + 1).cast("int")).alias(c) for c, q in probs.items()])
-    )
-    if hot.isEmpty():
-        return cold.withColumnRenamed("_key", key)
-    asked = hot.select("_key", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), quantile_rank(q, F.col("n")).alias("rank")) for c, q in probs.items()])).alias("a")).select("_key", "n", "a.*")
-    found = select_ranks(rows, asked.select("_key", "rank"), "_key", "_value")
-    warm = asked.join(found, ["_key", "rank"]).groupBy("_key", "n").agg(*[F.max(F.when(F.col("name") == c, F.col("_value"))).alias(c) for c in probs])
-    return cold.unionByName(warm).withColumnRenamed("_key", key)
+    asked = sizes.select("_key", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), quantile_rank(q, F.col("n")).alias("rank")) for c, q in probs.items()])).alias("a")).select("_key", "n", "a.*")
+    found = select_ranks(rows, asked.select("_key", "rank"), "_key", "_value", every_key=True)
+    named = asked.join(found, ["_key", "rank"]).groupBy("_key", "n").agg(*[F.max(F.when(F.col("name") == c, F.col("_value"))).alias(c) for c in probs])
+    return named.withColumnRenamed("_key", key)
 
 
 def key_splits(df: DataFrame, key: str, value: str, rows_per_bucket: int) -> DataFrame:
@@ -93,8 +83,15 @@ def key_splits(df: DataFrame, key: str, value: str, rows_per_bucket: int) -> Dat
 
     One row (key, splits) for each such key, splits being the ascending distinct values that
     open a bucket after the first. Keys without a row there are one bucket. Meant for rows
-    whose (key, value) are distinct, where no bucket exceeds rows_per_bucket.
+    whose (key, value) are distinct, where no bucket exceeds rows_per_bucket. There are at most
+    rows / rows_per_bucket splits in all.
     """
     hot = df.groupBy(F.col(key)).agg(F.count(value).alias("_n")).where((F.col("_n") > rows_per_bucket) & F.col(key).isNotNull())
     wanted = hot.select(key, F.explode(F.sequence(F.lit(rows_per_bucket).cast("bigint"), F.col("_n") - 1, F.lit(rows_per_bucket).cast("bigint"))).alias("rank"))
     return cut(select_ranks(df, wanted, key, value).groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("splits")))
+
+
+def bucket_of(splits: str, value: str, most: int) -> Column:
+    """How many of the ascending splits (at most `most`) are at or below value, by bisection; null where splits is."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+    return F.when(F.col(splits).isNotNull(), F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(splits, low + step - 1) <= F.col(value), low + step).otherwise(low)))

@@ -6,10 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: A side is broadcast only after its rows were counted and found to be at most so many.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only after its rows, and the bytes of its strings and arrays, were counted and found to be at most so many.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -68,13 +69,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to hold at most so many rows, else df as it is.
+    """df with a broadcast hint if it is counted to hold at most so many rows and BROADCAST_BYTES in columns of no fixed width, else df as it is.
 
     df should be a cut table, whose count reads file footers only.
     """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if df.limit(rows + 1).count() > rows:
+        return df
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
+    if wide:
+        held = [F.octet_length(F.col(c) if isinstance(df.schema[c].dataType, (StringType, BinaryType)) else F.to_json(F.struct(c))) for c in wide]
+        if (df.agg(*[F.sum(h).alias(str(k)) for k, h in enumerate(held)]).select(sum((F.coalesce(F.col(str(k)), F.lit(0)) for k in range(len(held))), F.lit(0))).first()[0]) > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
