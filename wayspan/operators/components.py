@@ -67,32 +67,37 @@ def _stitch(parts: DataFrame) -> DataFrame:
     return inner.unionByName(joined.drop("_g"))
 
 
-def sessions(arrivals: DataFrame, gap: int = 3600, width: int = 86_400) -> DataFrame:
+def sessions(arrivals: DataFrame, gap: int = 3600, width: int = 86_400, count_arrivals: bool = True) -> DataFrame:
     """Sessions of every visitor: u, s_start, s_end, duration, n_starts, n_arrivals (all BIGINT).
 
     Input: u, ts and v, of integer types; other columns are ignored. Rows with a null u or ts
     don't count. Equal (u, ts, v), null v included, are one arrival; n_arrivals counts those,
-    n_starts the distinct ts. A session ends where the next ts of its u is more than gap
-    seconds later. duration is s_end - s_start. No rows, no sessions.
+    n_starts the distinct ts; without count_arrivals v isn't read and n_arrivals is left out. A
+    session ends where the next ts of its u is more than gap seconds later. duration is
+    s_end - s_start. No rows, no sessions.
 
-    A window over (u, block of width seconds) flags gaps by lag and numbers sessions by the
-    running sum of flags: at most width distinct instants meet there, whatever a visitor's
-    share of all rows. Then the first and last session of each block are joined.
+    Rows are put together once, by u and block of width seconds: at most width distinct instants
+    meet there, whatever a visitor's share of all rows. Within it repeats go, a window flags gaps
+    by lag and numbers sessions by the running sum of flags. Then the first and last session of
+    each block are joined.
     """
-    rows = arrivals.select(F.col("u").cast("bigint"), F.col("ts").cast("bigint"), F.col("v")).where("u IS NOT NULL AND ts IS NOT NULL").distinct()
-    rows = rows.groupBy("u", "ts").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("bucket", F.floor(F.col("ts") / F.lit(width)).cast("bigint"))
-    within = W.partitionBy("u", "bucket").orderBy("ts")
+    what = ["n_arrivals"] if count_arrivals else []
+    rows = arrivals.select(F.col("u").cast("bigint"), F.col("ts").cast("bigint"), *[F.col("v") for _ in what]).where("u IS NOT NULL AND ts IS NOT NULL")
+    place = ["u", "bucket"]
+    rows = rows.withColumn("bucket", F.floor(F.col("ts") / F.lit(width)).cast("bigint")).repartition(*place)
+    rows = rows.groupBy(*place, "ts", *["v" for _ in what]).agg(F.lit(1).alias("_one"))
+    if what:
+        rows = rows.groupBy(*place, "ts").agg(F.count("*").alias("n_arrivals"))
+    within = W.partitionBy(*place).orderBy("ts")
     rows = rows.withColumn("_new", F.coalesce((F.col("ts") - F.lag("ts").over(within) > gap).cast("int"), F.lit(0)))
     rows = rows.withColumn("cid", F.sum("_new").over(within.rowsBetween(W.unboundedPreceding, 0)))
-    parts = rows.groupBy("u", "bucket", "cid").agg(F.min("ts").alias("s_start"), F.max("ts").alias("s_end"), F.count("*").alias("n_starts"), F.sum("n").alias("n_arrivals"))
-    blocks = W.partitionBy("u", "bucket")
-    parts = cut(parts.withColumn("_last", F.max("cid").over(blocks)))
+    parts = rows.groupBy(*place, "cid").agg(F.min("ts").alias("s_start"), F.max("ts").alias("s_end"), F.count("*").alias("n_starts"), *[F.sum(c).alias(c) for c in what])
+    parts = cut(parts.withColumn("_last", F.max("cid").over(W.partitionBy(*place))))
     inner = parts.where("cid > 0 AND cid < _last")
     edge = parts.where("cid = 0 OR cid = _last")
     along = W.partitionBy("u").orderBy("s_start")
     edge = edge.withColumn("_new", F.coalesce((F.col("s_start") - F.lag("s_end").over(along) > gap).cast("int"), F.lit(1)))
     edge = edge.withColumn("_g", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    edge = edge.groupBy("u", "_g").agg(F.min("s_start").alias("s_start"), F.max("s_end").alias("s_end"), F.sum("n_starts").alias("n_starts"), F.sum("n_arrivals").alias("n_arrivals"))
-    cols = ["u", "s_start", "s_end", "n_starts", "n_arrivals"]
-    return inner.select(*cols).unionByName(edge.select(*cols)).select("u", "s_start", "s_end", (F.col("s_end") - F.col("s_start")).alias("duration"), "n_starts", "n_arrivals")
+    edge = edge.groupBy("u", "_g").agg(F.min("s_start").alias("s_start"), F.max("s_end").alias("s_end"), *[F.sum(c).alias(c) for c in ("n_starts", *what)])
+    cols = ["u", "s_start", "s_end", "n_starts", *what]
+    return inner.select(*cols).unionByName(edge.select(*cols)).select("u", "s_start", "s_end", (F.col("s_end") - F.col("s_start")).alias("duration"), "n_starts", *what)

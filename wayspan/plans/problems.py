@@ -43,7 +43,7 @@ def p2_visits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_sessions(spark, d).where("n_starts >= 3").select("u", "s_start", "s_end")
+    return sessions(table(spark, d, "arrival"), SESSION_GAP, count_arrivals=False).where("n_starts >= 3").select("u", "s_start", "s_end")
 
 
 def p4_sessions(spark: SparkSession, d: str) -> DataFrame:
