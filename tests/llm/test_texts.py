@@ -158,6 +158,21 @@ def test_abbreviations_by_language(text, want):
     assert sentences(text) == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "She loved art.|Mary left early.", "He said no.|Mary left.", "Wait a sec.|Tom is here.", "She is my ex.|John knows her.", "He was born in 1990.|Mary was born in 1991.", "Er kam um 5.|Anna ging.",
+        "It cost 5 lb.|Nobody paid.", "We met at 5 p.m.|Oswald had gone.", "They live on Karane St.|Nobody minds.", "He ate a fig.|Dr. Penrose ate two.", "Is it Vol. 3?|Perhaps.", "I saw Mrs. Quint.|Rooks flew up.",
+        "Sie wohnen in der Goethestr.|Niemand weiß es.", "Er kam am 3. Mai mit dem 2. Zug.|Otto blieb.", "Er sah Nr. 7 und Nr. 8.|Die Frau ging.", "Il coûte 5 fr.|Personne ne paie.", "Il vit Mme. Dupont et M. Petit.|Luc partit.",
+        "Vino el Sr. Ortega.|Nadie lo vio.", "Cuesta 3 pts.|Carlos paga.", "Он жил в 1897 г.|Иван ушёл.", "Хлеб, соль и т. д.|Пётр ушёл.", "Он видел г-на Петрова и проф. Сидорова.|Анна ушла.",
+        "“你来吗？”他问。|她走了。", "“你来吗？”|她走了。", "「来るか？」と父は言った。|母は去った。", "「来る。」|ところが母は去った。", "«من أنت؟» صاح الرجل.|ذهب الولد.", "«من أنت؟»|ذهب الولد.",
+        "“कौन है?” बोली राधा।|वह गई।", "‘Who is it?’ cried Tom.|Nobody spoke.", "»Wer ist da?« rief Otto.|Niemand sprach.",
+    ],
+)
+def test_names_and_openings_of_no_list(text):
+    assert sentences(text.replace("|", " ").replace("。 ", "。").replace("” 她", "”她").replace("」 と", "」と")) == text.split("|")
+
+
 def test_page_blocks(spark):
     lines = ["The Daily Bell", "BIG STORM", "Our mill stood near", "That horse ran.", "FOR SALE", "Tel. 5", "some river. The end came", "A cart broke"]
     #                  title    headline  column 1       column 2        advert          column 1 goes on

@@ -1,90 +1,157 @@
-"""Sentence ends in scanned pages of many scripts."""
+"""Sentence ends in scanned pages of many scripts.
+
+The standard sentence-break rules run over each block of a page, by the property classes of Unicode
+(ATerm, STerm, Close, Sp, SContinue, Lower, Upper, OLetter, Numeric), so terminators of all scripts
+count. Tailored to them: abbreviations by the language of the block, quotations that are followed by
+who said them, and what a scanner does (marks set off, misread or lost).
+"""
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
 
-from wayspan.llm.layout import ADVERT, BODY, HEAD, blocks, lines_of, plain_blocks
-
-# Fixed values, by language: words that open a sentence in capitals and stand within one in small
-# letters; abbreviations that are followed by what they belong to; abbreviations that may also close
-# a sentence; verbs that tell who spoke; words with which a sentence goes on after an ellipsis.
-OPENERS = {
-    "en": "The A An Our This His Her Some Every That One Each Its Their These Those My Your No",
-    "de": "Der Die Das Ein Eine Unser Unsere Jeder Jede Jedes Dieser Diese Dieses Kein Keine Mein Sein Ihr",
-    "fr": "Le La Les Un Une Ce Cet Cette Ces Notre Nos Chaque Des",
-    "es": "El La Los Las Un Una Este Esta Estos Estas Cada Nuestro Nuestra",
-    "ru": "Этот Эта Это Тот Та То Каждый Каждая Каждое Один Одна Одно Наш Наша Наше",
-    "el": "Ο Η Το Οι Τα Μία Μια Ένας Ένα Κάθε",
+from wayspan.llm.layout import BODY, blocks, lines_of, plain_blocks
+
+# Fixed values, by language. TITLES: abbreviations that belong to the name or clause after them.
+# COUNTED: such as stand before a number. CLOSING: such as may close a sentence.
+TITLES = {
+    "en": "mr mrs ms messrs mme dr prof rev hon gen col capt lieut lt sgt maj supt gov sen st mt ft viz vs approx ca cf per e.g i.e",
+    "de": "ca z.b d.h d.i bzw hr hrn fr frl dr prof st vgl evtl sog geb gest inkl zzgl",
+    "fr": "m mm mme mlle mlles mgr dr st ste art env av ex p.ex c.-à-d bd boul prof",
+    "es": "sr sra srta sres dr dra da sto sta aprox avda ej p.ej prof gral cap ca",
+    "ru": "г-н г-жа ул им проф ок гл акад ср см тов просп",
+    "el": "κ κα οδ δρ αγ π.χ βλ",
+    "hi": "डॉ श्री कि.मी रु",
+    "ar": "د أ",
 }
-LEADING = {
-    "en": "mr mrs ms messrs dr prof rev hon gen col capt lieut lt sgt maj st mt ft no nos vol pp p ch fig sec viz vs approx ca cf jan feb mar apr jun jul aug sept sep oct nov dec tel per e.g i.e",
-    "de": "nr no ca z z.b d d.h u u.a v bzw hr hrn fr frl dr prof st fernspr tel str bd s vgl evtl sog geb gest angebote",
-    "fr": "m mm mme mlle dr st ste p pp art t env av ex r tél no n bd prof vol chap",
-    "es": "sr sra srta sres dr dra d da sto sta pág págs p núm no aprox avda tel c ej prof gral cap",
-    "ru": "г-н г-жа ул им проф стр ок тел пр д т е гл акад ср см no",
-    "el": "κ κα οδ αρ σελ τηλ δρ αγ π.χ π no",
-    "ar": "ص ب د أ م ت",
-    "hi": "डॉ श्री सं पृ कि.मी रु",
+COUNTED = {
+    "en": "no nos vol vols p pp ch chap fig figs sec tel jan feb mar apr jun jul aug sept sep oct nov dec",
+    "de": "nr no s bd kap abb art abs str fernspr tel",
+    "fr": "n no nos p pp t vol chap fig tél",
+    "es": "p pág págs núm no n vol c cap fig tel",
+    "ru": "стр тел no ст п рис",
+    "el": "αρ σελ τηλ no",
+    "hi": "सं पृ",
+    "ar": "ص ب م ت",
 }
 CLOSING = {
-    "en": "etc a.m p.m co esq jr sr inc ltd doz s d",
-    "de": "usw etc chr m pf mk uhr a",
-    "fr": "etc cie fr h j.-c c",
-    "es": "etc cía pts m a",
-    "ru": "др пр руб коп к р г т.д т.п д",
-    "el": "κ.λπ κ.ά δρχ μ.μ π.μ",
+    "en": "etc a.m p.m co esq jr sr inc ltd bros doz lb lbs oz yd yds min hr hrs",
+    "de": "usw etc chr v.chr n.chr pf mk uhr",
+    "fr": "etc cie fr j.-c",
+    "es": "etc cía pts ptas a.m p.m",
+    "ru": "др пр руб коп т.д т.п н.э",
+    "el": "κ.λπ κ.ά κ.τ.λ δρχ μ.μ π.μ",
+}
+# Function words. They tell a language of Latin script (those of two count for both), and are taken
+# for a sentence's first word where they stand in capitals and the mark before them is misread or lost.
+FUNCTION = {
+    "en": "the a an and of to in on at is are was were be with for her his its their our my your that this these those which by from not it he she they we you i one every some each any no but or if when while as there then so however after before",
+    "de": "der die das den dem des ein eine einen einem einer eines und ist war nicht mit von zu auf für im am jeder jede jedes kein keine unser unsere mein meine sein seine ihr ihre dieser diese dieses aus gegen durch er sie es wir ich wurde bei wenn als aber doch da dann hier in nach vor",
+    "fr": "le la les des un une et est dans pour que qui du au il elle ils elles on nous vous je sur pas avec ce cet cette ces notre nos votre leur était chaque sous mais ou si quand comme puis alors en à après avant",
+    "es": "el la los las un una unos unas y es en por que con del al se su sus este esta estos estas ese esa nuestro nuestra fue cada para pero o si cuando como entonces yo no lo después antes",
+    "ru": "этот эта это эти тот та то те каждый каждая каждое один одна одно наш наша наше мой его её их он она оно они мы вы я в на и но а если когда как после перед не",
+    "el": "ο η το οι τα του της των ένας μία μια ένα κάθε αυτός αυτή αυτό και να θα δεν σε με για από που αν όταν αλλά",
 }
-# Words that tell a language of Latin script; those of two count for both.
-STOPS = {
-    "en": "the and of to is are were with for his her that this which by from not it he they every their one some our",
-    "de": "der die das und ist war nicht mit von zu ein eine einen dem den des auf für im am jeder jede unser unsere dieser diese aus gegen durch er sie wurde bei",
-    "fr": "le la les des un une et est dans pour que qui du au il elle sur pas avec ce cette notre était chaque sous",
-    "es": "el la los las un una y es en por que con del al se su este esta nuestro nuestra fue cada para",
+# Verbs of saying: a quotation that closes with a mark and is followed by one of them goes on with who
+# said it. In scripts with case small letters tell that already; Japanese marks it with a particle.
+SAYING = {
+    "zh": "说 說 道 问 問 答 喊 叫 嚷 讲 講",
+    "ar": "قال قالت قالوا سأل سألت أجاب أجابت رد ردت صاح صاحت هتف صرخ همس أضاف أضافت تابع گفت پرسید",
+    "he": "אמר אמרה אמרו שאל שאלה ענה ענתה השיב השיבה קרא קראה לחש",
+    "hi": "कहा कही बोला बोली बोले पूछा पूछी चिल्लाया चिल्लाई उत्तर जवाब বলল বললেন বলেন শুধাল",
+    "am": "አለ አለች አሉ ጠየቀ ጠየቀች ጠየቁ መለሰ መለሰች ተናገረ ተናገረች ጮኸ",
 }
-SAID = "说道 问道 答道 說道 問道 答えた と سأل قال أجاب رد पूछा कहा बोला ጠየቀ አለ መለሰ".split()
-GOES_ON = "但是 因为 并且 于是 而且 و لكن عندما بينما لأن ثم और लेकिन क्योंकि जब እና ግን ሲ ምክንያቱም และ แต่ เมื่อ เพราะ".split()
+# German ordinals stand before a month, or after a word that takes a noun.
+MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember".split()
+ORDINAL = "am vom zum beim im der die das den dem des ab bis".split()
+
 
 def _by_language(words: dict[str, str]) -> dict[str | None, frozenset]:
     """The words of each language; under None those of all, for blocks whose language can't be told."""
     return {k: frozenset(x.split()) for k, x in words.items()} | {None: frozenset(w for x in words.values() for w in x.split())}
 
 
-_OPENERS, _LEADING, _CLOSING = _by_language(OPENERS), _by_language(LEADING), _by_language(CLOSING)
-_STOPS: dict[str, list[str]] = {}
-for _code, _words in STOPS.items():
-    for _word in _words.split():
-        _STOPS.setdefault(_word, []).append(_code)
-_NUMBERED = frozenset("no nos nr n nº núm p pp pág págs s str bd vol ch chap cap fig art стр гл ст σελ αρ".split())
+_TITLES, _COUNTED, _CLOSING, _FUNCTION = map(_by_language, (TITLES, COUNTED, CLOSING, FUNCTION))
+_SAYING = _by_language(SAYING)
+_LATIN = ("en", "de", "fr", "es")
+_TELLS: dict[str, list[str]] = {}
+for _code in _LATIN:
+    for _word in FUNCTION[_code].split():
+        _TELLS.setdefault(_word, []).append(_code)
+
+# Property classes. A line end within a block is a blank; a point that leads a run (an ellipsis) is ATerm,
+# and so is the ellipsis sign, which the standard leaves out. Close without what only opens.
+_TERM = r"\p{SB=ATerm}\p{SB=STerm}…"
+_SHUT = r"[[\p{SB=Close}]--[\p{Ps}]]"
+_SP = r"[\p{SB=Sp}\n]"
+_LATER = r"(?:[»”’)\]]|\"(?=\s|$))"  # closes after a blank as well
+_compile = lambda p: re.compile("(?V1)" + p)
+_CASED_MARK = _compile(rf"[{_TERM}]+(?:{_SHUT}+(?![\p{{L}}\p{{N}}])|{_SP}{_LATER}+(?=[\s.,;:!?]|$))*")
+_GREEK_MARK = _compile(rf"[{_TERM};\u037e]+(?:{_SHUT}+(?![\p{{L}}\p{{N}}])|{_SP}{_LATER}+(?=[\s.,;:!?]|$))*")
+#: Scripts of Han: a point only abbreviates or numbers, the wide one ends.
+_HAN_MARK = _compile(rf"(?:[[{_TERM}]--[.]]|(?<!\.)\.{{3,4}}(?!\.))+(?:[\p{{SB=Sp}}\n]?[{_SHUT}--[\p{{Pi}}]]+)*")
+#: Other scripts without case; a bar stands for a danda, a comma before a closing quote for a mark.
+_OTHER_MARK = _compile(rf"(?:[{_TERM}]|(?<=[\p{{L}}\p{{M}}])\||[,،](?=[»”)]))+(?:{_SHUT}+|[ \u00a0\n][”»)\]]+(?=\s|$))*")
+_THAI_MARK = _compile(rf"(?:[[{_TERM}]--[.]]|(?<!\.)\.{{3,4}}(?!\.))+(?:[ \n]?[”’»)\]]+)*|(?<=[\p{{Thai}}\p{{Lao}}])[”»)]+")
+_MARKS_ONLY = _compile(rf"^[{_TERM};\u037e|,،]+")
 
-# Character properties: terminators by script, and the quotes and brackets that may close after them.
-# STerm is the standard property of marks that end sentences in any script.
 _THAI = re.compile(r"[\p{Thai}\p{Lao}]")
 _HAN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-#: Letters without case, but for the ordinal signs of Latin.
+#: Letters without case (OLetter), but for the ordinal signs of Latin.
 _UNCASED = re.compile(r"(?![ªº])\p{Lo}")
 #: Scripts with a full stop of their own, in which a point only abbreviates.
 _POINTLESS = re.compile(r"[\p{Devanagari}\p{Bengali}\p{Ethiopic}\p{Myanmar}\p{Khmer}\p{Tibetan}]")
-_GREEK = re.compile(r"\p{Greek}")
-_SHUT = "\"'”’»«“‹›)\\]"
-_CASED_MARK = re.compile(rf"[.…\p{{SB=STerm}}]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n](?:[»”’)\]]|\"(?=\s|$))+(?=[\s.,;:!?]|$))*")
-_GREEK_MARK = re.compile(rf"[.…;;\p{{SB=STerm}}]+(?:[{_SHUT}]+(?![\p{{L}}\p{{N}}])|[   \n][»”’)\]]+(?=[\s.,;:!?]|$))*")
-_HAN_MARK = re.compile(r"(?:[．\p{SB=STerm}]|……|…|(?<!\.)\.{3,4}(?!\.))+(?:[ 　\n]?[」』”’）)】》〉]+)*")
-_OTHER_MARK = re.compile(r"(?:[.…\p{SB=STerm}]|(?<=[\p{L}\p{M}])\||[,،](?=[»”)]))+(?:[\"'”’»)\]]+|[  \n][”»)\]]+(?=\s|$))*")
-_THAI_MARK = re.compile(r"(?:[…\p{SB=STerm}]|(?<!\.)\.{3,4}(?!\.))+(?:[ \n]?[”’»)\]]+)*|(?<=[\p{Thai}\p{Lao}])[”»)]+")
-_LOST = {k: re.compile(r"((?:[\p{Ll}\p{N}]|(?<=\w)[,·'])[)\]\"”’»“«]{0,2})[ \n]((?:" + "|".join(sorted(x)) + r"))[ \n](?=[\p{L}])") for k, x in _OPENERS.items()}
-_CYRILLIC = re.compile(r"\p{Cyrillic}")
-_NEXT = re.compile(r"[\s ]*(?:[·|'.,*•¦:][\s]+)*([“«\"„(¿¡‘»”*'\[]*[\s  ]?)([\p{L}\p{M}\p{N}]*)")
+_GREEK, _CYRILLIC = re.compile(r"\p{Greek}"), re.compile(r"\p{Cyrillic}")
+_GOES_ON = _compile(r"[[\p{SB=SContinue}]--[—–]]|[\p{L}\p{N}/@;]")
+_NEXT = re.compile(r"[\s\u00a0]*(?:[·|'.,*•¦:][\s]+)*([“«\"„(¿¡‘»”*'\[]*[\s\u00a0\u202f]?)([\p{L}\p{M}\p{N}]*)")
+_OPENED = frozenset("“«\"„(¿¡‘»")
 _SAYS = re.compile(r"[\p{L}.]+[ \n]\p{Ll}+[ ]?:")
-_SPECK = re.compile(r"(?:[\s ]+[·|'.,*•¦~^_`]+)+[\s ]*$")
-_BLANK = re.compile(r"[  　]+\n?|\n[  　]+")
+_ROMAN = re.compile(r"[IVXLCDM]+$")
+_SMALL = re.compile(r"\p{Ll}+")
+_FIRST = re.compile(r"(?:^|[.!?…][\"'”’»«“)]*[ \n]+)[“«\"„(¿¡‘»]*[ \u00a0]?(\p{Lu}\p{Ll}*)(?=[ \n])")
+_LOST = re.compile(r"((?:[\p{Ll}\p{N}]|(?<=\w)[,·'])[)\]\"”’»“«]{0,2})(?=[ \n](\p{Lu}\p{Ll}*)[ \n]\p{L})")
+_SPECK = re.compile(r"(?:[\s\u00a0]+[·|'.,*•¦~^_`]+)+[\s\u00a0]*$")
+_BLANK = re.compile(r"[ \u00a0\u3000]+\n?|\n[ \u00a0\u3000]+")
+_SHORT_THAI = re.compile(r"[\p{Thai}]{1,5}\.")
+_QUOTATIVE = re.compile(r"[ \n\u3000]*(?:って|と(?!ころ|もに|ても|にかく))")
+_CLAUSE = re.compile(r"[ \n\u3000]*([^。！？，；：…、「『“:\n]{1,14}+)(?!\n?[：:])")
+
+
+class Page:
+    """A page's text and what its words tell, found when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def small(self) -> frozenset:
+        """Words that stand in small letters somewhere."""
+        return frozenset(_SMALL.findall(self.text))
+
+    @cached_property
+    def first(self) -> frozenset:
+        """Words in capitals that open a sentence after a mark."""
+        return frozenset(_FIRST.findall(self.text))
+
+    @cached_property
+    def language(self) -> str | None:
+        first, second = _votes(self.text)[:2]
+        return first[1] if first[0] > second[0] else None
+
+    def opens(self, word: str, lang: str | None) -> bool:
+        """Whether a word in capitals is a common one, which has them for the sake of its place: a function
+        word of the language, or one that stands in small letters on the page and opens a sentence there."""
+        if word.isupper() and len(word) > 1:
+            word = word.capitalize()
+        low = word.lower()
+        return low in _FUNCTION.get(lang, _FUNCTION[None]) or low in self.small and word in self.first
 
 
 def ends_of(text: str | None, boxes: tuple[list, list, list, list] | None, width: int | None) -> list[int]:
@@ -97,7 +164,7 @@ def ends_of(text: str | None, boxes: tuple[list, list, list, list] | None, width
     else:
         parts = plain_blocks(text, lines)
     out: set[int] = set()
-    uncased = _UNCASED.search(text) is not None
+    page, uncased = Page(text), _UNCASED.search(text) is not None
     for kind, numbers in parts:
         pieces, begins, at = [], [], 0
         for k in numbers:
@@ -106,13 +173,13 @@ def ends_of(text: str | None, boxes: tuple[list, list, list, list] | None, width
             pieces.append(text[a:b])
             at += b - a + 1
         block = "\n".join(pieces)
-        for e in _block_ends(block, kind, uncased, text):
+        for e in _block_ends(block, kind, uncased, page):
             k = bisect_right(begins, e) - 1
             out.add(lines[numbers[k]][0] + e - begins[k])
     return sorted(out)
 
 
-def _block_ends(block: str, kind: str, uncased: bool, page: str) -> list[int]:
+def _block_ends(block: str, kind: str, uncased: bool, page: Page) -> list[int]:
     if uncased and _UNCASED.search(block):
         if _THAI.search(block):
             found = _thai(block)
@@ -139,69 +206,44 @@ def _block_ends(block: str, kind: str, uncased: bool, page: str) -> list[int]:
 
 def _before(block: str, at: int) -> str:
     """The word that ends at the position, without quotes before it."""
-    start = max(block.rfind(" ", 0, at), block.rfind("\n", 0, at), block.rfind(" ", 0, at)) + 1
+    start = max(block.rfind(" ", 0, at), block.rfind("\n", 0, at), block.rfind("\u00a0", 0, at)) + 1
     return block[start:at].lstrip("“«\"„(¿¡‘»”'[")
 
 
 def _votes(text: str) -> list[tuple[int, str]]:
     """Languages of Latin script by the number of their words, the most first."""
-    n = dict.fromkeys(STOPS, 0)
+    n = dict.fromkeys(_LATIN, 0)
     for word in text.lower().split():
-        for k in _STOPS.get(word, ()):
+        for k in _TELLS.get(word, ()):
             n[k] += 1
     return sorted(((c, k) for k, c in n.items()), reverse=True)
 
 
-@lru_cache(maxsize=8)
-def _page_language(page: str) -> str | None:
-    first, second = _votes(page)[:2]
-    return first[1] if first[0] > second[0] else None
-
-
-def _language(block: str, page: str) -> str | None:
+def _language(block: str, page: Page) -> str | None:
     """Language of a block by its letters and words; where these are few, of the page; None where neither tells."""
     if _CYRILLIC.search(block):
         return "ru"
     if _GREEK.search(block):
         return "el"
     first, second = _votes(block)[:2]
-    return first[1] if first[0] > second[0] + 1 else _page_language(page) or (first[1] if first[0] > second[0] else None)
-
+    return first[1] if first[0] > second[0] + 1 else page.language or (first[1] if first[0] > second[0] else None)
 
-def _closes(block: str, start: int, token: str, kind: str, lang: str | None) -> bool:
-    """Whether any word in capitals opens a sentence after this number or closing abbreviation.
 
-    Not in titles and adverts, nor where what follows may belong to it: German ordinals, days of
-    dates, numbers after No. or p., and numbers that open a block.
-    """
-    if kind != BODY:
-        return False
-    if not token[-1:].isdigit():
-        return len(token) > 1 and token in _CLOSING[lang] and token not in _LEADING[lang]
-    before = block[: start - len(token)].rstrip()
-    if not before or _before(block, len(before)).lower().rstrip(".") in _NUMBERED:
-        return False
-    return token.isdigit() and (len(token) > 2 or lang not in ("de", None))
-
-
-def _cased(block: str, kind: str, page: str) -> list[int]:
+def _cased(block: str, kind: str, page: Page) -> list[int]:
+    """Scripts with case. The rules' numbers are those of the standard."""
     out = []
     lang = _language(block, page)
-    openers, leading, closing, lost = _OPENERS[lang], _LEADING[lang], _CLOSING[lang], _LOST[lang]
-    for m in (_GREEK_MARK if _GREEK.search(block) else _CASED_MARK).finditer(block):
+    for m in (_GREEK_MARK if lang == "el" else _CASED_MARK).finditer(block):
         start, end = m.span()
         found = m.group()
-        marks = found.rstrip("\"'”’»«“‹›)]   \n")
+        marks = _MARKS_ONLY.match(found).group()
         shut = len(marks) < len(found)
-        if end < len(block) and not shut:
-            c = block[end]
-            if c.isalnum() or c in ",-/@:" or (c == ";" and marks == "."):
-                continue
-        if len(marks) > 4 and marks.strip(".") == "":
+        if end < len(block) and not shut and _GOES_ON.match(block, end):  # SB6, SB7, SB8a
+            continue
+        if len(marks) > 4 and marks.strip(".") == "":  # leaders
             continue
         nxt = _NEXT.match(block, end)
-        word, opened = nxt.group(2), nxt.group(1)
-        upper = word[:1].isupper()
+        opened, word = nxt.group(1).strip(), nxt.group(2)
         lone = start > 0 and block[start - 1].isspace()
         if not word:
             more = any(c.isalnum() for c in block[end : end + 12])
@@ -209,103 +251,130 @@ def _cased(block: str, kind: str, page: str) -> list[int]:
                 continue
             out.append(end - 1)
             continue
-        initial = len(word) == 1 and block[nxt.end() : nxt.end() + 1] == "."
-        opens = not initial and word in openers or (word.isupper() and len(word) > 1 and word.capitalize() in openers)
-        if "!" in marks or "?" in marks or ";" in marks or ";" in marks:
-            if start and not lone and not shut and block[end : end + 1] not in (" ", "\n", " ", "", "“", "«", "("):
+        upper, lower = word[0].isupper(), word[0].islower()
+        if "!" in marks or "?" in marks or ";" in marks or "\u037e" in marks:
+            if start and not lone and not shut and block[end : end + 1] not in (" ", "\n", "\u00a0", "", "“", "«", "("):
                 continue
-            if not upper and not word[0].isdigit() and (kind == BODY or shut) and not opened.strip():
+            if not upper and not word[0].isdigit() and (kind == BODY or shut) and not opened:  # SB8, for STerm as well
                 continue
             out.append(end - 1)
             continue
-        if "…" in marks or len(marks) > 1:
-            if upper or (opened.strip() and not word[0].islower()):
+        if len(marks) > 1 or "…" in marks:
+            if upper or opened and not lower:
                 out.append(end - 1)
             continue
-        if lone and not shut and (not opens or _done(block, start)):
+        if lone and not shut and (_done(block, start) or not upper or not page.opens(word, lang)):
             continue
-        if not upper and not (opened.strip() and shut):
+        if not upper and not (opened and shut):  # SB8
             continue
-        token = _before(block, start).lower()
-        if shut and (upper or opened.strip()):
-            out.append(end - 1)
+        if not shut and not lone and _abbreviates(block, start, nxt, kind, lang, page):
             continue
-        short = len(token) == 1 or token in leading or token in closing or "." in token or (lang in ("de", None) and token.endswith("str")) or token[-1:].isdigit() or not token
-        if short and not opens and not (upper and not initial and not (block[nxt.end() : nxt.end() + 1] == "." and word.lower() in leading | closing) and _closes(block, start, token, kind, lang)):
-            ending = token in closing or token.rstrip(".") in closing or token[-1:].isdigit()
-            if not ((ending or token[-1:].isdigit()) and (opened.strip() in ("“", "«", '"', "„", "(", "¿", "¡", "‘", "»") or _SAYS.match(block, nxt.start(2)))):
-                continue
-        out.append(end - 1)
+        out.append(end - 1)  # SB11
     if kind == BODY:
-        for m in lost.finditer(block):
-            if len(m.group(1)) > 1 or m.group(1) in ",·'" or _before(block, m.end(1)).lower() not in leading:
+        for m in _LOST.finditer(block):
+            if page.opens(m.group(2), lang) and (len(m.group(1)) > 1 or m.group(1) in ",·'" or _before(block, m.end(1)).lower() not in _TITLES.get(lang, _TITLES[None])):
                 out.append(m.end(1) - 1)
     return out
 
 
+def _abbreviates(block: str, start: int, nxt: re.Match, kind: str, lang: str | None, page: Page) -> bool:
+    """Whether a point before a word in capitals belongs to the abbreviation, initial or number before it."""
+    raw = _before(block, start)
+    token = raw.lower()
+    at = start - len(raw)
+    opened, word = nxt.group(1).strip(), nxt.group(2)
+    dotted = block[nxt.end() : nxt.end() + 1] == "."
+    initial = len(word) == 1 and dotted
+    titles, counted, closing = (x.get(lang, x[None]) for x in (_TITLES, _COUNTED, _CLOSING))
+    number = token[-1:].isdigit()
+    if not (number or len(token) == 1 or "." in token or token in titles or token in counted or token in closing or token.endswith("str")):
+        return False
+    begins = opened != "" and opened[0] in _OPENED
+    opens = begins or not initial and page.opens(word, lang)
+    before = block[:at].rstrip()
+    last = _before(block, len(before))
+    if number:
+        if not before or kind != BODY:
+            return not opens
+        if lang in ("de", None) and token.isdigit() and len(token) < 3 and (word.lower() in MONTHS or last.lower() in ORDINAL):
+            return True
+        if last.lower().rstrip(".") in counted:
+            return not (opens or _SAYS.match(block, nxt.start(2)))
+        return False
+    joined = last.lower() + token if len(last) < 4 and last.endswith(".") else token
+    unit = len(token) == 1 and raw.islower() and last[-1:].isdigit()
+    street = token.endswith("str") or token == "st" and lang == "en" and last[:1].isupper()
+    if unit or street or token in closing or joined in closing:
+        if kind != BODY:
+            return not begins
+        return initial or dotted and (word.lower() in titles or word.lower() in closing)
+    if token in titles or joined in titles:
+        return True
+    if token in counted and len(token) > 1:
+        return kind != BODY or _ROMAN.match(word) is not None
+    return not (opens or raw.islower() and _SAYS.match(block, nxt.start(2)))  # initials and other letters with points
+
+
 def _done(block: str, at: int) -> bool:
     """Whether what stands before a lone mark has an end already, so that the mark is a speck."""
     return block[:at].rstrip()[-1:] in ".!?…\"'”’»«“)]"
 
 
-def _follows(block: str, end: int, words: list[str]) -> bool:
-    rest = block[end : end + 12].lstrip(" \n 　")
-    return any(rest.startswith(w) for w in words)
-
-
 def _han(block: str) -> list[int]:
     out = []
     for m in _HAN_MARK.finditer(block):
-        found = m.group()
-        shut = found[-1] in "」』”’）)】》〉"
-        if shut and _follows(block, m.end(), SAID):
-            continue
-        if found[0] in "….-" and _follows(block, m.end(), GOES_ON):
+        if m.group()[-1] in "」』”’）)】》〉" and _said_in_han(block, m.end()):
             continue
         out.append(m.end() - 1)
     return out
 
 
+def _said_in_han(block: str, end: int) -> bool:
+    """Whether a quotation is followed by its particle (Japanese), or by a clause that opens or closes with a verb of saying."""
+    if _QUOTATIVE.match(block, end):
+        return True
+    clause = _CLAUSE.match(block, end)
+    return clause is not None and (clause.group(1)[0] in _SAYING["zh"] or clause.group(1)[-1] in _SAYING["zh"])
+
+
 def _other(block: str) -> list[int]:
     out = []
     pointless = _POINTLESS.search(block) is not None
     for m in _OTHER_MARK.finditer(block):
         start, end = m.span()
         found = m.group()
-        marks = found.rstrip("\"'”’»)]  \n")
+        marks = _MARKS_ONLY.match(found).group()
         shut = len(marks) < len(found)
         lone = start > 0 and block[start - 1].isspace()
         if marks == ".":
             if pointless and not shut:
                 continue
             token = _before(block, start)
-            if not shut and (lone or len(token) == 1 or token in _LEADING[None] or not token):
+            if not shut and (lone or len(token) == 1 or token in _TITLES[None] or token in _COUNTED[None] or not token):
                 if not (len(token) > 0 and end >= len(block.rstrip())):
                     continue
             if end < len(block) and not shut and not block[end].isspace():
                 continue
-            if not shut and token[-1:].isdigit() and end < len(block) and block[end : end + 2].strip()[:1].isdigit():
+            if not shut and token[-1:].isdigit() and end < len(block) and block[end : end + 2].strip()[:1].isdigit():  # SB6
                 continue
         elif len(marks) > 4 and marks.strip(".") == "":
             continue
-        elif marks[0] in ".…" and not shut and (lone or _word_goes_on(block, end)):
+        elif marks[0] in ".…" and not shut and lone:
             continue
-        if shut and _word_in(block, end, SAID):
+        if shut and _says_next(block, end):
             continue
         out.append(end - 1)
     return out
 
 
-def _word_in(block: str, end: int, words: list[str]) -> bool:
-    rest = block[end:].lstrip(" \n ")[:14].replace("\n", " ")
-    return any(rest == w or rest.startswith(w + " ") for w in words)
-
-
-def _word_goes_on(block: str, end: int) -> bool:
-    return _word_in(block, end, GOES_ON)
+def _says_next(block: str, end: int) -> bool:
+    """Whether the next word is a verb of saying."""
+    rest = block[end : end + 24].split(None, 1)
+    return bool(rest) and rest[0].rstrip(".,:؛،") in _SAYING[None]
 
 
 def _thai(block: str) -> list[int]:
+    """The marks of the rules, and blanks between clauses, since a sentence there mostly has no mark."""
     out = [m.end() - 1 for m in _THAI_MARK.finditer(block)]
     for m in _BLANK.finditer(block):
         start, end = m.span()
@@ -323,15 +392,12 @@ def _thai(block: str) -> list[int]:
         if left.endswith("ฯลฯ"):
             out.append(start - 1)
             continue
-        if "." in left or _ABBREVIATED.match(right):
+        if "." in left or _SHORT_THAI.match(right):
             continue
         out.append(start - 1)
     return out
 
 
-_ABBREVIATED = re.compile(r"[\p{Thai}]{1,5}\.")
-
-
 def sentence_ends(documents: DataFrame) -> DataFrame:
     """doc_id and end_pos of every sentence of every page.
 
