@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from wayspan.llm import packing, tokens
+from wayspan.llm import tokens
 from wayspan.llm.packing import best_fit, containers, hilbert
 from wayspan.llm.sentences import ends_of, sentence_ends
 from wayspan.llm.tokens import Codec, codec, token_ids, token_texts
@@ -64,15 +64,14 @@ def test_hilbert_is_a_path_over_all_cells():
         assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
-def test_containers(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK", 64)
+def test_containers(spark):
     r = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta"]
     data = [(k, " ".join(r.choice(words) for _ in range(r.choice([0, 3, 10, 40, 200])))) for k in range(400)]
     data += [(1000, None), (1001, ""), (3, data[3][1]), (None, "a b c")]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("curve", F.lit(0)).withColumn("container", F.lit(0))
     kinds = spark.createDataFrame([(1, 16), (2, 64), (3, None), (None, 5), (4, 0)], "kind_id int, capacity int")
-    got = containers(df, kinds).collect()
+    got = containers(df, kinds, block=64).collect()
     size = {}
     for d, t in data:
         size.setdefault(d, []).append(len(plain(t or "")))
@@ -91,6 +90,10 @@ def test_containers(spark, monkeypatch):
         assert max(full) <= capacity
         assert len(full) <= -(-sum(full) // capacity) * 1.1 + 3
     assert {row["kind_id"] for row in got} == {1, 2}
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = containers(df.repartition(7), kinds, block=64).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(str, again)) == sorted(map(str, got))
     assert containers(df.limit(0), kinds).count() == 0 and containers(df, kinds.limit(0)).count() == 0
 
 

@@ -7,10 +7,12 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wayspan.llm.tokens import TOKENIZERS, VOCABULARY, codec, encoded
+from wayspan.operators.blocks import with_rank
 from wayspan.session import cut
 
 #: The curve: dimensions of the projected vectors and bits of each.
@@ -19,7 +21,6 @@ DIMENSIONS, BITS = 4, 8
 #: full; what is in less full ones is packed again with the neighbours that come next.
 BLOCK, FULL = 8_192, 0.995
 SCHEMA = "kind_id int, container string, doc_id bigint, piece bigint, first_token bigint, n_tokens bigint"
-_ARROW = pa.schema([("kind_id", pa.int32()), ("container", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64())])
 
 
 @functools.lru_cache(1)
@@ -81,7 +82,7 @@ def page_keys(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str =
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, curve bigint")
 
 
-def containers(documents: DataFrame, kinds: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def containers(documents: DataFrame, kinds: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """The container of every page or piece, for each kind: kind_id, container, doc_id, piece, first_token, n_tokens.
 
     kinds: kind_id and capacity; a row with a null in either, or a capacity below 1, is no kind,
@@ -91,59 +92,71 @@ def containers(documents: DataFrame, kinds: DataFrame, folder: str = TOKENIZERS,
     Every row of documents comes out once for each kind, with its pieces; a null doc_id stays
     null. container is unique over kinds. No documents or no kinds: no rows.
 
-    The rest pieces are range-sorted by kind and curve key, with doc_id and piece to part ties,
-    so hot places on the curve spread over tasks; sizes and keys are cut first, since the range sort
-    reads its input twice. A task packs BLOCK neighbours at a time: in
-    falling size, each into the fullest container that still takes it. It holds two blocks of
-    sizes at most.
+    Pieces are range-sorted by kind and curve key, ties by doc_id, piece and size, and ranked; a
+    task packs the block pieces of neighbouring ranks: in falling size, each into the fullest
+    container that still takes it. What is in less than full containers is ranked again and packed
+    with its neighbours on the curve, round by round, until a block holds it all; a round leaves at
+    most half of its pieces. Blocks are ranges of ranks and name their containers, so the
+    result doesn't depend on partitions, and a task that is run again gives the same rows.
     """
     known = kinds.select(F.col("kind_id").cast("int"), F.col("capacity").cast("bigint")).dropna().where("capacity >= 1").distinct().limit(1001).collect()
     if len(known) > 1000:
         raise ValueError("too many kinds of containers")
-    kind = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("kind_id"), F.lit(r[1]).cast("bigint").alias("capacity")) for r in sorted(known)])
     if not known:
         return documents.sparkSession.createDataFrame([], SCHEMA)
-    sized = cut(page_keys(documents, folder, vocabulary)).select("doc_id", "n_tokens", "curve", F.explode(kind).alias("k")).select("k.*", "doc_id", "n_tokens", "curve")
-    whole = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("bigint")
-    sized = sized.withColumn("_whole", whole).withColumn("_rest", F.col("n_tokens") - F.col("_whole") * F.col("capacity"))
-    pieces = sized.select(
-        "kind_id",
-        "capacity",
-        "curve",
-        "doc_id",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - F.when(F.col("_rest") > 0, 0).when(F.col("_whole") > 0, 1).otherwise(0))).alias("piece"),
-        "_whole",
-        "_rest",
-    ).withColumn("n_tokens", F.when(F.col("piece") < F.col("_whole"), F.col("capacity")).otherwise(F.col("_rest")))
-    pieces = pieces.select("kind_id", "capacity", "curve", "doc_id", "piece", "n_tokens")
-    order = ["kind_id", "curve", "doc_id", "piece"]
-    return pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, SCHEMA)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    here, number = TaskContext.get().partitionId(), 0
-    kind, capacity, items = None, 0, []
-    for batch in batches:
-        for kind_id, size, _, doc, piece, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if kind_id != kind or len(items) >= BLOCK:
-                done, items = settle(items, capacity, kind_id != kind)
-                if done:
-                    yield _rows(kind, capacity, done, f"{here}-", number)
-                    number += len(done)
-                kind, capacity = kind_id, size
-            items.append((n, doc, piece))
-    done, _ = settle(items, capacity, True)
-    if done:
-        yield _rows(kind, capacity, done, f"{here}-", number)
+    kind = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("kind_id"), F.lit(r[1]).cast("bigint").alias("capacity")) for r in sorted(known)])
+    left = cut(pieces_of(cut(page_keys(documents, folder, vocabulary)), kind))
+    done, number = [], 0
+    while True:
+        n = left.count()
+        packed = left.select(*_ORDER, "capacity")
+        packed = with_rank(packed, _ORDER).withColumn("block", F.floor(F.col("rank") / F.lit(block)).cast("bigint"))
+        packed = cut(packed.groupBy("kind_id", "block").applyInPandas(_packer(number, n <= block), _PACKED))
+        done.append(packed.where("container IS NOT NULL").select("kind_id", "container", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), "n_tokens"))
+        left, number = packed.where("container IS NULL"), number + 1
+        if n <= block:
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def pieces_of(keys: DataFrame, kind: Column) -> DataFrame:
+    """A row for each piece of each page and kind: kind_id, capacity, curve, doc_id, piece, n_tokens."""
+    sized = keys.select("doc_id", "n_tokens", "curve", F.explode(kind).alias("k")).select("k.*", "doc_id", "n_tokens", "curve")
+    last = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("n_tokens") / F.col("capacity")).cast("bigint") - 1)
+    rows = sized.select("kind_id", "capacity", "curve", "doc_id", F.col("n_tokens").alias("_all"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    return rows.withColumn("n_tokens", F.least("capacity", F.col("_all") - F.col("piece") * F.col("capacity"))).drop("_all")
+
+
+_ORDER = ["kind_id", "curve", "doc_id", "piece", "n_tokens"]
+_PACKED = "kind_id int, container string, curve bigint, doc_id bigint, piece bigint, n_tokens bigint, capacity bigint"
+
+
+def _packer(number: int, last: bool):
+    """Packs a block of round `number`; pieces to be packed again have no container."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", kind="stable", ignore_index=True)
+        kind, capacity, here = int(pdf["kind_id"].iloc[0]), int(pdf["capacity"].iloc[0]), int(pdf["block"].iloc[0])
+        done, _ = settle(list(zip(pdf["n_tokens"].tolist(), range(len(pdf)))), capacity, last)
+        names = [None] * len(pdf)
+        for k, c in enumerate(sorted(done, key=lambda c: min(x[1] for x in c))):
+            for _, at in c:
+                names[at] = f"{kind}-{number}-{here}-{k}"
+        pdf["container"] = pd.Series(names, dtype=object)
+        return pdf[["kind_id", "container", "curve", "doc_id", "piece", "n_tokens", "capacity"]]
+
+    return pack
 
 
 def settle(items: list[tuple], capacity: int, last: bool) -> tuple[list[list[tuple]], list[tuple]]:
-    """Containers that are done, and the items to be packed again with those to come.
+    """Containers that are done, and the items to be packed again with others.
 
-    Items are tuples that begin with the size. All containers are done at the last call for a
-    kind, or if less than half of a block was in full ones.
+    Items are tuples that begin with the size. All containers are done at the last call, else
+    those that are full; of the others the fullest are done as well if they hold more than half
+    of the items, until a quarter is left.
     """
     filled = best_fit(items, capacity)
     if last:
@@ -151,11 +164,13 @@ def settle(items: list[tuple], capacity: int, last: bool) -> tuple[list[list[tup
     done = [c for room, c in filled if room <= (1 - FULL) * capacity]
     rest = [c for room, c in filled if room > (1 - FULL) * capacity]
     left = sum(map(len, rest))
-    if left > len(items) // 2:  # of these the fullest are done as well
+    if left > len(items) // 2:
         rest.sort(key=lambda c: -sum(x[0] for x in c))
-        while rest and left > len(items) // 4:
-            done.append(rest.pop(0))
-            left -= len(done[-1])
+        at = 0
+        while at < len(rest) and left > len(items) // 4:
+            left -= len(rest[at])
+            at += 1
+        done, rest = done + rest[:at], rest[at:]
     return done, [x for c in rest for x in c]
 
 
@@ -174,8 +189,3 @@ def best_fit(items: list[tuple], capacity: int) -> list[tuple[int, list[tuple]]]
         bisect.insort(rooms, (room - item[0], at))
     left = {at: room for room, at in rooms}
     return [(left[k], c) for k, c in enumerate(out)]
-
-
-def _rows(kind: int, capacity: int, done: list[list[tuple]], prefix: str, number: int) -> pa.RecordBatch:
-    rows = [(kind, f"{prefix}{number + k}", doc, piece, piece * capacity, n) for k, c in enumerate(done) for n, doc, piece in c]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)

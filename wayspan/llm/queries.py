@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayspan.llm.frequent import shared_values, top_values
-from wayspan.llm.packing import containers
+from wayspan.llm.packing import containers, page_keys
 from wayspan.llm.pairs import cooccurrence
 from wayspan.llm.sentences import sentence_ends
 from wayspan.llm.tokens import token_ids, token_texts
-from wayspan.session import table
+from wayspan.session import cut, table
 
 TOP = 100
 
@@ -49,6 +49,25 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(table(spark, d, "documents"), table(spark, d, "container_kind"))
 
 
+def p7_placed(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that have a first piece in some container of each kind."""
+    return p7_containers(spark, d).where("piece = 0").select("kind_id", "doc_id")
+
+
+def p7_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be, as kind_id and what: containers above their capacity, pages of which a token is
+    missing or doubled, pieces of pages that would fit whole, and pieces that leave room but aren't the last."""
+    kinds = table(spark, d, "container_kind").select("kind_id", "capacity")
+    got = cut(p7_containers(spark, d)).join(F.broadcast(kinds), "kind_id")  # a fixed table
+    over = got.groupBy("kind_id", "capacity", "container").agg(F.sum("n_tokens").alias("n")).where("n > capacity").select("kind_id", F.lit("capacity").alias("what"))
+    pages = got.groupBy("kind_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("n_pieces"), F.countDistinct("first_token").alias("n_firsts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"))
+    want = page_keys(table(spark, d, "documents")).select("doc_id", F.col("n_tokens").alias("n"))
+    pages = pages.join(want, "doc_id", "full")
+    missed = pages.where("held IS NULL OR n IS NULL OR held <> n OR upto <> n OR n_firsts <> n_pieces").select("kind_id", F.lit("page").alias("what"))
+    torn = pages.where("n_pieces > greatest(1, ceil(n / capacity))").select("kind_id", F.lit("cut").alias("what"))
+    return over.unionByName(missed).unionByName(torn)
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers of each kind are, against the least number that could hold the tokens."""
     kinds = table(spark, d, "container_kind").select("kind_id", "capacity")
@@ -61,7 +80,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_ends(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_found, p5_top, p6_ids, p6_texts, p7_containers, p7_fill, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p5_found, p5_top, p6_ids, p6_texts, p7_containers, p7_placed, p7_violations, p7_fill, p8_found)}
 
 _PAIRS = """
     WITH b AS (SELECT DISTINCT u, ts // 86400 AS day, v FROM arrival WHERE u IS NOT NULL AND ts IS NOT NULL AND v IS NOT NULL),
@@ -75,5 +94,7 @@ SQL = {
     "p3_pairs": _PAIRS + "SELECT v_a, v_b, n_ab, n_a, n_b, CAST(n_ab * n AS DOUBLE) / CAST(n_a * n_b AS DOUBLE) AS lift, round(log2(CAST(n_ab * n AS DOUBLE) / CAST(n_a * n_b AS DOUBLE)), 6) AS pmi FROM r",
     "p5_found": "SELECT v FROM arrival WHERE v IS NOT NULL GROUP BY v HAVING 1000 * count(*) >= 2 * (SELECT count(v) FROM arrival)",
     "p5_top": f"SELECT v, count(*) AS n_rows FROM arrival WHERE v IS NOT NULL GROUP BY v ORDER BY n_rows DESC, v LIMIT {TOP}",
+    "p7_placed": "SELECT kind_id, doc_id FROM documents, container_kind",
+    "p7_violations": "SELECT kind_id, '' AS what FROM container_kind WHERE capacity < 0",
     "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
