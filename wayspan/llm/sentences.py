@@ -81,10 +81,6 @@ def _by_language(words: dict[str, str]) -> dict[str | None, frozenset]:
 _TITLES, _COUNTED, _CLOSING, _FUNCTION = map(_by_language, (TITLES, COUNTED, CLOSING, FUNCTION))
 _SAYING = _by_language(SAYING)
 _LATIN = ("en", "de", "fr", "es")
-_TELLS: dict[str, list[str]] = {}
-for _code in _LATIN:
-    for _word in FUNCTION[_code].split():
-        _TELLS.setdefault(_word, []).append(_code)
 
 # Property classes. A line end within a block is a blank; a point that leads a run (an ellipsis) is ATerm,
 # and so is the ellipsis sign, which the standard leaves out. Close without what only opens.
@@ -111,12 +107,13 @@ _POINTLESS = re.compile(r"[\p{Devanagari}\p{Bengali}\p{Ethiopic}\p{Myanmar}\p{Kh
 _GREEK, _CYRILLIC = re.compile(r"\p{Greek}"), re.compile(r"\p{Cyrillic}")
 _GOES_ON = _compile(r"[[\p{SB=SContinue}]--[—–]]|[\p{L}\p{N}/@;]")
 _NEXT = re.compile(r"[\s\u00a0]*(?:[·|'.,*•¦:][\s]+)*([“«\"„(¿¡‘»”*'\[]*[\s\u00a0\u202f]?)([\p{L}\p{M}\p{N}]*)")
+_BLANKS = ("", " ", "\n")
 _OPENED = frozenset("“«\"„(¿¡‘»")
 _SAYS = re.compile(r"[\p{L}.]+[ \n]\p{Ll}+[ ]?:")
 _ROMAN = re.compile(r"[IVXLCDM]+$")
 _SMALL = re.compile(r"\p{Ll}+")
 _FIRST = re.compile(r"(?:^|[.!?…][\"'”’»«“)]*[ \n]+)[“«\"„(¿¡‘»]*[ \u00a0]?(\p{Lu}\p{Ll}*)(?=[ \n])")
-_LOST = re.compile(r"((?:[\p{Ll}\p{N}]|(?<=\w)[,·'])[)\]\"”’»“«]{0,2})(?=[ \n](\p{Lu}\p{Ll}*)[ \n]\p{L})")
+_CAPITAL = re.compile(r"[ \n](?=(\p{Lu}\p{Ll}*)[ \n]\p{L})")
 _SPECK = re.compile(r"(?:[\s\u00a0]+[·|'.,*•¦~^_`]+)+[\s\u00a0]*$")
 _BLANK = re.compile(r"[ \u00a0\u3000]+\n?|\n[ \u00a0\u3000]+")
 _SHORT_THAI = re.compile(r"[\p{Thai}]{1,5}\.")
@@ -212,11 +209,8 @@ def _before(block: str, at: int) -> str:
 
 def _votes(text: str) -> list[tuple[int, str]]:
     """Languages of Latin script by the number of their words, the most first."""
-    n = dict.fromkeys(_LATIN, 0)
-    for word in text.lower().split():
-        for k in _TELLS.get(word, ()):
-            n[k] += 1
-    return sorted(((c, k) for k, c in n.items()), reverse=True)
+    words = text.lower().split()
+    return sorted(((sum(map(_FUNCTION[k].__contains__, words)), k) for k in _LATIN), reverse=True)
 
 
 def _language(block: str, page: Page) -> str | None:
@@ -236,9 +230,9 @@ def _cased(block: str, kind: str, page: Page) -> list[int]:
     for m in (_GREEK_MARK if lang == "el" else _CASED_MARK).finditer(block):
         start, end = m.span()
         found = m.group()
-        marks = _MARKS_ONLY.match(found).group()
+        marks = found if len(found) == 1 else _MARKS_ONLY.match(found).group()
         shut = len(marks) < len(found)
-        if end < len(block) and not shut and _GOES_ON.match(block, end):  # SB6, SB7, SB8a
+        if not shut and block[end : end + 1] not in _BLANKS and _GOES_ON.match(block, end):  # SB6, SB7, SB8a
             continue
         if len(marks) > 4 and marks.strip(".") == "":  # leaders
             continue
@@ -271,9 +265,24 @@ def _cased(block: str, kind: str, page: Page) -> list[int]:
             continue
         out.append(end - 1)  # SB11
     if kind == BODY:
-        for m in _LOST.finditer(block):
-            if page.opens(m.group(2), lang) and (len(m.group(1)) > 1 or m.group(1) in ",·'" or _before(block, m.end(1)).lower() not in _TITLES.get(lang, _TITLES[None])):
-                out.append(m.end(1) - 1)
+        out += _lost(block, lang, page)
+    return out
+
+
+def _lost(block: str, lang: str | None, page: Page) -> list[int]:
+    """Ends whose mark is lost, or misread as one that ends nothing: before a common word in capitals."""
+    out = []
+    titles = _TITLES.get(lang, _TITLES[None])
+    for m in _CAPITAL.finditer(block):
+        end = at = m.start()
+        while at > max(0, end - 2) and block[at - 1] in ")]\"”’»“«":
+            at -= 1
+        c = block[at - 1 : at]
+        misread = c != "" and c in ",·'" and block[at - 2 : at - 1].isalnum()
+        if not (misread or c.islower() or c.isnumeric()) or not page.opens(m.group(1), lang):
+            continue
+        if misread or at < end or _before(block, end).lower() not in titles:
+            out.append(end - 1)
     return out
 
 
