@@ -64,3 +64,13 @@ def test_frequent_of_little(spark, rows):
     assert rows(top_values(df, "v", 10)) == [(3, 2), (4, 1)]
     assert top_values(df.limit(0), "v", 3).count() == 0 and shared_values(df.limit(0), "v", 2).count() == 0
     assert rows(heavy_values(df, "v", 2)) == [(3, 2)]
+
+
+def test_frequent_with_more_prefixes_than_are_worth_a_lookup(spark, rows, monkeypatch):
+    from wayspan.llm import frequent
+
+    monkeypatch.setattr(frequent, "MOST_PREFIXES", 3)
+    data = [x for x in range(5000) for _ in range(1 + (x % 500 == 0))]
+    df = spark.createDataFrame([(x,) for x in data], "x bigint")
+    want = sorted(Counter(data).items(), key=lambda x: (-x[1], x[0]))
+    assert rows(top_values(df, "x", 7)) == sorted(want[:7]) and rows(top_values(df, "x", 30)) == sorted(want[:30])
