@@ -34,7 +34,7 @@ def cooccurrence(baskets: DataFrame, keys: list[str], item: str, min_together: i
     sizes = cut(sizes)
     rare = sizes.orderBy(F.desc("_size"), *keys).limit(max(0, min_together - 1))
     rare = cut(rare)
-    blocks = rows.join(small(sizes), keys, "left").join(F.broadcast(rare.select(*keys)), keys, "left_anti")
+    blocks = rows.join(small(sizes), keys, "left").join(small(rare.select(*keys)), keys, "left_anti")
     count = F.coalesce(F.ceil(F.col("_size") / BLOCK_ITEMS), F.lit(1)).cast("bigint")
     blocks = blocks.withColumn("_of", count).withColumn("_block", F.pmod(F.xxhash64("_item"), F.col("_of")))
     blocks = blocks.groupBy(*keys, "_of", "_block").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
@@ -52,7 +52,7 @@ def cooccurrence(baskets: DataFrame, keys: list[str], item: str, min_together: i
     pairs = made.groupBy("a", "b").agg(F.count("*").alias("n_ab"))
     if not rare.isEmpty():
         pairs = cut(pairs)
-        held = rows.join(F.broadcast(rare.select(*keys)), keys, "left_semi").groupBy("_item").agg(F.collect_set(F.struct(*keys)).alias("_in"))
+        held = rows.join(small(rare.select(*keys)), keys, "left_semi").groupBy("_item").agg(F.collect_set(F.struct(*keys)).alias("_in"))
         left, right = held.select(F.col("_item").alias("a"), F.col("_in").alias("_in_a")), held.select(F.col("_item").alias("b"), F.col("_in").alias("_in_b"))
         extra = F.coalesce(F.size(F.array_intersect("_in_a", "_in_b")), F.lit(0))
         pairs = pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", (F.col("n_ab") + F.when(F.col("_in_a").isNull() | F.col("_in_b").isNull(), 0).otherwise(extra)).alias("n_ab"))
