@@ -32,11 +32,7 @@ def ask(spark, i, queries, delta=INF):
 
 def ask_wedge(spark, i, queries):
     q = spark.createDataFrame([(k, *x) for k, x in enumerate(queries)], QUERY)
-    pair = dag.contacts(i.visits)
-    a, b = (i.visits.select(F.col("u").alias(x), F.col("ts").alias(f"{x}_ts"), F.col("te").alias(f"{x}_te")) for x in "ab")
-    pair = pair.join(a, ["a", "a_ts"]).join(b, ["b", "b_ts"]).select("v", "a", "a_ts", "a_te", "b", "b_ts", "b_te")
-    back = pair.select("v", *[F.col(f"{x}{s}").alias(f"{y}{s}") for x, y in ("ba", "ab") for s in ("", "_ts", "_te")])
-    return [r["reachable"] for r in reach.wedge_reachable(q, pair.unionByName(back)).orderBy("qid").collect()]
+    return [r["reachable"] for r in reach.wedge_reachable(q, i.visits, 7).orderBy("qid").collect()]
 
 
 T = [(0, 0, 1, 5), (1, 0, 4, 10), (2, 0, 9, 12)]
@@ -212,6 +208,38 @@ def test_temporal_paths(spark, rows):
     assert (2, 13, "arrive", 2, 13, "start", "wait") in rows(links) and nodes.count() == 10
 
 
+def test_windows_that_reach_far(spark):
+    i = built(spark, MOVE)
+    far = 10**15
+    queries = [(0, 2, -far, far), (0, 2, 0, far), (2, 0, -far, far), (0, 2, far, 2 * far), (0, 2, -2 * far, -far), (0, 2, -(2**62), 2**62)]
+    assert ask(spark, i, queries) == [True, True, False, False, False, True]
+    assert ask_wedge(spark, i, queries) == [True, True, False, False, False, True]
+    edges = spark.createDataFrame([(1, 2, 10, 5), (2, 3, 15, 5)], "src bigint, dst bigint, depart bigint, duration bigint")
+    q = spark.createDataFrame([(0, 1, -far, far)], "qid bigint, source bigint, t_start bigint, t_end bigint")
+    assert [r["arrival"] for r in reach.earliest_arrival(q, edges).orderBy("vertex").collect()] == [-far, 15, 20]
+    assert [r["seconds"] for r in reach.fastest(q, edges).orderBy("vertex").collect()] == [5, 10]
+
+
+def test_latest_departures(spark, rows):
+    r = random.Random(6)
+    data = [(r.randint(0, 5), r.randint(0, 5), r.randint(0, 60), r.randint(0, 9)) for _ in range(60)]
+    edges = spark.createDataFrame(data, "src bigint, dst bigint, depart bigint, duration bigint")
+    asks = [(k, r.randint(0, 6), *sorted((r.randint(0, 70), r.randint(0, 70)))) for k in range(8)]
+    q = spark.createDataFrame(asks, "qid bigint, target bigint, t_start bigint, t_end bigint")
+    want = []
+    for k, target, low, high in asks:
+        best = {target: high}
+        for _ in range(len(data)):
+            for a, b, t, n in data:
+                if b in best and t + n <= best[b] and t >= low and t > best.get(a, -1):
+                    best[a] = t
+        want += [(k, v, t) for v, t in best.items()]
+    assert rows(reach.latest_departure(q, edges)) == sorted(want)
+    within = lambda x, low, high: [t for t in x if low <= t <= high]
+    first = [(k, min(within([t for a, _, t, _ in data if a == v], low, high), default=None), max(within([t + n for _, b, t, n in data if b == v], low, high), default=None)) for k, v, low, high in asks]
+    assert rows(reach.first_departures(q.withColumnRenamed("target", "source"), edges)) == sorted(x for x in first if x[1:] != (None, None))
+
+
 def test_label_tests_decide_every_query(spark, tmp_path):
     visits, queries = drawn(9)
     d = str(tmp_path)

@@ -39,6 +39,20 @@ def with_running_max(df: DataFrame, keys: list[str], order: str, value: Column,
     return rows.select(*[F.col(c) for c in df.columns], F.greatest("_run", "_carry").alias(name))
 
 
+def as_of(df: DataFrame, other: DataFrame, keys: list[str], at: str, order: str, name: str, forward: bool = False, width: int = WIDTH) -> DataFrame:
+    """df with the greatest order of other's rows of the same keys at or before at (forward: the least at or after); null where none is.
+
+    Rows of both are put together by key and block of time, so neither a long interval nor a long
+    group is ever expanded. order and at are BIGINT; rows of df with a null key or at get null.
+    """
+    sign = -1 if forward else 1
+    points = other.select(*keys, (F.col(order) * sign).alias("_t"), (F.col(order) * sign).alias("_o")).unionByName(df.select(*keys, (F.col(at) * sign).alias("_t"), F.lit(None).cast("bigint").alias("_o")))
+    points = points.dropna(subset=[*keys, "_t"]).groupBy(*keys, "_t").agg(F.max("_o").alias("_o"))
+    found = with_running_max(points, keys, "_t", F.col("_o"), "_found", width)
+    found = found.select(*keys, (F.col("_t") * sign).alias(at), (F.col("_found") * sign).alias(name))
+    return df.join(found, [*keys, at], "left").select(*df.columns, name)
+
+
 def with_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """df with the place, from 0, of each row in the order of the columns, which must part all rows.
 

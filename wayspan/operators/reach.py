@@ -7,10 +7,10 @@ so a lost executor costs at most a round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wayspan.operators.blocks import by_cells
-from wayspan.session import BROADCAST_ROWS, cut
+from wayspan.operators.blocks import as_of, by_cells
+from wayspan.session import cut, drop, small
 
 DAY = 86_400
 #: Rounds after which a fixpoint is taken to be broken; each round is a change of place, of which a path has few.
@@ -18,10 +18,9 @@ MOST_ROUNDS = 500
 
 
 def _sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """df cut, with a broadcast hint if its rows, which are counted from the files' footers, are few; and their number."""
+    """df cut, and its rows, which are counted from the files' footers."""
     df = cut(df)
-    n = df.count()
-    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
+    return df, df.count()
 
 
 def clean_queries(queries: DataFrame) -> DataFrame:
@@ -35,37 +34,49 @@ def endpoints(queries: DataFrame, meeting: DataFrame, slot: DataFrame) -> DataFr
 
     Source: in the first visit of u that ends after q_start and starts before q_end, the earliest
     slot that ends after q_start. Target: in the last such visit of w, the latest slot that starts
-    before q_end. Queries without one of both have no row; qid must be unique in queries.
+    before q_end. Queries without one of both have no row; qid must be unique in queries. Visits of
+    a visitor don't overlap, so each is an as-of look-up by an end or a start, and so is the slot:
+    a window may reach as far as it likes.
     """
     ask = clean_queries(queries).where("q_start < q_end")
     found = {}
     for side, who in (("src", "u"), ("dst", "w")):
-        cells = by_cells(ask.select("qid", F.col(who).alias("u"), "q_start", "q_end"), F.col("q_start"), F.col("q_end"), DAY)
-        seen = by_cells(meeting.select("u", "v", "c_start", "ts", "te"), F.col("ts"), F.col("te"), DAY)
-        rows = cells.join(seen, ["u", "_cell"]).where("te > q_start AND ts < q_end")
-        visit = F.struct("ts", "te", "v", "c_start", "q_start", "q_end")
-        pick = (F.min(visit) if side == "src" else F.max(visit)).alias("x")
-        rows = rows.groupBy("qid").agg(pick).select("qid", "x.*")
+        rows = ask.select("qid", F.col(who).alias("u"), "q_start", "q_end", (F.col("q_start") + 1).alias("_from"), (F.col("q_end") - 1).alias("_to"))
+        if side == "src":
+            rows = as_of(rows, meeting, ["u"], "_from", "te", "te", forward=True).join(meeting.select("u", "te", "ts", "v", "c_start"), ["u", "te"])
+        else:
+            rows = as_of(rows, meeting, ["u"], "_to", "ts", "ts").join(meeting.select("u", "ts", "te", "v", "c_start"), ["u", "ts"])
+        rows = rows.where("te > q_start AND ts < q_end")
         at = F.greatest("ts", "q_start") if side == "src" else F.least(F.col("te"), F.col("q_end")) - 1
-        rows = rows.withColumn("at", at).withColumn("_cell", F.floor(F.col("at") / F.lit(DAY)).cast("bigint"))
-        tiles = by_cells(slot.select("v", "slot_start", "slot_end"), F.col("slot_start"), F.col("slot_end"), DAY)
-        rows = rows.join(tiles, ["v", "_cell"]).where("slot_start <= at AND at < slot_end")
+        rows = as_of(rows.withColumn("at", at), slot, ["v"], "at", "slot_start", "slot_start")
         found[side] = rows.select("qid", F.col("v").alias(f"{side}_v"), F.col("c_start").alias(f"{side}_c"), F.col("slot_start").alias(f"{side}_start"))
     return found["src"].join(found["dst"], "qid")
 
 
-def spread(seeds: DataFrame, visits: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+def spread(seeds: DataFrame, visits: DataFrame, bound: DataFrame | None = None, goals: DataFrame | None = None) -> DataFrame:
     """Least slot start at which each qid enters each component it can reach: qid, v, c_start, at.
 
     seeds: qid, v, c_start, at. visits: u, run, v, c_start, ts, last_start. bound: qid, until; what
     starts after it is left out. From a component entered at `at`, every visit whose last slot
-    starts at or after it leads to the later visits of its run.
+    starts at or after it leads to the later visits of its run. With goals (qid, v, c_start,
+    dst_start) the result is the qids that enter their goal by dst_start, and such go no further.
+    Tables of a round are removed once the next ones are written.
     """
     state = cut(seeds.groupBy("qid", "v", "c_start").agg(F.min("at").alias("at")))
-    fresh, n = _sized(state)
-    left = None
     rows = cut(visits.select("u", "run", "v", "c_start", "ts", "last_start"))
+    known = cut(state)
+    hits, left, fresh, n = [], None, state, state.count()
     for _ in range(MOST_ROUNDS):
+        if n and goals is not None:
+            hits.append(cut(fresh.join(goals, ["qid", "v", "c_start"]).where("at <= dst_start").select("qid").distinct()))
+            fresh, n = _sized(fresh.join(small(hits[-1]), "qid", "left_anti"))
+        if not n:
+            if goals is None:
+                return known
+            out = state.select("qid").limit(0)
+            for h in hits:
+                out = out.unionByName(h)
+            return out
         caught = fresh.join(rows, ["v", "c_start"]).where("last_start >= at")
         if bound is not None:
             caught = caught.join(bound, "qid").where("ts <= until").drop("until")
@@ -73,17 +84,18 @@ def spread(seeds: DataFrame, visits: DataFrame, bound: DataFrame | None = None)
         if left is not None:
             caught = caught.join(left.withColumnRenamed("ts0", "_had"), ["qid", "u", "run"], "left").where("_had IS NULL OR ts0 < _had").drop("_had")
         better, n = _sized(caught)
-        if not n:
-            return state
-        left = better if left is None else cut(left.unionByName(better).groupBy("qid", "u", "run").agg(F.min("ts0").alias("ts0")))
-        went = better.join(rows, ["u", "run"]).where("ts > ts0")
-        if bound is not None:
-            went = went.join(bound, "qid").where("ts <= until")
-        went = went.groupBy("qid", "v", "c_start").agg(F.min("ts").alias("at"))
-        fresh, n = _sized(went.join(state.withColumnRenamed("at", "_had"), ["qid", "v", "c_start"], "left").where("_had IS NULL OR at < _had").drop("_had"))
-        if not n:
-            return state
-        state = cut(state.unionByName(fresh).groupBy("qid", "v", "c_start").agg(F.min("at").alias("at")))
+        if n:
+            old, left = left, better if left is None else cut(left.unionByName(better).groupBy("qid", "u", "run").agg(F.min("ts0").alias("ts0")))
+            went = better.join(rows, ["u", "run"]).where("ts > ts0")
+            if bound is not None:
+                went = went.join(bound, "qid").where("ts <= until")
+            went = went.groupBy("qid", "v", "c_start").agg(F.min("ts").alias("at"))
+            fresh, n = _sized(went.join(known.withColumnRenamed("at", "_had"), ["qid", "v", "c_start"], "left").where("_had IS NULL OR at < _had").drop("_had"))
+            if n:
+                before, known = known, cut(known.unionByName(fresh).groupBy("qid", "v", "c_start").agg(F.min("at").alias("at")))
+                drop(before)
+            if old is not None:
+                drop(old)
     raise RuntimeError("no fixpoint was reached")
 
 
@@ -94,28 +106,63 @@ def reachable(queries: DataFrame, visits: DataFrame, ends: DataFrame) -> DataFra
     latency; ends as endpoints() gives them.
     """
     ends = cut(ends)
-    seeds = ends.select("qid", F.col("src_v").alias("v"), F.col("src_c").alias("c_start"), F.col("src_start").alias("at"))
-    got = spread(seeds, visits, ends.select("qid", F.col("dst_start").alias("until")))
+    seeds = ends.select("qid", F.col("src_v").alias("v"), F.col("src_c").alias("c_start"), F.col("src_start").alias("at"), F.col("dst_start").alias("until"))
     goal = ends.select("qid", F.col("dst_v").alias("v"), F.col("dst_c").alias("c_start"), "dst_start")
-    yes = got.join(goal, ["qid", "v", "c_start"]).where("at <= dst_start").select("qid").distinct()
+    yes = spread(seeds.where("at <= until").drop("until"), visits, ends.select("qid", F.col("dst_start").alias("until")), goal)
     asked = queries.select(F.col("qid").cast("bigint")).distinct()
     return asked.join(yes.withColumn("_yes", F.lit(True)), "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
 
 
-def _improve(state: DataFrame, step, keys: list[str], value: str, better: Column, least: bool) -> DataFrame:
-    """Label correcting: state and what step() makes of its last improvements, until none is left."""
+def _improve(state: DataFrame, step, keys: list[str], value: str, least: bool = True) -> DataFrame:
+    """Label correcting: state and what step() makes of its last improvements, until none is left. The better value is the least, or else the greatest."""
     agg = F.min if least else F.max
+    better = F.col(value) < F.col("_had") if least else F.col(value) > F.col("_had")
     state = cut(state.groupBy(*keys).agg(agg(value).alias(value)))
-    fresh, n = _sized(state)
+    fresh, n = state, state.count()
     for _ in range(MOST_ROUNDS):
-        made = step(fresh).groupBy(*keys).agg(agg(value).alias(value))
-        fresh, n = _sized(made.join(state.withColumnRenamed(value, "_had"), keys, "left").where(F.col("_had").isNull() | better).drop("_had"))
         if not n:
             return state
-        state = cut(state.unionByName(fresh).groupBy(*keys).agg(agg(value).alias(value)))
+        made = step(fresh).groupBy(*keys).agg(agg(value).alias(value))
+        fresh, n = _sized(made.join(state.withColumnRenamed(value, "_had"), keys, "left").where(F.col("_had").isNull() | better).drop("_had"))
+        if n:
+            before, state = state, cut(state.unionByName(fresh).groupBy(*keys).agg(agg(value).alias(value)))
+            drop(before)
     raise RuntimeError("no fixpoint was reached")
 
 
+class _Timetable:
+    """Edges of a temporal graph by their source and cell of departure.
+
+    From an arrival, the edges of its own cell are looked at one by one, while of each later cell
+    the least arrival at each target is enough. So a busy source is spread over its cells, and a
+    label meets each target once a cell.
+    """
+
+    def __init__(self, edges: DataFrame, width: int = 10_800):
+        self.width = width
+        edge = edges.select("src", "dst", "depart", "duration").dropna().where("duration >= 0")
+        edge = edge.select("src", "dst", "depart", (F.col("depart") + F.col("duration")).alias("_then"), F.floor(F.col("depart") / F.lit(width)).cast("bigint").alias("_cell"))
+        self.edge = cut(edge.groupBy("src", "_cell", "dst", "depart").agg(F.min("_then").alias("_then")))
+        self._whole = cut(self.edge.groupBy("src", "_cell", "dst").agg(F.min("_then").alias("_then")))
+        self.first, self.last = (x or 0 for x in self.edge.agg(F.min("depart"), F.max("depart")).first())
+
+    def onward(self, labels: DataFrame) -> DataFrame:
+        """labels (vertex, arrival, t_end and others) moved over each edge that departs at or after arrival and arrives by t_end."""
+        end = F.least(F.col("t_end"), F.lit(self.last))
+        here = F.floor(F.greatest("arrival", F.lit(self.first)) / F.lit(self.width)).cast("bigint")
+        labels = labels.withColumnRenamed("vertex", "src")
+        near = labels.withColumn("_cell", here).join(self.edge, ["src", "_cell"]).where("depart >= arrival")
+        cells = F.sequence(here + 1, F.floor(end / F.lit(self.width)).cast("bigint"))
+        far = labels.where(F.floor(end / F.lit(self.width)) > here).withColumn("_cell", F.explode(cells)).join(self._whole, ["src", "_cell"])
+        others = [c for c in labels.columns if c not in ("src", "arrival")]
+        moved = lambda x: x.where("_then <= t_end").select(*others, F.col("dst").alias("vertex"), F.col("_then").alias("arrival"))
+        return moved(near).unionByName(moved(far))
+
+
+def _asked(sources: DataFrame) -> DataFrame:
+    return cut(sources.select("qid", "source", "t_start", "t_end").dropna().where("t_start <= t_end").distinct())
+
+
 def earliest_arrival(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Least arrival of each query at each vertex of a temporal graph: qid, vertex, arrival.
 
@@ -123,16 +170,34 @@ def earliest_arrival(sources: DataFrame, edges: DataFrame) -> DataFrame:
     departs at or after the arrival at its source, and arrives by t_end. The source arrives at t_start.
     Rows with nulls are left out; negative durations are errors of the data and left out too.
     """
-    edge = cut(edges.select("src", "dst", "depart", "duration").dropna().where("duration >= 0"))
-    ask = cut(sources.select("qid", "source", "t_start", "t_end").dropna().where("t_start <= t_end").distinct())
+    times, ask = _Timetable(edges), _asked(sources)
     until = ask.select("qid", "t_end")
+    start = ask.select("qid", F.col("source").alias("vertex"), F.col("t_start").alias("arrival"))
+    return _improve(start, lambda fresh: times.onward(fresh.join(until, "qid")).drop("t_end"), ["qid", "vertex"], "arrival")
 
-    def step(fresh: DataFrame) -> DataFrame:
-        rows = fresh.join(edge, fresh["vertex"] == edge["src"]).where("depart >= arrival").join(until, "qid")
-        return rows.where("depart + duration <= t_end").select("qid", F.col("dst").alias("vertex"), (F.col("depart") + F.col("duration")).alias("arrival"))
 
-    start = ask.select("qid", F.col("source").alias("vertex"), F.col("t_start").alias("arrival"))
-    return _improve(start, step, ["qid", "vertex"], "arrival", F.col("arrival") < F.col("_had"), True)
+def latest_departure(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The latest time at which each query can still be at each vertex and reach its target by t_end: qid, vertex, departure.
+
+    targets: qid, target, t_start, t_end. The backward form of earliest_arrival: an edge is taken if it
+    arrives at or before the departure at its end, and departs at or after t_start. The target has t_end.
+    """
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-(F.col("depart") + F.col("duration"))).alias("depart"), "duration")
+    ask = targets.select("qid", F.col("target").alias("source"), (-F.col("t_end")).alias("t_start"), (-F.col("t_start")).alias("t_end"))
+    return earliest_arrival(ask, back).select("qid", "vertex", (-F.col("arrival")).alias("departure"))
+
+
+def first_departures(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """qid, first_departure, last_arrival: the first edge that leaves each query's source in [t_start, t_end], and the last that arrives at it there.
+
+    sources: qid, source, t_start, t_end. Each is an as-of look-up. Queries without both have no row.
+    """
+    edge = edges.select("src", "dst", "depart", (F.col("depart") + F.col("duration")).alias("arrive")).dropna()
+    ask = _asked(sources)
+    out = as_of(ask, edge.select(F.col("src").alias("source"), "depart").distinct(), ["source"], "t_start", "depart", "first_departure", forward=True)
+    out = as_of(out, edge.select(F.col("dst").alias("source"), "arrive").distinct(), ["source"], "t_end", "arrive", "last_arrival")
+    inside = lambda c: F.when(F.col(c).between(F.col("t_start"), F.col("t_end")), F.col(c)).alias(c)
+    return out.select("qid", inside("first_departure"), inside("last_arrival")).where("first_departure IS NOT NULL OR last_arrival IS NOT NULL")
 
 
 def fastest(sources: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,51 +205,80 @@ def fastest(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
     A passage leaves with an edge of the source that departs in [t_start, t_end], and arrives by
     t_end; the least arrival - departure counts. Labels are pairs of departure and arrival; of those
-    at one vertex only such are kept as no other leaves later and arrives no later. Input as for
-    earliest_arrival.
+    at one vertex only such are kept as no other leaves later and arrives no later. Labels that come
+    back to the source are dropped, since leaving it anew is no slower. Input as for earliest_arrival.
     """
-    edge = cut(edges.select("src", "dst", "depart", "duration").dropna().where("duration >= 0"))
-    ask = cut(sources.select("qid", "source", "t_start", "t_end").dropna().where("t_start <= t_end").distinct())
-    until = ask.select("qid", "t_end")
+    times, ask = _Timetable(edges), _asked(sources)
+    until = ask.select("qid", "source", "t_end")
 
     def kept(labels: DataFrame) -> DataFrame:
         best = labels.groupBy("qid", "vertex", "leave").agg(F.min(F.struct("arrival", "fresh")).alias("x")).select("qid", "vertex", "leave", "x.*")
         later = W.partitionBy("qid", "vertex").orderBy(F.desc("leave")).rowsBetween(W.unboundedPreceding, -1)
         return best.withColumn("_m", F.min("arrival").over(later)).where("_m IS NULL OR arrival < _m").drop("_m")
 
-    first = ask.join(edge, F.col("source") == F.col("src")).where("depart BETWEEN t_start AND t_end AND depart + duration <= t_end")
-    start = first.select("qid", F.col("dst").alias("vertex"), F.col("depart").alias("leave"), (F.col("depart") + F.col("duration")).alias("arrival"), F.lit(True).alias("fresh"))
+    cells = by_cells(ask, F.greatest("t_start", F.lit(times.first)), F.least(F.col("t_end"), F.lit(times.last)) + 1, times.width)
+    first = cells.join(times.edge.withColumnRenamed("src", "source"), ["source", "_cell"]).where("depart BETWEEN t_start AND t_end AND _then <= t_end AND dst <> source")
+    start = first.select("qid", F.col("dst").alias("vertex"), F.col("depart").alias("leave"), F.col("_then").alias("arrival"), F.lit(True).alias("fresh"))
     state = cut(kept(start))
     for _ in range(MOST_ROUNDS):
         fresh, n = _sized(state.where("fresh").drop("fresh"))
         if not n:
-            got = state.join(ask.select("qid", "source"), "qid").where("vertex <> source")
-            return got.groupBy("qid", "vertex").agg(F.min(F.col("arrival") - F.col("leave")).alias("seconds"))
-        step = fresh.join(edge, fresh["vertex"] == edge["src"]).where("depart >= arrival").join(until, "qid").where("depart + duration <= t_end")
-        step = step.select("qid", F.col("dst").alias("vertex"), "leave", (F.col("depart") + F.col("duration")).alias("arrival"), F.lit(True).alias("fresh"))
-        state = cut(kept(state.withColumn("fresh", F.lit(False)).unionByName(step)))
+            return state.groupBy("qid", "vertex").agg(F.min(F.col("arrival") - F.col("leave")).alias("seconds"))
+        step = times.onward(fresh.join(until, "qid")).where("vertex <> source").select("qid", "vertex", "leave", "arrival", F.lit(True).alias("fresh"))
+        before, state = state, cut(kept(state.withColumn("fresh", F.lit(False)).unionByName(step)))
+        drop(before, fresh)
     raise RuntimeError("no fixpoint was reached")
 
 
-def wedge_reachable(queries: DataFrame, contact: DataFrame) -> DataFrame:
+def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = 3_600) -> DataFrame:
     """qid and reachable by the stricter meaning: who receives can pass on only in later visits.
 
-    contact: v, a, a_ts, a_te, b, b_ts, b_te, both directions, of overlapping visits. A carrier
-    passes to a receiver whose visit ends by q_end; the receiver is ready at that end and passes on
-    in visits that start at or after it. The source may use a visit in progress at q_start, if it
-    ends after it. u = w is true where the window isn't reversed; nulls and unknown ids are false.
+    visits: u, v, ts, te, clipped. A carrier passes to a receiver whose visit overlaps its own and
+    ends by q_end; the receiver is ready at that end and passes on in visits that start at or after it. The
+    source may use a visit in progress at q_start, if it ends after it. u = w is true where the window
+    isn't reversed; nulls and unknown ids are false.
+
+    No pairs of visits are made: in each round the carriers' visits of a query are united within
+    (place, cell of time), and every visit of that cell that overlaps the union receives.
     """
     ask = cut(clean_queries(queries))
-    pair = cut(contact)
-    until = ask.select("qid", "q_end", F.col("w"))
-    first = ask.join(pair, ask["u"] == pair["a"]).where("a_te > q_start AND a_ts < q_end AND b_te <= q_end")
-    start = first.select("qid", F.col("b").alias("who"), F.col("b_te").alias("ready"))
+    last = visits.agg(F.max("ts")).first()[0] or 0  # an overlap starts where a visit does
+    end = F.least(F.col("te"), F.lit(last + 1))
+    tiles = cut(by_cells(visits.select("u", "v", "ts", "te"), F.col("ts"), end, width))
+    days = cut(visits.select("u", "v", "ts", "te", F.floor(F.col("ts") / F.lit(DAY)).cast("bigint").alias("_cell")))
+    until = ask.select("qid", "q_start", "q_end", "w")
+
+    def passed(carried: DataFrame) -> DataFrame:
+        """Receivers of the carriers' visits qid, v, ts, te, q_end."""
+        low, high = F.col("_cell") * width, (F.col("_cell") + 1) * width
+        part = by_cells(carried, F.col("ts"), end, width).select("qid", "q_end", "v", "_cell", F.greatest("ts", low).alias("_s"), F.least("te", high).alias("_e")).distinct()
+        group = W.partitionBy("qid", "v", "_cell").orderBy("_s")
+        part = part.withColumn("_m", F.max("_e").over(group.rowsBetween(W.unboundedPreceding, -1)))
+        part = part.withColumn("_g", F.sum(F.when(F.col("_m").isNull() | (F.col("_s") > F.col("_m")), 1).otherwise(0)).over(group.rowsBetween(W.unboundedPreceding, 0)))
+        union = part.groupBy("qid", "q_end", "v", "_cell", "_g").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+        got = union.join(tiles, ["v", "_cell"]).where("_s < te AND ts < _e AND te <= q_end")
+        return got.select("qid", F.col("u").alias("who"), F.col("te").alias("ready"))
+
+    start = passed(_of_source(ask, visits))
 
     def step(fresh: DataFrame) -> DataFrame:
-        rows = fresh.join(pair, fresh["who"] == pair["a"]).where("a_ts >= ready").join(until, "qid").where("b_te <= q_end")
-        return rows.select("qid", F.col("b").alias("who"), F.col("b_te").alias("ready"))
+        rows = fresh.join(until.select("qid", "q_end"), "qid")
+        rows = by_cells(rows.withColumn("_to", F.least(F.col("q_end"), F.lit(last + 1))), F.col("ready"), F.col("_to"), DAY)
+        rows = rows.withColumnRenamed("who", "u").join(days, ["u", "_cell"]).where("ts >= ready AND ts < q_end")
+        return passed(rows.select("qid", "q_end", "v", "ts", "te"))
 
-    got = _improve(start, step, ["qid", "who"], "ready", F.col("ready") < F.col("_had"), True)
+    got = _improve(start, step, ["qid", "who"], "ready")
     yes = got.join(until, "qid").where("who = w").select("qid").unionAll(ask.where("u = w").select("qid")).distinct()
     asked = queries.select(F.col("qid").cast("bigint")).distinct()
     return asked.join(yes.withColumn("_yes", F.lit(True)), "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
+
+
+def _of_source(ask: DataFrame, visits: DataFrame) -> DataFrame:
+    """Visits of each query's u that end after q_start and start before q_end: the one under way at q_start by an as-of look-up, the others by day."""
+    rows = visits.select("u", "v", "ts", "te")
+    first, last = (x or 0 for x in rows.agg(F.min("ts"), F.max("ts")).first())
+    ask = ask.where("q_start < q_end").select("qid", "u", "q_start", "q_end")
+    under = as_of(ask, rows, ["u"], "q_start", "ts", "ts").join(rows, ["u", "ts"]).where("ts < q_start AND te > q_start")
+    begun = by_cells(ask, F.greatest("q_start", F.lit(first)), F.least(F.col("q_end"), F.lit(last + 1)), DAY)
+    begun = begun.join(rows.withColumn("_cell", F.floor(F.col("ts") / F.lit(DAY)).cast("bigint")), ["u", "_cell"]).where("ts >= q_start AND ts < q_end")
+    return under.select("qid", "q_end", "v", "ts", "te").unionByName(begun.select("qid", "q_end", "v", "ts", "te"))

@@ -115,14 +115,7 @@ def reach_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wedge_reach(spark: SparkSession, d: str) -> DataFrame:
-    i = index(spark, d)
-    pair = dag.contacts(i.visits)
-    ends = i.visits.select("u", "ts", "te")
-    pair = pair.join(ends.select(F.col("u").alias("a"), F.col("ts").alias("a_ts"), F.col("te").alias("a_te")), ["a", "a_ts"])
-    pair = pair.join(ends.select(F.col("u").alias("b"), F.col("ts").alias("b_ts"), F.col("te").alias("b_te")), ["b", "b_ts"])
-    pair = pair.select("v", "a", "a_ts", "a_te", "b", "b_ts", "b_te")
-    other = pair.select("v", F.col("b").alias("a"), F.col("b_ts").alias("a_ts"), F.col("b_te").alias("a_te"), F.col("a").alias("b"), F.col("a_ts").alias("b_ts"), F.col("a_te").alias("b_te"))
-    return reach.wedge_reachable(_queries(spark, d), pair.unionByName(other))
+    return reach.wedge_reachable(_queries(spark, d), index(spark, d).visits)
 
 
 def _travel(spark: SparkSession, d: str) -> DataFrame:
@@ -254,7 +247,7 @@ SQL = {
     "windowed_reach": f"WITH RECURSIVE {SLOTS} {_ENDPOINTS} {_TRAVEL} SELECT ep.qid, count(er.qid) > 0 AS reachable FROM ep LEFT JOIN er ON er.qid = ep.qid AND er.vertex = ep.dst_v GROUP BY ep.qid",
     "fastest": f"""WITH RECURSIVE {SLOTS} {_ENDPOINTS},
         tr AS MATERIALIZED (SELECT DISTINCT v AS src, next_v AS dst, last_start AS depart, gap AS duration FROM mo WHERE next_ts IS NOT NULL),
-        so AS (SELECT qid, src_v AS source, q_start AS t_start, least(q_end, q_start + 7200) AS t_end FROM ep JOIN qs USING (qid)),
+        so AS (SELECT qid, src_v AS source, q_start AS t_start, q_end AS t_end FROM ep JOIN qs USING (qid)),
         fa AS (
             SELECT DISTINCT qid, source, depart AS leave, source AS vertex, depart AS arrival, t_end FROM so JOIN tr ON src = source WHERE depart BETWEEN t_start AND t_end
             UNION SELECT qid, source, leave, dst, depart + duration, t_end FROM fa JOIN tr ON src = vertex WHERE depart >= arrival AND depart + duration <= t_end

@@ -56,7 +56,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove cut tables that nothing reads any more, as the states of a fixpoint before its last."""
+    for df in tables:
+        path = df.__dict__.pop("_cut_path", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
