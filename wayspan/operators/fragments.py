@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, functions as F
 from wayspan.operators.blocks import with_rank
 from wayspan.session import cut
 
-#: Slots of a fragment at most, where the number of fragments is left open.
-FRAGMENT_SLOTS = 50_000
+#: Slots of a fragment at most, and least number of fragments, where the number is left open.
+FRAGMENT_SLOTS, LEAST_FRAGMENTS = 50_000, 8
 
 
 def fragments(slot: DataFrame, k: int | None = None) -> DataFrame:
     """v, slot_start, slot_end, frag (from 0): k fragments of ceil(n / k) slots in time order."""
     n = slot.count()
-    k = k or max(1, -(-n // FRAGMENT_SLOTS))
+    k = k or max(LEAST_FRAGMENTS, -(-n // FRAGMENT_SLOTS))
     size = max(1, -(-n // k))
     ranked = with_rank(slot.select("v", "slot_start", "slot_end"), ["slot_start", "slot_end", "v"])
     return ranked.select("v", "slot_start", "slot_end", F.floor(F.col("rank") / F.lit(size)).cast("bigint").alias("frag"))
@@ -52,29 +52,39 @@ def borders(edge: DataFrame) -> DataFrame:
     return edge.where("src_frag <> dst_frag").select(F.col("dst_v").alias("v"), F.col("dst_start").alias("slot_start"), F.col("dst_frag").alias("frag")).distinct()
 
 
-def least_fragments(slot: DataFrame, edge: DataFrame, most: int = 1024) -> int | None:
-    """The least k, by bisection, with ceil(n / k) <= 8 * borders(k): a fragment's slots fit its border bitset.
+def least_fragments(slot: DataFrame, edge: DataFrame, at_once: int = 16) -> int | None:
+    """The least k, by search, with ceil(n / k) <= 8 * borders(k): a fragment's slots fit its border bitset.
 
-    most is where the search for an upper end starts; it is doubled until it fits. None where no k
-    does: with a slot for each fragment every edge leads over a border, so only without edges.
+    Slots are ranked once; a job counts the border slots of at_once numbers together, first of the
+    powers of two up to n, then of numbers between, k being taken to fit from some number on. None
+    where none does: with a slot for each fragment every edge leads over a border, so only without edges.
     """
-    n = slot.count()
-
-    def fits(k: int) -> bool:
-        found = borders(with_fragments(edge, fragments(slot, k))).count()
-        return found > 0 and -(-n // k) <= 8 * found
-
-    low, high = 1, max(1, min(most, n))
-    while not fits(high):
-        if high >= n:
-            return None
-        low, high = high + 1, min(2 * high, n)
+    ranked = cut(with_rank(slot.select("v", "slot_start", "slot_end"), ["slot_start", "slot_end", "v"]).select("v", "slot_start", "rank"))
+    n = ranked.count()
+    a = ranked.select(F.col("v").alias("src_v"), F.col("slot_start").alias("src_start"), F.col("rank").alias("src"))
+    b = ranked.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), F.col("rank").alias("dst"))
+    links = cut(edge.join(a, ["src_v", "src_start"]).join(b, ["dst_v", "dst_start"]).select("src", "dst"))
+
+    def fitting(numbers: list[int]) -> int | None:
+        """The place of the first of these ascending numbers that fits."""
+        tried = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(-(-n // x)).alias("size")) for k, x in enumerate(numbers)]))
+        cut_ = links.select("src", "dst", tried.alias("x")).select("dst", "x.*", F.floor(F.col("src") / F.col("x.size")).alias("f")).where(F.floor(F.col("dst") / F.col("size")) != F.col("f"))
+        found = cut_.select("at", "size", "dst").distinct().groupBy("at", "size").agg(F.count("*").alias("c")).where("size <= 8 * c")
+        return found.agg(F.min("at")).first()[0]
+
+    powers = [1 << k for k in range(n.bit_length()) if 1 << k < n] + ([n] if n else [])
+    at = fitting(powers) if n else None
+    if at is None:
+        return None
+    low, high = powers[at - 1] + 1 if at else 1, powers[at]
     while low < high:
-        middle = (low + high) // 2
-        if fits(middle):
-            high = middle
+        step = max(1, (high - low) // at_once)
+        numbers = [*range(low, high, step)]
+        at = fitting(numbers)
+        if at is None:
+            low = numbers[-1] + 1
         else:
-            low = middle + 1
+            low, high = numbers[at - 1] + 1 if at else low, numbers[at]
     return low
 
 
@@ -112,13 +122,14 @@ def _closure(pdf: pd.DataFrame):
     return nodes, children, list(ghosts), out, entries
 
 
-def classes(frag: DataFrame, edge: DataFrame) -> DataFrame:
+def classes(frag: DataFrame, edge: DataFrame, share: bool = True) -> DataFrame:
     """Classes of slots of one fragment that lead to, or come from, the same border slots.
 
     Rows: row = out and in for each slot (class is its class within the fragment and side, n the
     size of its border set, bits null); row = out_class and in_class for each class that isn't empty,
     with its set as bits, v and slot_start null; row = ghost and entry for the border slots of later
-    fragments and of this one, class being the bit they have. Class 0 is the empty set.
+    fragments and of this one, class being the bit they have. Class 0 is the empty set. Without
+    share every slot has a class of its own, which tells what sharing saves.
     """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,11 +147,12 @@ def classes(frag: DataFrame, edge: DataFrame) -> DataFrame:
         rows = [(here, "ghost", v, t, k, None, None) for k, (t, v) in enumerate(ghosts)]
         rows += [(here, "entry", nodes[i][1], nodes[i][0], k, None, None) for k, i in enumerate(entries)]
         for side, bits, width in (("out", out, len(ghosts)), ("in", back, len(entries))):
-            number = {0: 0}
-            for (t, v), b in zip(nodes, bits):
-                c = number.setdefault(b, len(number))
+            number, sets = {0: 0}, {}
+            for k, ((t, v), b) in enumerate(zip(nodes, bits)):
+                c = number.setdefault(b, len(number)) if share or not b else k + 1
+                sets[c] = b
                 rows.append((here, side, v, t, c, b.bit_count(), None))
-            rows += [(here, f"{side}_class", None, None, c, b.bit_count(), b.to_bytes(-(-width // 8), "little")) for b, c in number.items() if b]
+            rows += [(here, f"{side}_class", None, None, c, b.bit_count(), b.to_bytes(-(-width // 8), "little")) for c, b in sets.items() if b]
         frame = pd.DataFrame(rows, columns=["frag", "row", "v", "slot_start", "class", "n", "bits"])
         return frame.astype({"v": "Int64", "slot_start": "Int64", "class": "Int64", "n": "Int64"})
 
@@ -353,12 +365,17 @@ def _local_hits(pairs: DataFrame, frag: DataFrame, edge: DataFrame) -> DataFrame
     return rows.unionByName(asks).groupBy("frag").applyInPandas(kernel, "qid bigint")
 
 
-def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: DataFrame) -> DataFrame:
+#: Queries that a task of contracted_reach takes together.
+QUERY_BLOCK = 2_048
+
+
+def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """qid of the pairs of ends (qid, src_v, src_start, dst_v, dst_start) that reach, through fragments and classes.
 
     found is the result of classes(). Within a fragment: a walk by its kernel. Between fragments:
-    from the out-class of the source, border to border, to the in-class of the target. Cut edges lead
-    to later fragments, so one pass over the fragments in order is enough; each is a job of its own.
+    from the out-class of the source, border to border, to the in-class of the target. In each round
+    all queries take one step from wherever they have come: a task has the queries of a block at
+    one fragment, and goes on only with border slots that are new to a query. Answered queries stop.
     """
     where = frag.select("v", "slot_start", "frag")
     rows = cut(
@@ -366,33 +383,40 @@ def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: D
         .join(where.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), F.col("frag").alias("g")), ["dst_v", "dst_start"])
         .select("qid", "src_v", "src_start", "dst_v", "dst_start", "f", "g")
     )
-    local = _local_hits(rows.where("f = g"), frag, edge)
+    hits = [_local_hits(rows.where("f = g"), frag, edge)]
     far = rows.where("f < g")
+    n_blocks = max(1, -(-far.count() // block))
     of = found.where("row IN ('out', 'in') AND class > 0").select("row", "frag", "v", "slot_start", "class")
     sets = found.where("row IN ('out_class', 'in_class')").select(F.regexp_replace("row", "_class", "").alias("row"), "frag", "class", "bits")
     has = cut(of.join(sets, ["row", "frag", "class"]).select("row", "frag", "v", "slot_start", "bits"))
     empty = F.lit(None).cast("bigint")
+    of_query = F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("bigint").alias("part")
     begin = far.join(has.where("row = 'out'"), (F.col("f") == F.col("frag")) & (F.col("src_v") == F.col("v")) & (F.col("src_start") == F.col("slot_start")))
-    begin = begin.select("frag", F.lit("begin").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits")
+    begin = begin.select("frag", of_query, F.lit("begin").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits")
     goal = far.join(has.where("row = 'in'"), (F.col("g") == F.col("frag")) & (F.col("dst_v") == F.col("v")) & (F.col("dst_start") == F.col("slot_start")))
-    goal = goal.select("frag", F.lit("goal").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits")
+    goal = cut(goal.select("frag", of_query, F.lit("goal").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits"))
     entry = found.where("row = 'entry'").select("frag", "v", "slot_start", F.col("class").alias("k"))
     lead = entry.join(has.where("row = 'out'"), ["frag", "v", "slot_start"]).select("frag", F.lit("lead").alias("row"), empty.alias("qid"), "k", empty.alias("to_frag"), "bits")
     ghost = found.where("row = 'ghost'").select("frag", "v", "slot_start", F.col("class").alias("k"))
     ghost = ghost.join(entry.select(F.col("frag").alias("to_frag"), "v", "slot_start", F.col("k").alias("to_k")), ["v", "slot_start"])
     ghost = ghost.select("frag", F.lit("ghost").alias("row"), F.col("to_k").alias("qid"), "k", "to_frag", F.lit(None).cast("binary").alias("bits"))
-    fixed = cut(begin.unionByName(goal).unionByName(lead).unionByName(ghost))
-    states, hits = [], []
-    for f in range((frag.agg(F.max("frag")).first()[0] or 0) + 1):
-        come = [s.where(F.col("to_frag") == f).select(F.lit(f).cast("bigint").alias("frag"), F.lit("come").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits") for s in states]
-        here = fixed.where(F.col("frag") == f)
-        for c in come:
-            here = here.unionByName(c)
-        states.append(cut(here.groupBy("frag").applyInPandas(_hop, "qid bigint, to_frag bigint, bits binary")))
-        hits.append(states[-1].where("to_frag = -1").select("qid"))
-    for h in hits:
-        local = local.unionByName(h)
-    return local.distinct()
+    fixed = cut(lead.unionByName(ghost))
+    come, seen = cut(begin), None
+    while not come.isEmpty():
+        here = cut(come.select("frag", "part").distinct())
+        feed = come.unionByName(fixed.join(here, "frag")).unionByName(goal.join(here, ["frag", "part"], "left_semi"))
+        if seen is not None:
+            feed = feed.unionByName(seen.join(here, ["frag", "part"], "left_semi").withColumn("row", F.lit("seen")))
+        out = cut(feed.groupBy("frag", "part").applyInPandas(_hop, "qid bigint, to_frag bigint, bits binary"))
+        hits.append(out.where("to_frag = -1").select("qid"))
+        came = come.where("row = 'come'")
+        seen = came if seen is None else seen.unionByName(came)
+        come = out.where("to_frag >= 0").join(hits[-1].distinct(), "qid", "left_anti")
+        come = cut(come.select(F.col("to_frag").alias("frag"), of_query, F.lit("come").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits"))
+    out = hits[0]
+    for h in hits[1:]:
+        out = out.unionByName(h)
+    return out.distinct()
 
 
 def _bits(rows: list, width: int) -> np.ndarray:
@@ -409,7 +433,7 @@ def _hop(pdf: pd.DataFrame) -> pd.DataFrame:
     by = {k: g for k, g in pdf.groupby("row")}
     ghost = by.get("ghost", pdf.iloc[:0])
     n_ghosts = int(ghost["k"].max()) + 1 if len(ghost) else 0
-    n_entries = 1 + max([int(by["lead"]["k"].max()) if "lead" in by else -1, *(8 * len(b) - 1 for r in ("goal", "come") if r in by for b in by[r]["bits"])])
+    n_entries = 1 + max([int(by["lead"]["k"].max()) if "lead" in by else -1, *(8 * len(b) - 1 for r in ("goal", "come", "seen") if r in by for b in by[r]["bits"])])
     place: dict[int, int] = {}
     rows = []
     at = np.zeros((0, n_entries), bool)
@@ -419,6 +443,11 @@ def _hop(pdf: pd.DataFrame) -> pd.DataFrame:
             place.setdefault(int(q), len(place))
         at = np.zeros((len(place), n_entries), bool)
         np.logical_or.at(at, [place[int(q)] for q in come["qid"]], _bits(come["bits"].tolist(), n_entries))
+        if "seen" in by:
+            seen = by["seen"][by["seen"]["qid"].isin(place.keys())]
+            had = np.zeros_like(at)
+            np.logical_or.at(had, [place[int(q)] for q in seen["qid"]], _bits(seen["bits"].tolist(), n_entries))
+            at &= ~had
         if "goal" in by:
             goal = by["goal"]
             for q, b in zip(goal["qid"], _bits(goal["bits"].tolist(), n_entries)):

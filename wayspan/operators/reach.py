@@ -53,6 +53,24 @@ def endpoints(queries: DataFrame, meeting: DataFrame, slot: DataFrame) -> DataFr
     return found["src"].join(found["dst"], "qid")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _news(made: DataFrame, parts: list[DataFrame], keys: list[str], value: str, least: bool = True) -> tuple[DataFrame, int]:
+    """Rows of made that no part has as good a value for, cut, and their number. Parts may hold values that later ones have bettered."""
+    if parts:
+        had = _union(parts).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_had"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"_{k}"))
+        made = made.join(had, same & ((F.col("_had") <= F.col(value)) if least else (F.col("_had") >= F.col(value))), "left_anti")
+    return _sized(made)
+
+
 def spread(seeds: DataFrame, visits: DataFrame, bound: DataFrame | None = None, goals: DataFrame | None = None) -> DataFrame:
     """Least slot start at which each qid enters each component it can reach: qid, v, c_start, at.
 
@@ -60,42 +78,29 @@ def spread(seeds: DataFrame, visits: DataFrame, bound: DataFrame | None = None,
     starts after it is left out. From a component entered at `at`, every visit whose last slot
     starts at or after it leads to the later visits of its run. With goals (qid, v, c_start,
     dst_start) the result is the qids that enter their goal by dst_start, and such go no further.
-    Tables of a round are removed once the next ones are written.
+    A round writes only what is new; what was known is looked up, never written again.
     """
-    state = cut(seeds.groupBy("qid", "v", "c_start").agg(F.min("at").alias("at")))
+    component, stretch = ["qid", "v", "c_start"], ["qid", "u", "run"]
     rows = cut(visits.select("u", "run", "v", "c_start", "ts", "last_start"))
-    known = cut(state)
-    hits, left, fresh, n = [], None, state, state.count()
+    fresh, n = _sized(seeds.groupBy(*component).agg(F.min("at").alias("at")))
+    entered, taken, hits = [fresh], [], [fresh.select("qid").limit(0)]
+    until = lambda df: df if bound is None else df.join(bound, "qid").where("ts <= until").drop("until")
     for _ in range(MOST_ROUNDS):
         if n and goals is not None:
-            hits.append(cut(fresh.join(goals, ["qid", "v", "c_start"]).where("at <= dst_start").select("qid").distinct()))
-            fresh, n = _sized(fresh.join(small(hits[-1]), "qid", "left_anti"))
-        if not n:
-            if goals is None:
-                return known
-            out = state.select("qid").limit(0)
-            for h in hits:
-                out = out.unionByName(h)
-            return out
-        caught = fresh.join(rows, ["v", "c_start"]).where("last_start >= at")
-        if bound is not None:
-            caught = caught.join(bound, "qid").where("ts <= until").drop("until")
-        caught = caught.groupBy("qid", "u", "run").agg(F.min("ts").alias("ts0"))
-        if left is not None:
-            caught = caught.join(left.withColumnRenamed("ts0", "_had"), ["qid", "u", "run"], "left").where("_had IS NULL OR ts0 < _had").drop("_had")
-        better, n = _sized(caught)
+            hit, n_hit = _sized(fresh.join(goals, component).where("at <= dst_start").select("qid").distinct())
+            if n_hit:
+                hits.append(hit)
+                fresh, n = _sized(fresh.join(small(hit), "qid", "left_anti"))
+        if n:
+            caught = until(fresh.join(rows, ["v", "c_start"]).where("last_start >= at")).groupBy(*stretch).agg(F.min("ts").alias("ts0"))
+            better, n = _news(caught, taken, stretch, "ts0")
         if n:
-            old, left = left, better if left is None else cut(left.unionByName(better).groupBy("qid", "u", "run").agg(F.min("ts0").alias("ts0")))
-            went = better.join(rows, ["u", "run"]).where("ts > ts0")
-            if bound is not None:
-                went = went.join(bound, "qid").where("ts <= until")
-            went = went.groupBy("qid", "v", "c_start").agg(F.min("ts").alias("at"))
-            fresh, n = _sized(went.join(known.withColumnRenamed("at", "_had"), ["qid", "v", "c_start"], "left").where("_had IS NULL OR at < _had").drop("_had"))
-            if n:
-                before, known = known, cut(known.unionByName(fresh).groupBy("qid", "v", "c_start").agg(F.min("at").alias("at")))
-                drop(before)
-            if old is not None:
-                drop(old)
+            taken.append(better)
+            went = until(better.join(rows, ["u", "run"]).where("ts > ts0")).groupBy(*component).agg(F.min("ts").alias("at"))
+            fresh, n = _news(went, entered, component, "at")
+            entered.append(fresh)
+        if not n:
+            return _union(hits) if goals is not None else _union(entered).groupBy(*component).agg(F.min("at").alias("at"))
     raise RuntimeError("no fixpoint was reached")
 
 
@@ -113,20 +118,25 @@ def reachable(queries: DataFrame, visits: DataFrame, ends: DataFrame) -> DataFra
     return asked.join(yes.withColumn("_yes", F.lit(True)), "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
 
 
-def _improve(state: DataFrame, step, keys: list[str], value: str, least: bool = True) -> DataFrame:
-    """Label correcting: state and what step() makes of its last improvements, until none is left. The better value is the least, or else the greatest."""
+def _improve(state: DataFrame, step, keys: list[str], value: str, least: bool = True, answered=None) -> DataFrame:
+    """Label correcting: state and what step() makes of its last improvements, until none is left.
+
+    The better value is the least, or else the greatest. answered(fresh) tells the qids that need go
+    no further; their rows so far are in the result.
+    """
     agg = F.min if least else F.max
-    better = F.col(value) < F.col("_had") if least else F.col(value) > F.col("_had")
-    state = cut(state.groupBy(*keys).agg(agg(value).alias(value)))
-    fresh, n = state, state.count()
+    fresh, n = _sized(state.groupBy(*keys).agg(agg(value).alias(value)))
+    parts = [fresh]
     for _ in range(MOST_ROUNDS):
-        if not n:
-            return state
-        made = step(fresh).groupBy(*keys).agg(agg(value).alias(value))
-        fresh, n = _sized(made.join(state.withColumnRenamed(value, "_had"), keys, "left").where(F.col("_had").isNull() | better).drop("_had"))
+        if n and answered is not None:
+            done, n_done = _sized(answered(fresh))
+            if n_done:
+                fresh, n = _sized(fresh.join(small(done), "qid", "left_anti"))
         if n:
-            before, state = state, cut(state.unionByName(fresh).groupBy(*keys).agg(agg(value).alias(value)))
-            drop(before)
+            fresh, n = _news(step(fresh).groupBy(*keys).agg(agg(value).alias(value)), parts, keys, value, least)
+            parts.append(fresh)
+        if not n:
+            return _union(parts).groupBy(*keys).agg(agg(value).alias(value))
     raise RuntimeError("no fixpoint was reached")
 
 
@@ -267,7 +277,8 @@ def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = 3_600) -
         rows = rows.withColumnRenamed("who", "u").join(days, ["u", "_cell"]).where("ts >= ready AND ts < q_end")
         return passed(rows.select("qid", "q_end", "v", "ts", "te"))
 
-    got = _improve(start, step, ["qid", "who"], "ready")
+    answered = lambda fresh: fresh.join(until.select("qid", F.col("w").alias("who")), ["qid", "who"]).select("qid").distinct()
+    got = _improve(start, step, ["qid", "who"], "ready", answered=answered)
     yes = got.join(until, "qid").where("who = w").select("qid").unionAll(ask.where("u = w").select("qid")).distinct()
     asked = queries.select(F.col("qid").cast("bigint")).distinct()
     return asked.join(yes.withColumn("_yes", F.lit(True)), "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))

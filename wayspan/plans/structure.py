@@ -14,49 +14,45 @@ from wayspan.plans.graph import index
 from wayspan.session import cut, shared_folder, table
 from wayspan.sources import graph_files
 
-K, SMALL_K = 8, 64
-
-
-def _parts(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Slots with fragments, and edges with those of their ends; kept like the index."""
     i = index(spark, d)
-    kept = i.__dict__.setdefault("parts", {})
-    if k not in kept:
-        frag = cut(fr.fragments(i.slots, k))
-        kept[k] = frag, cut(fr.with_fragments(i.edges, frag))
-    return kept[k]
+    if "parts" not in i.__dict__:
+        frag = cut(fr.fragments(i.slots))
+        i.parts = frag, cut(fr.with_fragments(i.edges, frag))
+    return i.parts
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
     if "classes" not in i.__dict__:
-        i.classes = cut(fr.classes(*_parts(spark, d, K)))
+        i.classes = cut(fr.classes(*_parts(spark, d)))
     return i.classes
 
 
 def fragments(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d, K)[0].select("v", "slot_start", "frag")
+    return _parts(spark, d)[0].select("v", "slot_start", "frag")
 
 
 def edge_cut(spark: SparkSession, d: str) -> DataFrame:
-    return fr.edge_cut(_parts(spark, d, K)[1])
+    return fr.edge_cut(_parts(spark, d)[1])
 
 
 def fragment_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return fr.fragment_matrix(_parts(spark, d, K)[1])
+    return fr.fragment_matrix(_parts(spark, d)[1])
 
 
 def fragment_time_range(spark: SparkSession, d: str) -> DataFrame:
-    return fr.fragment_times(_parts(spark, d, K)[0])
+    return fr.fragment_times(_parts(spark, d)[0])
 
 
 def perfect_partition_num(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
-    return spark.createDataFrame([(fr.least_fragments(i.slots, i.edges, 64),)], "k bigint")
+    return spark.createDataFrame([(fr.least_fragments(i.slots, i.edges),)], "k bigint")
 
 
 def border_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return fr.borders(_parts(spark, d, K)[1])
+    return fr.borders(_parts(spark, d)[1])
 
 
 def out_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +72,7 @@ def contracted_size(spark: SparkSession, d: str) -> DataFrame:
 def span_reach_contracted(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
     ends = reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots)
-    yes = fr.contracted_reach(ends, *_parts(spark, d, K), _classes(spark, d)).withColumn("_yes", F.lit(True))
+    yes = fr.contracted_reach(ends, *_parts(spark, d), _classes(spark, d)).withColumn("_yes", F.lit(True))
     asked = table(spark, d, "span_query").select("qid").distinct()
     return asked.join(yes, "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
 
@@ -87,11 +83,11 @@ def transitive_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def level_labels(spark: SparkSession, d: str) -> DataFrame:
-    return fr.levels(*_parts(spark, d, SMALL_K))
+    return fr.levels(*_parts(spark, d))
 
 
 def chain_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = fr.chain_labels(*_parts(spark, d, SMALL_K))
+    rows = fr.chain_labels(*_parts(spark, d))
     return rows.select("v", "slot_start", F.size("lout").cast("bigint").alias("n_out"), F.size("lin").cast("bigint").alias("n_in"), fr.labels_meet("lout", "lin").alias("meets_itself"))
 
 
@@ -103,7 +99,7 @@ def label_tests(spark: SparkSession, d: str) -> DataFrame:
     leads to no border slot or none leads to the target), or reach, where those leave it open.
     """
     i = index(spark, d)
-    frag, edge = _parts(spark, d, K)
+    frag, edge = _parts(spark, d)
     classes = _classes(spark, d)
     ends = cut(reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots).select("qid", "src_v", "src_start", "dst_v", "dst_start"))
     label = fr.chain_labels(frag, edge).join(fr.levels(frag, edge), ["v", "slot_start"]).join(frag.select("v", "slot_start", "frag"), ["v", "slot_start"])
@@ -230,11 +226,12 @@ QUERIES = {
 }
 
 
-def _fragments_sql(k: int) -> str:
+def _fragments_sql() -> str:
     return (
         graph.edges_sql()
         + f""",
-    fg AS MATERIALIZED (SELECT v, slot_start, slot_end, (row_number() OVER (ORDER BY slot_start, slot_end, v) - 1) // CAST(ceil((SELECT count(*) FROM sl) / {float(k)}) AS BIGINT) AS frag FROM sl),
+    sz AS MATERIALIZED (SELECT CAST(ceil(count(*) / greatest({float(fr.LEAST_FRAGMENTS)}, ceil(count(*) / {float(fr.FRAGMENT_SLOTS)}))) AS BIGINT) AS size FROM sl),
+    fg AS MATERIALIZED (SELECT v, slot_start, slot_end, (row_number() OVER (ORDER BY slot_start, slot_end, v) - 1) // (SELECT size FROM sz) AS frag FROM sl),
     ef AS MATERIALIZED (SELECT ed.*, a.frag AS src_frag, b.frag AS dst_frag FROM ed JOIN fg a ON a.v = src_v AND a.slot_start = src_start JOIN fg b ON b.v = dst_v AND b.slot_start = dst_start),
     bo AS MATERIALIZED (SELECT DISTINCT dst_v AS v, dst_start AS slot_start, dst_frag AS frag FROM ef WHERE src_frag <> dst_frag)"""
     )
@@ -272,21 +269,18 @@ _UP = """,
     lf AS MATERIALIZED (SELECT src_v, src_start, dst_v, dst_start FROM ef WHERE src_frag = dst_frag)"""
 
 SQL = {
-    "fragments": f"WITH {_fragments_sql(K)} SELECT v, slot_start, frag FROM fg",
-    "edge_cut": f"WITH {_fragments_sql(K)} SELECT count(*) AS n_edges, count(*) FILTER (src_frag <> dst_frag) AS n_cut, avg(CAST(src_frag <> dst_frag AS INT)) AS cut_ratio FROM ef",
-    "fragment_matrix": f"WITH {_fragments_sql(K)} SELECT src_frag, dst_frag, count(*) AS n_edges FROM ef GROUP BY ALL",
-    "fragment_time_range": f"WITH {_fragments_sql(K)} SELECT frag, count(*) AS n_slots, min(slot_start) AS first_start, max(slot_end) AS last_end FROM fg GROUP BY frag",
-    "border_vertices": f"WITH {_fragments_sql(K)} SELECT v, slot_start, frag FROM bo",
-    "out_classes": f"WITH RECURSIVE {_fragments_sql(K)} {_OUT} SELECT sl.v, sl.slot_start, coalesce(n, 0) AS n_borders FROM sl LEFT JOIN os ON os.v = sl.v AND os.t = sl.slot_start",
-    "in_classes": f"WITH RECURSIVE {_fragments_sql(K)} {_IN} SELECT sl.v, sl.slot_start, coalesce(n, 0) AS n_borders FROM sl LEFT JOIN ns ON ns.v = sl.v AND ns.t = sl.slot_start",
-    "contracted_size": f"""WITH RECURSIVE {_fragments_sql(K)} {_OUT} {_IN}
+    "fragments": f"WITH {_fragments_sql()} SELECT v, slot_start, frag FROM fg",
+    "edge_cut": f"WITH {_fragments_sql()} SELECT count(*) AS n_edges, count(*) FILTER (src_frag <> dst_frag) AS n_cut, avg(CAST(src_frag <> dst_frag AS INT)) AS cut_ratio FROM ef",
+    "fragment_matrix": f"WITH {_fragments_sql()} SELECT src_frag, dst_frag, count(*) AS n_edges FROM ef GROUP BY ALL",
+    "fragment_time_range": f"WITH {_fragments_sql()} SELECT frag, count(*) AS n_slots, min(slot_start) AS first_start, max(slot_end) AS last_end FROM fg GROUP BY frag",
+    "border_vertices": f"WITH {_fragments_sql()} SELECT v, slot_start, frag FROM bo",
+    "out_classes": f"WITH RECURSIVE {_fragments_sql()} {_OUT} SELECT sl.v, sl.slot_start, coalesce(n, 0) AS n_borders FROM sl LEFT JOIN os ON os.v = sl.v AND os.t = sl.slot_start",
+    "in_classes": f"WITH RECURSIVE {_fragments_sql()} {_IN} SELECT sl.v, sl.slot_start, coalesce(n, 0) AS n_borders FROM sl LEFT JOIN ns ON ns.v = sl.v AND ns.t = sl.slot_start",
+    "contracted_size": f"""WITH RECURSIVE {_fragments_sql()} {_OUT} {_IN}
         SELECT (SELECT count(*) FROM bo) AS n_borders, (SELECT count(DISTINCT (frag, s)) FROM os JOIN fg ON fg.v = os.v AND fg.slot_start = os.t WHERE n > 1) AS n_out_classes,
             (SELECT count(DISTINCT (frag, s)) FROM ns JOIN fg ON fg.v = ns.v AND fg.slot_start = ns.t WHERE n > 1) AS n_in_classes""",
     "span_reach_contracted": graph.SQL["span_reach"],
-    "transitive_closure": f"""WITH RECURSIVE {_fragments_sql(SMALL_K)} {_UP},
-        tc AS (SELECT v, slot_start AS t, v AS bv, slot_start AS bt FROM sl UNION SELECT tc.v, tc.t, dst_v, dst_start FROM tc JOIN lf ON src_v = bv AND src_start = bt)
-        SELECT v, t AS slot_start, count(*) AS n_reached FROM tc GROUP BY v, t""",
-    "level_labels": f"""WITH RECURSIVE {_fragments_sql(SMALL_K)} {_UP},
+    "level_labels": f"""WITH RECURSIVE {_fragments_sql()} {_UP},
         up AS (SELECT v, slot_start AS t, 0 AS n FROM sl UNION SELECT dst_v, dst_start, n + 1 FROM up JOIN lf ON src_v = up.v AND src_start = up.t),
         dn AS (SELECT v, slot_start AS t, 0 AS n FROM sl UNION SELECT src_v, src_start, n + 1 FROM dn JOIN lf ON dst_v = dn.v AND dst_start = dn.t),
         um AS (SELECT v, t, max(n) AS up FROM up GROUP BY v, t), dm AS (SELECT v, t, max(n) AS down FROM dn GROUP BY v, t)
