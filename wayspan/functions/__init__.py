@@ -13,23 +13,6 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return F.greatest(a_start, b_start) < F.least(a_end, b_end)
 
 
-def in_source_window(ts: Column, te: Column, start: Column, end: Column) -> Column:
-    return (ts < end) & (te >= start)
-
-
-def in_target_window(ts: Column, te: Column, start: Column, end: Column) -> Column:
-    return (te > start) & (ts <= end)
-
-
-def slot_in_visit(slot_start: Column, slot_end: Column, ts: Column, te: Column) -> Column:
-    return (slot_start >= ts) & (slot_end <= te)
-
-
-def valid_window(start: Column, end: Column) -> Column:
-    """False for reversed windows and for nulls."""
-    return F.coalesce(start <= end, F.lit(False))
-
-
 def uniform(key: Column, seed: int) -> Column:
     """A number from 0 to below 1 that depends on an integer key and a seed only, alike in any engine: a multiplicative hash."""
     return (F.pmod(F.pmod(key, F.lit(1 << 31)) * F.lit(2_654_435_761 % (1 << 31)) + F.lit(seed * 40_503), F.lit(1 << 31)) / F.lit(float(1 << 31))).cast("double")
@@ -71,14 +54,9 @@ def tokens(text: Column, separators: str = " \t") -> Column:
     return F.filter(F.split(text, f"[{escaped}]+"), lambda x: x != "")
 
 
-def index_size(n_vertices: Column, uncovered: Column) -> Column:
-    """Integers held by a path index: three a vertex and those of its uncovered lists."""
-    return 3 * n_vertices + uncovered
-
-
-def interval_contains(dfs_s: Column, dfs_t: Column, pre_s: Column, post_s: Column, post_t: Column) -> Column:
-    """Tree-interval test of s over t."""
-    return (dfs_s <= dfs_t) & post_t.between(pre_s, post_s)
+def interval_contains(pre_s: Column, last_s: Column, pre_t: Column) -> Column:
+    """Tree-interval test: t lies below s, or is s, in the tree whose walk numbered them."""
+    return pre_t.between(pre_s, last_s)
 
 
 def not_refuted(down_s: Column, down_t: Column, f1_s: Column, f1_t: Column, f2_s: Column, f2_t: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wayspan.functions import overlaps
 from wayspan.operators.blocks import by_cells, with_next, with_running_max
 from wayspan.operators.components import interval_components
 
@@ -138,6 +139,6 @@ def contacts(visits: DataFrame, cell: int = 3_600) -> DataFrame:
     rows = by_cells(visits.select("u", "v", "ts", "te"), F.col("ts"), F.least(F.col("te"), F.lit((last or 0) + 1)), cell)
     left = rows.select("v", "_cell", F.col("u").alias("a"), F.col("ts").alias("a_ts"), F.col("te").alias("a_te"))
     right = rows.select("v", "_cell", F.col("u").alias("b"), F.col("ts").alias("b_ts"), F.col("te").alias("b_te"))
-    both = left.join(right, ["v", "_cell"]).where("a < b AND a_ts < b_te AND b_ts < a_te")
+    both = left.join(right, ["v", "_cell"]).where((F.col("a") < F.col("b")) & overlaps(*[F.col(c) for c in ("a_ts", "a_te", "b_ts", "b_te")]))
     both = both.select("v", "_cell", "a", "a_ts", "b", "b_ts", F.greatest("a_ts", "b_ts").alias("o_start"), F.least("a_te", "b_te").alias("o_end"))
     return both.where(F.floor(F.col("o_start") / F.lit(cell)) == F.col("_cell")).drop("_cell")

@@ -19,12 +19,13 @@ FRAGMENT_SLOTS, LEAST_FRAGMENTS = 50_000, 8
 
 
 def fragments(slot: DataFrame, k: int | None = None) -> DataFrame:
-    """v, slot_start, slot_end, frag (from 0): k fragments of ceil(n / k) slots in time order."""
+    """v, slot_start, slot_end, frag (from 0), and c_start where slot has it: k fragments of ceil(n / k) slots in time order."""
     n = slot.count()
     k = k or max(LEAST_FRAGMENTS, -(-n // FRAGMENT_SLOTS))
     size = max(1, -(-n // k))
-    ranked = with_rank(slot.select("v", "slot_start", "slot_end"), ["slot_start", "slot_end", "v"])
-    return ranked.select("v", "slot_start", "slot_end", F.floor(F.col("rank") / F.lit(size)).cast("bigint").alias("frag"))
+    more = [c for c in ("c_start",) if c in slot.columns]
+    ranked = with_rank(slot.select("v", "slot_start", "slot_end", *more), ["slot_start", "slot_end", "v"])
+    return ranked.select("v", "slot_start", "slot_end", *more, F.floor(F.col("rank") / F.lit(size)).cast("bigint").alias("frag"))
 
 
 def with_fragments(edge: DataFrame, frag: DataFrame) -> DataFrame:
@@ -91,17 +92,18 @@ def least_fragments(slot: DataFrame, edge: DataFrame, at_once: int = 16) -> int
 _KERNEL = "frag bigint, row string, v bigint, slot_start bigint, class bigint, n bigint, bits binary"
 
 
-def _pieces(frag: DataFrame, edge: DataFrame) -> DataFrame:
+def pieces(frag: DataFrame, edge: DataFrame) -> DataFrame:
     """Slots and edges of each fragment as rows of one shape; cut edges belong to the fragment they leave."""
     none = F.lit(None).cast("bigint")
-    nodes = frag.select("frag", F.lit("slot").alias("row"), F.col("v").alias("a_v"), F.col("slot_start").alias("a_t"), none.alias("b_v"), none.alias("b_t"))
+    component = F.col("c_start") if "c_start" in frag.columns else none
+    nodes = frag.select("frag", F.lit("slot").alias("row"), F.col("v").alias("a_v"), F.col("slot_start").alias("a_t"), none.alias("b_v"), component.alias("b_t"))
     inner = F.when(F.col("src_frag") == F.col("dst_frag"), "edge").otherwise("cut")
     links = edge.select(F.col("src_frag").alias("frag"), inner.alias("row"), F.col("src_v").alias("a_v"), F.col("src_start").alias("a_t"), F.col("dst_v").alias("b_v"), F.col("dst_start").alias("b_t"))
     entry = borders(edge).select("frag", F.lit("entry").alias("row"), F.col("v").alias("a_v"), F.col("slot_start").alias("a_t"), none.alias("b_v"), none.alias("b_t"))
     return nodes.unionByName(links).unionByName(entry)
 
 
-def _closure(pdf: pd.DataFrame):
+def unpacked(pdf: pd.DataFrame):
     """Nodes in time order, their children, and the ghosts (border slots of later fragments) each leads to."""
     by = {k: g for k, g in pdf.groupby("row")}
     nodes = sorted(zip(by["slot"]["a_t"].tolist(), by["slot"]["a_v"].tolist())) if "slot" in by else []
@@ -134,7 +136,7 @@ def classes(frag: DataFrame, edge: DataFrame, share: bool = True) -> DataFrame:
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         here = int(pdf["frag"].iloc[0])
-        nodes, children, ghosts, out, entries = _closure(pdf)
+        nodes, children, ghosts, out, entries = unpacked(pdf)
         back = [0] * len(nodes)
         for k, i in enumerate(entries):
             back[i] |= 1 << k
@@ -156,14 +158,14 @@ def classes(frag: DataFrame, edge: DataFrame, share: bool = True) -> DataFrame:
         frame = pd.DataFrame(rows, columns=["frag", "row", "v", "slot_start", "class", "n", "bits"])
         return frame.astype({"v": "Int64", "slot_start": "Int64", "class": "Int64", "n": "Int64"})
 
-    return _pieces(frag, edge).groupBy("frag").applyInPandas(kernel, _KERNEL)
+    return pieces(frag, edge).groupBy("frag").applyInPandas(kernel, _KERNEL)
 
 
 def local_closure(frag: DataFrame, edge: DataFrame) -> DataFrame:
     """v, slot_start, n_reached: slots of the same fragment that each slot leads to, itself too."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, children, _, _, _ = _closure(pdf)
+        nodes, children, _, _, _ = unpacked(pdf)
         bits = [0] * len(nodes)
         for i in range(len(nodes) - 1, -1, -1):
             b = 1 << i
@@ -172,7 +174,7 @@ def local_closure(frag: DataFrame, edge: DataFrame) -> DataFrame:
             bits[i] = b
         return pd.DataFrame({"v": [v for _, v in nodes], "slot_start": [t for t, _ in nodes], "n_reached": [b.bit_count() for b in bits]}, dtype="int64")
 
-    return _pieces(frag, edge).groupBy("frag").applyInPandas(kernel, "v bigint, slot_start bigint, n_reached bigint")
+    return pieces(frag, edge).groupBy("frag").applyInPandas(kernel, "v bigint, slot_start bigint, n_reached bigint")
 
 
 #: Slots whose targets a task of whole_closure counts at a time (a bit each), and slots of a packed run of edges.
@@ -281,7 +283,7 @@ def levels(frag: DataFrame, edge: DataFrame) -> DataFrame:
     """v, slot_start, up, down: longest paths to and from each slot within its fragment; what reaches has the lesser up and greater down."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, children, _, _, _ = _closure(pdf)
+        nodes, children, _, _, _ = unpacked(pdf)
         up, down = [0] * len(nodes), [0] * len(nodes)
         for i in range(len(nodes)):
             for j in children[i]:
@@ -291,27 +293,26 @@ def levels(frag: DataFrame, edge: DataFrame) -> DataFrame:
                 down[i] = max(down[i], down[j] + 1)
         return pd.DataFrame({"v": [v for _, v in nodes], "slot_start": [t for t, _ in nodes], "up": up, "down": down}, dtype="int64")
 
-    return _pieces(frag, edge).groupBy("frag").applyInPandas(kernel, "v bigint, slot_start bigint, up bigint, down bigint")
+    return pieces(frag, edge).groupBy("frag").applyInPandas(kernel, "v bigint, slot_start bigint, up bigint, down bigint")
 
 
 def chain_labels(frag: DataFrame, edge: DataFrame, k: int = 5) -> DataFrame:
     """Chain labels of each slot within its fragment: v, slot_start, lout, lin (arrays of rank and at).
 
-    A chain is a path of edges within one place; chains rank by the number of their slots, ties by
-    their first slot. lout has, for the k lowest ranks among chains a slot leads to, the first slot
-    start reached there; lin the last slot start that leads to it.
+    A chain is the part of a component that lies in a fragment, which is a path; chains rank by the
+    number of their slots, ties by their first slot. frag must have c_start. lout has, for the k lowest
+    ranks among chains a slot leads to, the first slot start reached there; lin the last slot
+    start that leads to it.
     """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, children, _, _, _ = _closure(pdf)
-        chain, size = [-1] * len(nodes), {}
-        for i, (_, v) in enumerate(nodes):
-            if chain[i] < 0:
-                chain[i] = i
+        nodes, children, _, _, _ = unpacked(pdf)
+        own_slots = pdf[pdf["row"] == "slot"]
+        component = {(t, v): c for t, v, c in zip(own_slots["a_t"], own_slots["a_v"], own_slots["b_t"].astype("int64"))}
+        chain, size, first = [-1] * len(nodes), {}, {}
+        for i, (t, v) in enumerate(nodes):
+            chain[i] = first.setdefault((v, component[(t, v)]), i)
             size[chain[i]] = size.get(chain[i], 0) + 1
-            then = min((j for j in children[i] if nodes[j][1] == v and chain[j] < 0), default=None)
-            if then is not None:
-                chain[then] = chain[i]
         rank = {c: i for i, c in enumerate(sorted(size, key=lambda c: (-size[c], nodes[c])))}
         lout: list[dict] = [{} for _ in nodes]
         lin: list[dict] = [{} for _ in nodes]
@@ -331,7 +332,7 @@ def chain_labels(frag: DataFrame, edge: DataFrame, k: int = 5) -> DataFrame:
         return pd.DataFrame({"v": [v for _, v in nodes], "slot_start": [t for t, _ in nodes], "lout": [pack(x) for x in lout], "lin": [pack(x) for x in lin]})
 
     label = "array<struct<rank:bigint,at:bigint>>"
-    return _pieces(frag, edge).groupBy("frag").applyInPandas(kernel, f"v bigint, slot_start bigint, lout {label}, lin {label}")
+    return pieces(frag, edge).groupBy("frag").applyInPandas(kernel, f"v bigint, slot_start bigint, lout {label}, lin {label}")
 
 
 def labels_meet(lout: str, lin: str):
@@ -343,7 +344,7 @@ def _local_hits(pairs: DataFrame, frag: DataFrame, edge: DataFrame) -> DataFrame
     """qid of the pairs (qid, f, src_v, src_start, dst_v, dst_start) that reach within their fragment f; one walk for each source."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, children, _, _, _ = _closure(pdf)
+        nodes, children, _, _, _ = unpacked(pdf)
         at = {x: i for i, x in enumerate(nodes)}
         asks = pdf[pdf["row"] == "ask"]
         by: dict[int, list] = {}
@@ -361,7 +362,7 @@ def _local_hits(pairs: DataFrame, frag: DataFrame, edge: DataFrame) -> DataFrame
         return pd.DataFrame({"qid": yes}, dtype="int64")
 
     asks = pairs.select("qid", F.col("f").alias("frag"), F.lit("ask").alias("row"), F.col("src_v").alias("a_v"), F.col("src_start").alias("a_t"), F.col("dst_v").alias("b_v"), F.col("dst_start").alias("b_t"))
-    rows = _pieces(frag, edge).join(asks.select("frag").distinct(), "frag", "left_semi").withColumn("qid", F.lit(None).cast("bigint"))
+    rows = pieces(frag, edge).join(asks.select("frag").distinct(), "frag", "left_semi").withColumn("qid", F.lit(None).cast("bigint"))
     return rows.unionByName(asks).groupBy("frag").applyInPandas(kernel, "qid bigint")
 
 
@@ -369,10 +370,10 @@ def _local_hits(pairs: DataFrame, frag: DataFrame, edge: DataFrame) -> DataFrame
 QUERY_BLOCK = 2_048
 
 
-def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: DataFrame, block: int = QUERY_BLOCK, local=None) -> DataFrame:
     """qid of the pairs of ends (qid, src_v, src_start, dst_v, dst_start) that reach, through fragments and classes.
 
-    found is the result of classes(). Within a fragment: a walk by its kernel. Between fragments:
+    found is the result of classes(). Within a fragment: local(pairs, frag, edge), else a walk by its kernel. Between fragments:
     from the out-class of the source, border to border, to the in-class of the target. In each round
     all queries take one step from wherever they have come: a task has the queries of a block at
     one fragment, and goes on only with border slots that are new to a query. Answered queries stop.
@@ -383,7 +384,7 @@ def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: D
         .join(where.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), F.col("frag").alias("g")), ["dst_v", "dst_start"])
         .select("qid", "src_v", "src_start", "dst_v", "dst_start", "f", "g")
     )
-    hits = [_local_hits(rows.where("f = g"), frag, edge)]
+    hits = [(local or _local_hits)(rows.where("f = g"), frag, edge)]
     far = rows.where("f < g")
     n_blocks = max(1, -(-far.count() // block))
     of = found.where("row IN ('out', 'in') AND class > 0").select("row", "frag", "v", "slot_start", "class")

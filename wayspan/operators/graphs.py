@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wayspan.operators.blocks import with_next, with_running_max
-from wayspan.session import cut
+from wayspan.session import cut, drop
 
 MOST_ROUNDS = 200
 
@@ -129,3 +129,112 @@ def heaviest_parents(edges: DataFrame) -> DataFrame:
     """Each vertex's in-edge of greatest weight, ties by the least source: src, dst, weight."""
     rows = edges.select("src", "dst", "weight").dropna().where("src <> dst")
     return rows.groupBy("dst").agg(F.max(F.struct("weight", (-F.col("src")).alias("s"))).alias("x")).select((-F.col("x.s")).alias("src"), "dst", F.col("x.weight").alias("weight"))
+
+
+def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """src, dst, n_edges between different components: edges a, b with their ends replaced by the labels of components (id, label)."""
+    given = edges.select("a", "b").dropna().distinct()
+    ends = given.join(components.select(F.col("id").alias("a"), F.col("label").alias("src")), "a").join(components.select(F.col("id").alias("b"), F.col("label").alias("dst")), "b")
+    return ends.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n_edges"))
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, level: the edges of the longest path that leads to each node of an acyclic graph; by level, edges ascend.
+
+    nodes: id; edges: src, dst. Takes a round for each level: the nodes all of whose predecessors
+    have left leave with their out-edges. A graph with a cycle is an error.
+    """
+    given = cut(edges.select("src", "dst").dropna().distinct())
+    left = cut(nodes.select("id").dropna().unionAll(given.select(F.col("src").alias("id"))).unionAll(given.select(F.col("dst").alias("id"))).distinct())
+    done, level = None, 0
+    while not left.isEmpty():
+        free = cut(left.join(given.select(F.col("dst").alias("id")), "id", "left_anti"))
+        if free.isEmpty():
+            raise ValueError("the graph has a cycle")
+        here = free.select("id", F.lit(level).cast("bigint").alias("level"))
+        done = here if done is None else done.unionByName(here)
+        old = left, given
+        left = cut(left.join(free, "id", "left_anti"))
+        given = cut(given.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        drop(*old)
+        level += 1
+    return done if done is not None else left.select("id", F.lit(0).cast("bigint").alias("level"))
+
+
+def cycles_of_parents(parents: DataFrame) -> DataFrame:
+    """id, cycle: the nodes on cycles of a graph in which each dst has at most one src; cycle is the least id of each.
+
+    Pointers are doubled, so it takes about log2 of the nodes in rounds: what is still met after as
+    many steps as there are nodes lies on a cycle, and so does the least id met on the way from there.
+    """
+    up = cut(parents.select(F.col("dst").alias("id"), F.col("src").alias("to")))
+    n = up.count()
+    jump, steps = up, 1
+    while steps < n:
+        jump = cut(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")))
+        steps *= 2
+    on = cut(jump.select(F.col("to").alias("id")).distinct())
+    ring = cut(up.join(on, "id").select("id", "to", F.least("id", "to").alias("least")))
+    size, steps = ring.count(), 1
+    while steps < size:
+        ring = cut(ring.join(ring.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least")), "to").select("id", F.col("_to").alias("to"), F.least("least", "_least").alias("least")))
+        steps *= 2
+    return ring.select("id", F.col("least").alias("cycle"))
+
+
+def branching(edges: DataFrame) -> DataFrame:
+    """src, dst, weight: the heaviest in-edge of each vertex, less the lightest edge of each cycle these form (ties: the least dst).
+
+    edges: src, dst, weight. No vertex has two in-edges and there is no cycle, so it is a branching, by
+    the greedy rule; opening a cycle elsewhere may weigh more.
+    """
+    parents = cut(heaviest_parents(edges))
+    on = cycles_of_parents(parents)
+    ring = parents.join(on.select(F.col("id").alias("dst"), "cycle"), "dst")
+    lightest = ring.groupBy("cycle").agg(F.min(F.struct("weight", "dst")).alias("x")).select(F.col("x.dst").alias("dst"))
+    return parents.join(lightest, "dst", "left_anti").select("src", "dst", "weight")
+
+
+def branching_violations(edges: DataFrame) -> DataFrame:
+    """id, what: vertices with more than one in-edge (parents), and vertices on a cycle (cycle); none for a branching."""
+    many = edges.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select(F.col("dst").alias("id"), F.lit("parents").alias("what"))
+    single = edges.groupBy("dst").agg(F.min("src").alias("src"))
+    return many.unionByName(cycles_of_parents(single).select("id", F.lit("cycle").alias("what")))
+
+
+def distances(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """qid, hops: edges of a shortest path from source to target of each pair; null where there is none.
+
+    pairs: qid (unique), source, target; edges: a, b. Both ends grow, in each round the side with the
+    fewer rows on its front, until they meet; a pair that met, or whose front is empty on a side, stops.
+    """
+    ask = cut(pairs.select("qid", "source", "target").dropna().distinct())
+    given = cut(edges.select("a", "b").dropna().distinct())
+    back = given.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    seen = {s: [cut(ask.select("qid", F.col(c).alias("id"), F.lit(0).alias("n")))] for s, c in (("to", "source"), ("from", "target"))}
+    met = [cut(ask.where("source = target").select("qid", F.lit(0).alias("hops")))]
+    front = {s: cut(seen[s][0].join(met[0].select("qid"), "qid", "left_anti")) for s in seen}
+    for _ in range(MOST_ROUNDS):
+        sizes = {s: front[s].count() for s in front}
+        if not all(sizes.values()):
+            found = met[0]
+            for m in met[1:]:
+                found = found.unionByName(m)
+            return pairs.select("qid").distinct().join(found.groupBy("qid").agg(F.min("hops").cast("bigint").alias("hops")), "qid", "left")
+        side = min(sizes, key=sizes.get)
+        other = "from" if side == "to" else "to"
+        step = front[side].join(given if side == "to" else back, front[side]["id"] == F.col("a")).select("qid", F.col("b").alias("id"), (F.col("n") + 1).alias("n")).distinct()
+        had, there = seen[side][0], seen[other][0]
+        for more in seen[side][1:]:
+            had = had.unionByName(more)
+        for more in seen[other][1:]:
+            there = there.unionByName(more)
+        new = cut(step.join(had.select("qid", "id"), ["qid", "id"], "left_anti"))
+        hit = cut(new.join(there.withColumnRenamed("n", "m"), ["qid", "id"]).groupBy("qid").agg(F.min(F.col("n") + F.col("m")).alias("hops")))
+        met.append(hit)
+        seen[side].append(new)
+        done = hit.select("qid")
+        alive = new.select("qid").distinct()
+        front[side] = cut(new.join(done, "qid", "left_anti"))
+        front[other] = cut(front[other].join(done, "qid", "left_anti").join(alive, "qid", "left_semi"))
+    raise RuntimeError("the pairs didn't meet")

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayspan.functions import LENGTH_HIGH, LENGTH_LOW, LENGTH_POWER, date_text
+from wayspan.functions import LENGTH_HIGH, LENGTH_LOW, LENGTH_POWER, date_text, not_refuted
 from wayspan.operators import fragments as fr
 from wayspan.operators import generate, graphs, reach
+from wayspan.operators.labels import orders
 from wayspan.plans import graph
 from wayspan.plans.graph import index
 from wayspan.session import cut, shared_folder, table
@@ -87,14 +88,15 @@ def level_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chain_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = fr.chain_labels(*_parts(spark, d))
-    return rows.select("v", "slot_start", F.size("lout").cast("bigint").alias("n_out"), F.size("lin").cast("bigint").alias("n_in"), fr.labels_meet("lout", "lin").alias("meets_itself"))
+    """The labels as text, `rank:at` by rank."""
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["rank"].cast("string"), x["at"].cast("string")))).alias(c)
+    return fr.chain_labels(*_parts(spark, d)).select("v", "slot_start", text("lout"), text("lin"))
 
 
 def label_tests(spark: SparkSession, d: str) -> DataFrame:
     """For each query with endpoints, whether its slots are the same, reach (yes) or don't (no); and what told it.
 
-    told_by: labels (the same slot, a common chain, or levels and times that refute it), order (the
+    told_by: labels (the same slot, a common chain, or levels and two topological orders that refute it), order (the
     target lies in an earlier fragment), classes (the target lies in a later fragment, and the source
     leads to no border slot or none leads to the target), or reach, where those leave it open.
     """
@@ -102,15 +104,15 @@ def label_tests(spark: SparkSession, d: str) -> DataFrame:
     frag, edge = _parts(spark, d)
     classes = _classes(spark, d)
     ends = cut(reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots).select("qid", "src_v", "src_start", "dst_v", "dst_start"))
-    label = fr.chain_labels(frag, edge).join(fr.levels(frag, edge), ["v", "slot_start"]).join(frag.select("v", "slot_start", "frag"), ["v", "slot_start"])
+    label = fr.chain_labels(frag, edge).join(fr.levels(frag, edge), ["v", "slot_start"]).join(orders(frag, edge), ["v", "slot_start"])
     for side in ("out", "in"):
         label = label.join(classes.where(F.col("row") == side).select("v", "slot_start", F.col("class").alias(side)), ["v", "slot_start"])
     label = cut(label)
-    a = label.select(F.col("v").alias("src_v"), F.col("slot_start").alias("src_start"), "lout", F.col("up").alias("up_a"), F.col("down").alias("down_a"), F.col("frag").alias("f"), "out")
-    b = label.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), "lin", F.col("up").alias("up_b"), F.col("down").alias("down_b"), F.col("frag").alias("g"), "in")
+    a = label.select(F.col("v").alias("src_v"), F.col("slot_start").alias("src_start"), "lout", F.col("up").alias("up_a"), F.col("down").alias("down_a"), F.col("first").alias("f1_a"), F.col("second").alias("f2_a"), F.col("frag").alias("f"), "out")
+    b = label.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), "lin", F.col("up").alias("up_b"), F.col("down").alias("down_b"), F.col("first").alias("f1_b"), F.col("second").alias("f2_b"), F.col("frag").alias("g"), "in")
     rows = ends.join(a, ["src_v", "src_start"]).join(b, ["dst_v", "dst_start"])
     same = (F.col("src_v") == F.col("dst_v")) & (F.col("src_start") == F.col("dst_start"))
-    no = (F.col("up_a") >= F.col("up_b")) | (F.col("down_a") <= F.col("down_b")) | (F.col("src_start") >= F.col("dst_start"))
+    no = (F.col("up_a") >= F.col("up_b")) | ~not_refuted(*[F.col(c) for c in ("down_a", "down_b", "f1_a", "f1_b", "f2_a", "f2_b")])
     within = F.when(same, "same").when(no, "no").when(fr.labels_meet("lout", "lin"), "yes")
     between = F.when((F.col("f") > F.col("g")) | (F.col("out") == 0) | (F.col("in") == 0), "no")
     rows = rows.withColumn("verdict", F.when(F.col("f") == F.col("g"), within).otherwise(between))
@@ -273,6 +275,29 @@ SQL = {
     "edge_cut": f"WITH {_fragments_sql()} SELECT count(*) AS n_edges, count(*) FILTER (src_frag <> dst_frag) AS n_cut, avg(CAST(src_frag <> dst_frag AS INT)) AS cut_ratio FROM ef",
     "fragment_matrix": f"WITH {_fragments_sql()} SELECT src_frag, dst_frag, count(*) AS n_edges FROM ef GROUP BY ALL",
     "fragment_time_range": f"WITH {_fragments_sql()} SELECT frag, count(*) AS n_slots, min(slot_start) AS first_start, max(slot_end) AS last_end FROM fg GROUP BY frag",
+    "perfect_partition_num": f"""WITH {graph.edges_sql()},
+        rk AS MATERIALIZED (SELECT v, slot_start, row_number() OVER (ORDER BY slot_start, slot_end, v) - 1 AS r FROM sl),
+        lk AS MATERIALIZED (SELECT a.r AS x, b.r AS y FROM ed JOIN rk a ON a.v = src_v AND a.slot_start = src_start JOIN rk b ON b.v = dst_v AND b.slot_start = dst_start),
+        sz AS (SELECT k, CAST(ceil((SELECT count(*) FROM sl) / k::DOUBLE) AS BIGINT) AS size FROM range(1, 257) t(k)),
+        bo AS (SELECT k, size, count(DISTINCT y) AS n FROM sz, lk WHERE x // size <> y // size GROUP BY ALL)
+        SELECT CAST(min(k) AS BIGINT) AS k FROM bo WHERE size <= 8 * n""",
+    "index_size": f"""WITH RECURSIVE {_fragments_sql()} {_OUT} {_IN},
+        gh AS (SELECT src_frag AS frag, count(DISTINCT (dst_v, dst_start)) AS n FROM ef WHERE src_frag <> dst_frag GROUP BY ALL),
+        en AS (SELECT frag, count(*) AS n FROM bo GROUP BY frag),
+        oc AS (SELECT frag, count(DISTINCT s) AS n FROM os JOIN fg ON fg.v = os.v AND fg.slot_start = os.t GROUP BY frag),
+        ic AS (SELECT frag, count(DISTINCT s) AS n FROM ns JOIN fg ON fg.v = ns.v AND fg.slot_start = ns.t GROUP BY frag)
+        SELECT frag, c AS n_slots, coalesce(gh.n, 0) AS n_ghosts, coalesce(en.n, 0) AS n_entries, coalesce(oc.n, 0) AS n_out_classes, coalesce(ic.n, 0) AS n_in_classes,
+            coalesce(oc.n, 0) * ((coalesce(gh.n, 0) + 7) // 8) + coalesce(ic.n, 0) * ((coalesce(en.n, 0) + 7) // 8) AS n_bytes
+        FROM (SELECT frag, count(*) AS c FROM fg GROUP BY frag) LEFT JOIN gh USING (frag) LEFT JOIN en USING (frag) LEFT JOIN oc USING (frag) LEFT JOIN ic USING (frag)""",
+    "chain_labels": f"""WITH RECURSIVE {_fragments_sql()} {_UP},
+        fc AS MATERIALIZED (SELECT fg.*, sl.c_start FROM fg JOIN sl USING (v, slot_start)),
+        cr AS (SELECT frag, v, c_start, row_number() OVER (PARTITION BY frag ORDER BY count(*) DESC, min(slot_start), v) - 1 AS r FROM fc GROUP BY frag, v, c_start),
+        cs AS MATERIALIZED (SELECT fc.v, fc.slot_start AS t, r FROM fc JOIN cr USING (frag, v, c_start)),
+        fo AS (SELECT v, t, r, t AS tm FROM cs UNION SELECT src_v, src_start, r, tm FROM fo JOIN lf ON dst_v = fo.v AND dst_start = fo.t),
+        fi AS (SELECT v, t, r, t AS tm FROM cs UNION SELECT dst_v, dst_start, r, tm FROM fi JOIN lf ON src_v = fi.v AND src_start = fi.t),
+        lo AS (SELECT v, t, r, min(tm) AS tm FROM fo GROUP BY v, t, r QUALIFY row_number() OVER (PARTITION BY v, t ORDER BY r) <= 5),
+        li AS (SELECT v, t, r, max(tm) AS tm FROM fi GROUP BY v, t, r QUALIFY row_number() OVER (PARTITION BY v, t ORDER BY r) <= 5)
+        SELECT v, t AS slot_start, lout, lin FROM (SELECT v, t, string_agg(r || ':' || tm, ',' ORDER BY r) AS lout FROM lo GROUP BY v, t) JOIN (SELECT v, t, string_agg(r || ':' || tm, ',' ORDER BY r) AS lin FROM li GROUP BY v, t) USING (v, t)""",
     "border_vertices": f"WITH {_fragments_sql()} SELECT v, slot_start, frag FROM bo",
     "out_classes": f"WITH RECURSIVE {_fragments_sql()} {_OUT} SELECT sl.v, sl.slot_start, coalesce(n, 0) AS n_borders FROM sl LEFT JOIN os ON os.v = sl.v AND os.t = sl.slot_start",
     "in_classes": f"WITH RECURSIVE {_fragments_sql()} {_IN} SELECT sl.v, sl.slot_start, coalesce(n, 0) AS n_borders FROM sl LEFT JOIN ns ON ns.v = sl.v AND ns.t = sl.slot_start",
