@@ -18,7 +18,7 @@ def test_lines(spark, rows, tmp_path):
 
 
 def test_sessions(spark, rows, tmp_path):
-    data = [(1, 0), (1, 3600), (1, 7201), (2, 5), (None, 4), (1, None), (3, 10_000_000)]
+    data = [(1, 0), (1, 3600), (1, 3600), (1, 7201), (2, 5), (None, 4), (1, None), (3, 10_000_000)]
     df = spark.createDataFrame(data, "u bigint, ts bigint")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     out = stream_sessions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))

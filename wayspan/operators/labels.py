@@ -11,7 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wayspan.operators.fragments import pieces, unpacked
+from wayspan.functions import not_refuted
+from wayspan.operators.fragments import chain_labels, contracted_reach, labels_meet, levels, pieces, unpacked
+from wayspan.session import cut
 
 _SLOT = "frag bigint, v bigint, slot_start bigint"
 #: Columns of a path table that are worked on at a time, each of four bytes a slot.
@@ -174,3 +176,36 @@ def tree_cover(frag: DataFrame, edge: DataFrame) -> DataFrame:
         return [[None if e is None else e[1] for e in ends], [None if e is None else e[0] for e in ends], before, after, pre, last]
 
     return _per_fragment(frag, edge, make, "parent_v bigint, parent_start bigint, n_before bigint, n_after bigint, pre bigint, last bigint")
+
+
+def label_table(frag: DataFrame, edge: DataFrame, found: DataFrame) -> DataFrame:
+    """Everything that label tests look up, a row for each slot: v, slot_start, frag, lout, lin, up, down, first, second, and its classes out and in."""
+    table = chain_labels(frag, edge).join(levels(frag, edge), ["v", "slot_start"]).join(orders(frag, edge), ["v", "slot_start"])
+    for side in ("out", "in"):
+        table = table.join(found.where(F.col("row") == side).select("v", "slot_start", F.col("class").alias(side)), ["v", "slot_start"])
+    return table
+
+
+def label_verdicts(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: DataFrame, table: DataFrame) -> DataFrame:
+    """qid, verdict (same, yes or no) and told_by of the pairs of ends (qid, src_v, src_start, dst_v, dst_start).
+
+    found is the result of classes(), table of label_table(). told_by: labels (the same slot, a common
+    chain, or levels and two topological orders that refute it), order (the target lies in an earlier
+    fragment), classes (the target lies in a later fragment, and the source leads to no border slot or
+    none leads to the target), or reach, a search where those leave it open.
+    """
+    ends = ends.select("qid", "src_v", "src_start", "dst_v", "dst_start")
+    a = table.select(F.col("v").alias("src_v"), F.col("slot_start").alias("src_start"), "lout", *[F.col(c).alias(f"{c}_a") for c in ("up", "down", "first", "second")], F.col("frag").alias("f"), "out")
+    b = table.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), "lin", *[F.col(c).alias(f"{c}_b") for c in ("up", "down", "first", "second")], F.col("frag").alias("g"), "in")
+    rows = ends.join(a, ["src_v", "src_start"]).join(b, ["dst_v", "dst_start"])
+    same = (F.col("src_v") == F.col("dst_v")) & (F.col("src_start") == F.col("dst_start"))
+    no = (F.col("up_a") >= F.col("up_b")) | ~not_refuted(*[F.col(c) for c in ("down_a", "down_b", "first_a", "first_b", "second_a", "second_b")])
+    within = F.when(same, "same").when(no, "no").when(labels_meet("lout", "lin"), "yes")
+    between = F.when((F.col("f") > F.col("g")) | (F.col("out") == 0) | (F.col("in") == 0), "no")
+    rows = rows.withColumn("verdict", F.when(F.col("f") == F.col("g"), within).otherwise(between))
+    how = F.when(F.col("f") == F.col("g"), "labels").when(F.col("f") > F.col("g"), "order").otherwise("classes")
+    rows = cut(rows.select(*ends.columns, "verdict", how.alias("told_by")))
+    left = rows.where("verdict IS NULL")
+    yes = contracted_reach(left.select(*ends.columns), frag, edge, found).withColumn("_yes", F.lit("yes"))
+    left = left.join(yes, "qid", "left").select("qid", F.coalesce("_yes", F.lit("no")).alias("verdict"), F.lit("reach").alias("told_by"))
+    return rows.where("verdict IS NOT NULL").select("qid", "verdict", "told_by").unionByName(left)

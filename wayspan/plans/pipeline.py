@@ -1,6 +1,6 @@
 """The whole run over files: load visits and labelled queries, build, answer, report; and the data tools.
 
-    python -m wayspan.plans.pipeline answer --inputPath G --queryFilePath Q --outputPath R [--minBlock 4] [--delta N] [--algorithm fixpoint|contracted]
+    python -m wayspan.plans.pipeline answer --inputPath G --queryFilePath Q --outputPath R [--minBlock 4] [--delta N] [--algorithm fixpoint|contracted|TopChain|PathTree]
     python -m wayspan.plans.pipeline tool --mode GenerateRfile|FixDataSet|GenerateQuery|PrintMetisInfo --inputPath G --outputPath R [--parts P] [--queryNum N]
 """
 
@@ -11,11 +11,12 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayspan.operators import dag, fragments as fr, generate, reach
+from wayspan.operators import dag, fragments as fr, generate, labels, reach
 from wayspan.session import cut, local_session
 from wayspan.sources import graph_files as gf
 
-ALGORITHMS = ("fixpoint", "contracted")
+#: fixpoint: no index. The others go through fragments and classes, and within a fragment by a walk, by chain labels and orders first, or by path labels.
+ALGORITHMS = ("fixpoint", "contracted", "TopChain", "PathTree")
 
 
 def answer(spark: SparkSession, visits: DataFrame, queries: DataFrame, k: int = 4, delta: int = 2**31 - 1, algorithm: str = "fixpoint") -> tuple[DataFrame, DataFrame]:
@@ -45,25 +46,50 @@ def answer(spark: SparkSession, visits: DataFrame, queries: DataFrame, k: int =
     lap("Partition_time_ms")
     report = {"Frag_num": k, "indexing_method": algorithm, "Connection_latency_threshold_s": delta, "DAG_node_num": slot.count(), "DAG_edge_num": edge.count(), "edge_cut": n_cut["cut_ratio"] or 0.0}
     ends = cut(reach.endpoints(queries, meeting, slot))
-    if algorithm == "contracted":
+    lap("Endpoint_time_ms")
+    if algorithm != "fixpoint":
         classes = cut(fr.classes(frag, cutting))
-        sizes = classes.agg(F.count_if((F.col("row") == "out_class") | (F.col("row") == "in_class")).alias("c"), F.count_if(F.col("row") == "entry").alias("b")).first()
-        report |= {"ConGraph_node_num": sizes["c"] + sizes["b"]}
+        is_ = lambda *r: F.col("row").isin(*r)
+        sizes = classes.agg(F.count_if(is_("out_class", "in_class")).alias("c"), F.count_if(is_("entry")).alias("b"), F.coalesce(F.sum(F.when(is_("out_class", "in_class"), F.col("n"))), F.lit(0)).alias("e")).first()
+        report |= {"ConGraph_node_num": sizes["c"] + sizes["b"], "ConGraph_edge_num": sizes["e"] + sizes["b"]}  # a class and its border slots; a border slot and its class
         lap("EqSet_time_ms")
-        yes = fr.contracted_reach(ends, frag, cutting, classes).withColumn("_yes", F.lit(True))
-        got = queries.select("qid").distinct().join(yes, "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
-    else:
-        got = reach.reachable(queries, dag.with_runs(moved, delta), ends)
-    got = cut(got)
-    lap("Total_query_ms")
-    counts = got.agg(F.count("*").alias("n"), F.count_if("reachable").alias("yes")).first()
-    report |= {"n_queries": counts["n"], "n_reachable": counts["yes"], "Avg_query_us": round(took["Total_query_ms"] * 1000 / max(1, counts["n"]), 1)}
+        table = cut(labels.label_table(frag, cutting, classes)) if algorithm == "TopChain" else None
+        if algorithm == "PathTree":
+            report["n_paths"] = cut(labels.path_cover(frag, cutting)).select("frag", "path").distinct().count()
+        lap("local_indexing_time_ms")
+    report["Index_construction_time_ms"] = round(sum(took.values()) - took["Endpoint_time_ms"], 1)
+
+    def batch(asked: DataFrame, name: str) -> DataFrame:
+        mine = ends.join(asked.select("qid").distinct(), "qid", "left_semi")
+        if algorithm == "fixpoint":
+            got = reach.reachable(asked, dag.with_runs(moved, delta), mine)
+        else:
+            if algorithm == "TopChain":
+                yes = labels.label_verdicts(mine, frag, cutting, classes, table).where("verdict <> 'no'").select("qid")
+            else:
+                yes = fr.contracted_reach(mine, frag, cutting, classes, local=labels.path_hits if algorithm == "PathTree" else None)
+            got = asked.select("qid").distinct().join(yes.withColumn("_yes", F.lit(True)), "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
+        got = cut(got)
+        lap(f"Total{name}_ms")
+        report[f"Avg{name}_us"] = round(took[f"Total{name}_ms"] * 1000 / max(1, got.count()), 1)
+        return got
+
     if "expected" in queries.columns:
+        got = batch(queries.where("expected"), "PosQuery").unionByName(batch(queries.where("NOT coalesce(expected, false)"), "NegQuery"))
         report["n_disagree"] = got.join(queries.select("qid", "expected"), "qid").where("reachable <> expected").count()
-    report |= took | {"Index_construction_time_ms": round(sum(v for name, v in took.items() if name != "Total_query_ms"), 1)}
+    else:
+        got = batch(queries, "Query")
+    counts = got.agg(F.count("*").alias("n"), F.count_if("reachable").alias("yes")).first()
+    report |= {"n_queries": counts["n"], "n_reachable": counts["yes"], "Memory_GB": memory_gb(spark)} | took
     return got, spark.createDataFrame([tuple(report.values())], list(report))
 
 
+def memory_gb(spark: SparkSession) -> float:
+    """Heap the driver's JVM has taken at most so far, in GB."""
+    pools = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    return round(sum(p.getPeakUsage().getUsed() for p in pools) / 2**30, 3)
+
+
 def tool(spark: SparkSession, mode: str, source: str, target: str, parts: str | None = None, n: int = 4) -> DataFrame | None:
     """One of the data tools; returns what it wrote, or shows for PrintMetisInfo."""
     if mode == "GenerateRfile":

@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayspan.functions import LENGTH_HIGH, LENGTH_LOW, LENGTH_POWER, date_text, not_refuted
+from wayspan.functions import LENGTH_HIGH, LENGTH_LOW, LENGTH_POWER, date_text
 from wayspan.operators import fragments as fr
-from wayspan.operators import generate, graphs, reach
-from wayspan.operators.labels import orders
+from wayspan.operators import generate, graphs, labels, reach
 from wayspan.plans import graph
 from wayspan.plans.graph import index
 from wayspan.session import cut, shared_folder, table
@@ -94,34 +93,17 @@ def chain_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_tests(spark: SparkSession, d: str) -> DataFrame:
-    """For each query with endpoints, whether its slots are the same, reach (yes) or don't (no); and what told it.
+    """For each query with endpoints, whether its slots are the same, reach (yes) or don't (no); and what told it."""
+    i = index(spark, d)
+    ends = reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots)
+    return labels.label_verdicts(ends, *_parts(spark, d), _classes(spark, d), _labels(spark, d))
+
 
-    told_by: labels (the same slot, a common chain, or levels and two topological orders that refute it), order (the
-    target lies in an earlier fragment), classes (the target lies in a later fragment, and the source
-    leads to no border slot or none leads to the target), or reach, where those leave it open.
-    """
+def _labels(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
-    frag, edge = _parts(spark, d)
-    classes = _classes(spark, d)
-    ends = cut(reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots).select("qid", "src_v", "src_start", "dst_v", "dst_start"))
-    label = fr.chain_labels(frag, edge).join(fr.levels(frag, edge), ["v", "slot_start"]).join(orders(frag, edge), ["v", "slot_start"])
-    for side in ("out", "in"):
-        label = label.join(classes.where(F.col("row") == side).select("v", "slot_start", F.col("class").alias(side)), ["v", "slot_start"])
-    label = cut(label)
-    a = label.select(F.col("v").alias("src_v"), F.col("slot_start").alias("src_start"), "lout", F.col("up").alias("up_a"), F.col("down").alias("down_a"), F.col("first").alias("f1_a"), F.col("second").alias("f2_a"), F.col("frag").alias("f"), "out")
-    b = label.select(F.col("v").alias("dst_v"), F.col("slot_start").alias("dst_start"), "lin", F.col("up").alias("up_b"), F.col("down").alias("down_b"), F.col("first").alias("f1_b"), F.col("second").alias("f2_b"), F.col("frag").alias("g"), "in")
-    rows = ends.join(a, ["src_v", "src_start"]).join(b, ["dst_v", "dst_start"])
-    same = (F.col("src_v") == F.col("dst_v")) & (F.col("src_start") == F.col("dst_start"))
-    no = (F.col("up_a") >= F.col("up_b")) | ~not_refuted(*[F.col(c) for c in ("down_a", "down_b", "f1_a", "f1_b", "f2_a", "f2_b")])
-    within = F.when(same, "same").when(no, "no").when(fr.labels_meet("lout", "lin"), "yes")
-    between = F.when((F.col("f") > F.col("g")) | (F.col("out") == 0) | (F.col("in") == 0), "no")
-    rows = rows.withColumn("verdict", F.when(F.col("f") == F.col("g"), within).otherwise(between))
-    how = F.when(F.col("f") == F.col("g"), "labels").when(F.col("f") > F.col("g"), "order").otherwise("classes")
-    rows = cut(rows.select("qid", "src_v", "src_start", "dst_v", "dst_start", "verdict", how.alias("told_by")))
-    left = rows.where("verdict IS NULL")
-    yes = fr.contracted_reach(left.select("qid", "src_v", "src_start", "dst_v", "dst_start"), frag, edge, classes).withColumn("_yes", F.lit("yes"))
-    left = left.join(yes, "qid", "left").select("qid", F.coalesce("_yes", F.lit("no")).alias("verdict"), F.lit("reach").alias("told_by"))
-    return rows.where("verdict IS NOT NULL").select("qid", "verdict", "told_by").unionByName(left)
+    if "labels" not in i.__dict__:
+        i.labels = cut(labels.label_table(*_parts(spark, d), _classes(spark, d)))
+    return i.labels
 
 
 def index_size(spark: SparkSession, d: str) -> DataFrame:

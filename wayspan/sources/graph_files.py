@@ -117,6 +117,45 @@ def graphviz_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string("%d -> %d;", "a", "b").alias("line"))
 
 
+def graphviz_slots(slots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and line of the form with labels: for each slot (id, slot_start, slot_end) its label, then an edge for each child, ascending."""
+    kids = edges.select("a", "b").distinct().groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("kids"))
+    rows = slots.join(kids, F.col("id") == F.col("a"), "left")
+    label = F.format_string('{rank="same";%d[label = "id=%d|start=%d|end=%d"]};', "id", "id", "slot_start", "slot_end")
+    text = F.array_join(F.transform(F.coalesce("kids", F.array()), lambda x: F.concat(F.col("id").cast("string"), F.lit("->"), x.cast("string"), F.lit(";"))), "")
+    return rows.select(F.col("id").alias("node"), F.concat(label, text).alias("line"))
+
+
+def event_graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and line `id degree child child ... ` of an event graph, as split_graph() gives it; ids are places in order of (vertex, time, kind)."""
+    ids = with_rank(nodes.select("vertex", "time", "kind"), ["vertex", "time", "kind"], "id")
+    a = ids.select(F.col("vertex").alias("from_v"), F.col("time").alias("from_t"), F.col("kind").alias("from_kind"), F.col("id").alias("a"))
+    b = ids.select(F.col("vertex").alias("to_v"), F.col("time").alias("to_t"), F.col("kind").alias("to_kind"), F.col("id").alias("b"))
+    links = edges.join(a, ["from_v", "from_t", "from_kind"]).join(b, ["to_v", "to_t", "to_kind"]).select("a", "b").distinct()
+    kids = links.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("kids"))
+    rows = ids.join(kids, F.col("id") == F.col("a"), "left").withColumn("kids", F.coalesce("kids", F.array().cast("array<bigint>")))
+    text = F.array_join(F.transform("kids", lambda x: F.concat(x.cast("string"), F.lit(" "))), "")
+    return rows.select(F.col("id").alias("node"), F.concat(F.col("id").cast("string"), F.lit(" "), F.size("kids").cast("string"), F.lit(" "), text).alias("line"))
+
+
+def event_info_lines(nodes: DataFrame) -> DataFrame:
+    """vertex, kind and line `vertex count time time ... ` of the arrivals and of the starts of each vertex, ascending."""
+    rows = nodes.groupBy("vertex", "kind").agg(F.array_sort(F.collect_set("time")).alias("times"))
+    text = F.array_join(F.transform("times", lambda x: F.concat(x.cast("string"), F.lit(" "))), "")
+    return rows.select("vertex", "kind", F.concat(F.col("vertex").cast("string"), F.lit(" "), F.size("times").cast("string"), F.lit(" "), text).alias("line"))
+
+
+def chain_lines(chains: DataFrame) -> DataFrame:
+    """chain and line `[id][id]...` of rows chain, place, node."""
+    rows = chains.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("x"))
+    return rows.select("chain", F.array_join(F.transform("x", lambda y: F.concat(F.lit("["), y["node"].cast("string"), F.lit("]"))), "").alias("line"))
+
+
+def write_in_order(lines: DataFrame, path: str, order: str) -> None:
+    """Lines as one file, sorted: for formats in which a line's number tells what it is of. One task writes it, as one reads it."""
+    lines.repartition(1).sortWithinPartitions(order).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
 def weighted_lines(edges: DataFrame) -> DataFrame:
     """node and line `src: dst[edge|weight] ... #` of src, dst, edge_id, weight."""
     entry = F.struct("dst", "edge_id", "weight")

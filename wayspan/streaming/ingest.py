@@ -26,14 +26,16 @@ def load_lines(lines: DataFrame, feed: DataFrame, visits_path: str, rejects_path
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_sessions(arrivals: DataFrame, gap: int = 3600, late: int = 86_400) -> DataFrame:
+def stream_sessions(arrivals: DataFrame, gap: int = 3600, late: int = 14 * 86_400) -> DataFrame:
     """Sessions of a stream of arrivals u, ts: u, s_start, s_end, n_starts, closed by the watermark.
 
-    Rows with a null are left out. A gap of exactly `gap` seconds doesn't end a session, as in the
-    batch form. Arrivals more than `late` seconds behind the latest are dropped by the watermark;
-    choose it above the feeds' delay. Distinct starts are counted by rows: deduplicate before.
+    Rows with a null are left out, and equal (u, ts) count once. A gap of exactly `gap` seconds doesn't
+    end a session, as in the batch form. Arrivals more than `late` seconds behind the latest are dropped
+    by the watermark: choose it above the feeds' delay (the default is two weeks), at the price of state
+    kept so long; sessions() over the stored arrivals gives what came later still.
     """
     rows = arrivals.where("u IS NOT NULL AND ts IS NOT NULL").select("u", F.timestamp_seconds("ts").alias("at"), "ts")
     # session_window ends gap seconds after its last row and joins what starts at or before that end
     window = F.session_window("at", f"{gap} seconds").alias("w")
-    return rows.withWatermark("at", f"{late} seconds").groupBy("u", window).agg(F.min("ts").alias("s_start"), F.max("ts").alias("s_end"), F.count("*").alias("n_starts")).drop("w")
+    rows = rows.withWatermark("at", f"{late} seconds").groupBy("u", window)
+    return rows.agg(F.min("ts").alias("s_start"), F.max("ts").alias("s_end"), F.size(F.collect_set("ts")).cast("bigint").alias("n_starts")).drop("w")
