@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayspan.operators import dag, reach
 from wayspan.operators.blocks import with_rank
-from wayspan.session import cut, table
+from wayspan.session import cut, stamp, table
 
 DELTA = 86_400
 FRAGMENTS = 8
 
 
 class Index:
-    """The tables that many queries share: built once for a session and folder, like an index."""
+    """The tables that many queries share: built once for a session and folder, like an index. took has the seconds of each."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.visits = cut(dag.clip_visits(table(spark, d, "visit")))
-        meeting, _ = dag.meeting_visits(self.visits)
-        meeting = cut(meeting)
-        self.slots = cut(dag.slots(meeting))
-        self.moves = cut(dag.moves(dag.with_last_slot(meeting, self.slots)))
-        self.edges = cut(dag.edges(self.slots, self.moves))
+        self.took: dict[str, float] = {}
+        self.visits = self._built("visits", dag.clip_visits(table(spark, d, "visit")))
+        meeting = self._built("components", lambda: dag.meeting_visits(self.visits)[0])
+        self.slots = self._built("slots", dag.slots(meeting))
+        self.moves = self._built("moves", dag.moves(dag.with_last_slot(meeting, self.slots)))
+        self.edges = self._built("edges", dag.edges(self.slots, self.moves))
         self.meeting = self.moves.select("u", "v", "ts", "te", "c_start", "c_end", "last_start")
 
+    def _built(self, name: str, rows) -> DataFrame:
+        began = time.time()
+        out = cut(rows() if callable(rows) else rows)
+        self.took[name] = round(time.time() - began, 3)
+        return out
+
 
 def index(spark: SparkSession, d: str) -> Index:
-    """The index of a folder; kept on the session, whose shared folder holds its tables."""
+    """The index of a folder; kept on the session, whose shared folder holds its tables, as long as the visits there are the same."""
     kept = spark.__dict__.setdefault("_wayspan_index", {})
-    if d not in kept:
-        kept[d] = Index(spark, d)
-    return kept[d]
+    now = stamp(spark, f"{d}/visit.parquet")
+    if d not in kept or kept[d][0] != now:
+        kept[d] = now, Index(spark, d)
+    return kept[d][1]
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:

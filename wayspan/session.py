@@ -93,5 +93,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Length, number of files and time of change of what is at a path, to tell whether it is still the same."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = files.getContentSummary(at)
+    return held.getLength(), held.getFileCount(), files.getFileStatus(at).getModificationTime()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
