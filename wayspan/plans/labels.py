@@ -71,15 +71,16 @@ def path_cover(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Parents of the tree over each fragment, predecessors, successors, and slots below in the tree."""
+    """Parents of the tree over each fragment (-1 for roots), predecessors, successors, and slots below in the tree."""
     rows = labels.tree_cover(*_parts(spark, d))
-    return rows.select("v", "slot_start", "parent_v", "parent_start", "n_before", "n_after", (F.col("last") - F.col("pre")).alias("n_below"))
+    parent = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("parent_v", "parent_start")]
+    return rows.select("v", "slot_start", *parent, "n_before", "n_after", (F.col("last") - F.col("pre")).alias("n_below"))
 
 
 def cover_ratio(spark: SparkSession, d: str) -> DataFrame:
     """For each fragment: pairs of slots that reach, those of them that the tree's intervals tell, and their share."""
     rows = labels.tree_cover(*_parts(spark, d)).groupBy("frag").agg(F.sum("n_after").alias("n_pairs"), F.sum(F.col("last") - F.col("pre")).alias("n_covered"))
-    return rows.select("frag", "n_pairs", "n_covered", F.try_divide(F.col("n_covered").cast("double"), F.col("n_pairs")).alias("ratio"))
+    return rows.select("frag", "n_pairs", "n_covered", F.coalesce(F.try_divide(F.col("n_covered").cast("double"), F.col("n_pairs")), F.lit(0.0)).alias("ratio"))
 
 
 def index_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +111,9 @@ def latest_departure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_departures(spark: SparkSession, d: str) -> DataFrame:
-    return reach.first_departures(graph._sources(spark, d), graph._travel(spark, d))
+    """The first departure from each query's source in its window, and the last arrival at it; -1 where there is only the other."""
+    got = reach.first_departures(graph._sources(spark, d), graph._travel(spark, d))
+    return got.select("qid", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_departure", "last_arrival")])
 
 
 def condensed_places(spark: SparkSession, d: str) -> DataFrame:
@@ -143,9 +146,9 @@ def branching_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def place_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Moves of a shortest way from the place where u is found first to that where w is found last."""
+    """Moves of a shortest way from the place where u is found first to that where w is found last; -1 where there is none."""
     ends = _ends(spark, d).select("qid", F.col("src_v").alias("source"), F.col("dst_v").alias("target"))
-    return graphs.distances(ends, _places(spark, d))
+    return graphs.distances(ends, _places(spark, d)).select("qid", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 def place_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +176,7 @@ _CLOSED = f"""WITH RECURSIVE {_fragments_sql()} {_UP},
         QUALIFY row_number() OVER (PARTITION BY dst_v, dst_start ORDER BY coalesce(nb.n, 0) DESC, src_start, src_v) = 1),
     up AS (SELECT v, t, pv, pt FROM pa UNION SELECT up.v, up.t, pa.pv, pa.pt FROM up JOIN pa ON pa.v = up.pv AND pa.t = up.pt),
     be AS MATERIALIZED (SELECT pv AS v, pt AS t, count(*) AS n FROM up GROUP BY ALL),
-    tr AS (SELECT frag, fg.v, fg.slot_start, pv AS parent_v, pt AS parent_start, coalesce(nb.n, 0) AS n_before, coalesce(na.n, 0) AS n_after, coalesce(be.n, 0) AS n_below
+    tr AS (SELECT frag, fg.v, fg.slot_start, coalesce(pv, -1) AS parent_v, coalesce(pt, -1) AS parent_start, coalesce(nb.n, 0) AS n_before, coalesce(na.n, 0) AS n_after, coalesce(be.n, 0) AS n_below
         FROM fg LEFT JOIN pa ON pa.v = fg.v AND pa.t = fg.slot_start LEFT JOIN nb ON nb.v = fg.v AND nb.t = fg.slot_start LEFT JOIN na ON na.v = fg.v AND na.t = fg.slot_start LEFT JOIN be ON be.v = fg.v AND be.t = fg.slot_start)"""
 _STRONG = f"""WITH RECURSIVE {_PLACES}, c AS (SELECT id AS a, id AS b FROM nd UNION SELECT c.a, pl.b FROM c JOIN pl ON pl.a = c.b),
     cm AS MATERIALIZED (SELECT x.a AS id, min(x.b) AS label FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
@@ -188,7 +191,7 @@ SQL = {
     "border_set_histogram": _SIDES + " SELECT side, n AS n_borders, count(*) AS n_slots FROM sd GROUP BY ALL",
     "topological_labels": f"WITH {graph.SLOTS} SELECT v, slot_start, 10 * row_number() OVER (ORDER BY slot_start, slot_end, v) - 9 AS label FROM sl",
     "tree_cover": _CLOSED + " SELECT * EXCLUDE (frag) FROM tr",
-    "cover_ratio": _CLOSED + " SELECT frag, CAST(sum(n_after) AS BIGINT) AS n_pairs, CAST(sum(n_below) AS BIGINT) AS n_covered, CAST(sum(n_below) AS DOUBLE) / nullif(CAST(sum(n_after) AS DOUBLE), 0) AS ratio FROM tr GROUP BY frag",
+    "cover_ratio": _CLOSED + " SELECT frag, CAST(sum(n_after) AS BIGINT) AS n_pairs, CAST(sum(n_below) AS BIGINT) AS n_covered, coalesce(CAST(sum(n_below) AS DOUBLE) / nullif(CAST(sum(n_after) AS DOUBLE), 0), 0.0) AS ratio FROM tr GROUP BY frag",
     "index_violations": "SELECT '' AS what, 0 AS v, 0 AS slot_start WHERE false",
     "latest_departure": f"""WITH RECURSIVE {graph.SLOTS} {graph._ENDPOINTS},
         tr AS MATERIALIZED (SELECT DISTINCT v AS src, next_v AS dst, last_start AS depart, gap AS duration FROM mo WHERE next_ts IS NOT NULL AND gap >= 0),
@@ -201,7 +204,7 @@ SQL = {
         so AS (SELECT qid, src_v AS source, q_start, q_end FROM ep JOIN qs USING (qid)),
         fd AS (SELECT qid, (SELECT min(depart) FROM tr WHERE src = source AND depart BETWEEN q_start AND q_end) AS first_departure,
             (SELECT max(depart + duration) FROM tr WHERE dst = source AND depart + duration BETWEEN q_start AND q_end) AS last_arrival FROM so)
-        SELECT * FROM fd WHERE first_departure IS NOT NULL OR last_arrival IS NOT NULL""",
+        SELECT qid, coalesce(first_departure, -1) AS first_departure, coalesce(last_arrival, -1) AS last_arrival FROM fd WHERE first_departure IS NOT NULL OR last_arrival IS NOT NULL""",
     "condensed_places": _STRONG + " SELECT * FROM ce",
     "condensed_levels": _STRONG + ", lv AS (SELECT DISTINCT label AS id, 0 AS n FROM cm UNION SELECT dst, n + 1 FROM lv JOIN ce ON src = id) SELECT id, CAST(max(n) AS BIGINT) AS level FROM lv GROUP BY id",
     "place_branching": f"""WITH RECURSIVE {_PLACES}, wt AS (SELECT a AS src, b AS dst, count(*) AS weight FROM pl GROUP BY ALL),
@@ -215,6 +218,6 @@ SQL = {
         go AS (SELECT qid, src_v AS v, 0 AS n, [src_v] AS front, [src_v] AS seen, dst_v FROM ep
             UNION ALL SELECT qid, v, n + 1, nf, list_concat(seen, nf), dst_v FROM (
                 SELECT *, list_filter((SELECT list(DISTINCT b) FROM e WHERE list_contains(front, a)), lambda x: NOT list_contains(seen, x)) AS nf FROM go WHERE NOT list_contains(seen, dst_v)) WHERE len(nf) > 0)
-        SELECT qid, CAST(min(n) FILTER (list_contains(front, dst_v)) AS BIGINT) AS hops FROM go GROUP BY qid""",
+        SELECT qid, CAST(coalesce(min(n) FILTER (list_contains(front, dst_v)), -1) AS BIGINT) AS hops FROM go GROUP BY qid""",
     "place_closure": f"WITH RECURSIVE {_PLACES}, c AS (SELECT DISTINCT a, b FROM pl UNION SELECT c.a, pl.b FROM c JOIN pl ON pl.a = c.b) SELECT a AS id, count(*) AS n_reached FROM c GROUP BY a",
 }
