@@ -287,6 +287,11 @@ SQL = {
         SELECT (SELECT count(*) FROM bo) AS n_borders, (SELECT count(DISTINCT (frag, s)) FROM os JOIN fg ON fg.v = os.v AND fg.slot_start = os.t WHERE n > 1) AS n_out_classes,
             (SELECT count(DISTINCT (frag, s)) FROM ns JOIN fg ON fg.v = ns.v AND fg.slot_start = ns.t WHERE n > 1) AS n_in_classes""",
     "span_reach_contracted": graph.SQL["span_reach"],
+    "transitive_closure": f"""WITH RECURSIVE {graph.edges_sql()},
+        rk AS MATERIALIZED (SELECT v, slot_start, CAST(row_number() OVER (ORDER BY slot_start, slot_end, v) - 1 AS INT) AS r FROM sl),
+        lk AS MATERIALIZED (SELECT DISTINCT a.r AS x, b.r AS y FROM ed JOIN rk a ON a.v = src_v AND a.slot_start = src_start JOIN rk b ON b.v = dst_v AND b.slot_start = dst_start),
+        tc AS (SELECT r AS x, r AS y FROM rk UNION SELECT tc.x, lk.y FROM tc JOIN lk ON lk.x = tc.y)
+        SELECT v, slot_start, count(*) AS n_reached FROM tc JOIN rk ON rk.r = tc.x GROUP BY v, slot_start""",
     "level_labels": f"""WITH RECURSIVE {_fragments_sql()} {_UP},
         up AS (SELECT v, slot_start AS t, 0 AS n FROM sl UNION SELECT dst_v, dst_start, n + 1 FROM up JOIN lf ON src_v = up.v AND src_start = up.t),
         dn AS (SELECT v, slot_start AS t, 0 AS n FROM sl UNION SELECT src_v, src_start, n + 1 FROM dn JOIN lf ON dst_v = dn.v AND dst_start = dn.t),
