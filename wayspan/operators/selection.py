@@ -28,6 +28,7 @@ def select_ranks(df: DataFrame, wanted: DataFrame, key: str, value: str, round_b
     ceil(bits of (max - min) / round_bits).
     """
     rows = df.select(F.col(key).alias("_k"), F.col(value).cast("bigint").alias("_x")).dropna()
+    hint = (lambda side: side) if every_key else small  # ranks of all keys grow with the keys, those of hot ones don't
     state = cut(wanted.select(F.col(key).alias("_k"), F.col("rank").cast("bigint").alias("_r")).dropna().distinct())
     if not every_key:
         rows = rows.join(small(cut(state.select("_k").distinct())), "_k", "left_semi")
@@ -42,12 +43,12 @@ def select_ranks(df: DataFrame, wanted: DataFrame, key: str, value: str, round_b
     while True:
         on, counted = ["_k"], rows
         if open_shift is not None:
-            on, counted = ["_k", "_p"], rows.withColumn("_p", F.shiftright("_x", open_shift)).join(small(cut(state.select("_k", "_p").distinct())), ["_k", "_p"], "left_semi")
+            on, counted = ["_k", "_p"], rows.withColumn("_p", F.shiftright("_x", open_shift)).join(hint(cut(state.select("_k", "_p").distinct())), ["_k", "_p"], "left_semi")
         counts = counted.groupBy(*on, F.shiftright("_x", shift).alias("_q")).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         upto = W.partitionBy(*on).orderBy("_q").rowsBetween(W.unboundedPreceding, 0)
         counts = counts.withColumn("_to", F.sum("_n").over(upto)).withColumn("_from", F.col("_to") - F.col("_n"))
         left = F.col("_r") - F.col("_b")
-        found = cut(counts.join(small(state), on).where((F.col("_from") <= left) & (left < F.col("_to"))).select("_k", "_r", F.col("_q").alias("_p"), (F.col("_b") + F.col("_from")).alias("_b"), "_low", "_high"))
+        found = cut(counts.join(hint(state), on).where((F.col("_from") <= left) & (left < F.col("_to"))).select("_k", "_r", F.col("_q").alias("_p"), (F.col("_b") + F.col("_from")).alias("_b"), "_low", "_high"))
         done.append(found.where("_low = _high").select(F.col("_k").alias(key), F.col("_r").alias("rank"), F.col("_low").alias(value)))
         state = found.where("_low < _high").select("_k", "_r", "_p", "_b")
         if shift == 0 or state.isEmpty():
