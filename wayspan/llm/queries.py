@@ -62,7 +62,7 @@ def p7_violations(spark: SparkSession, d: str) -> DataFrame:
     over = got.groupBy("kind_id", "capacity", "container").agg(F.sum("n_tokens").alias("n")).where("n > capacity").select("kind_id", F.lit("capacity").alias("what"))
     pages = got.groupBy("kind_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("n_pieces"), F.countDistinct("first_token").alias("n_firsts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"))
     want = page_keys(table(spark, d, "documents")).select("doc_id", F.col("n_tokens").alias("n"))
-    pages = pages.join(want, "doc_id", "full")
+    pages = cut(pages.join(want, "doc_id", "full").where("held IS NULL OR n IS NULL OR held <> n OR upto <> n OR n_firsts <> n_pieces OR n_pieces > greatest(1, ceil(n / capacity))"))
     missed = pages.where("held IS NULL OR n IS NULL OR held <> n OR upto <> n OR n_firsts <> n_pieces").select("kind_id", F.lit("page").alias("what"))
     torn = pages.where("n_pieces > greatest(1, ceil(n / capacity))").select("kind_id", F.lit("cut").alias("what"))
     return over.unionByName(missed).unionByName(torn)
