@@ -36,6 +36,11 @@ def test_visits_and_queries_round_trip(spark, rows, tmp_path):
     assert rows(gf.read_arrivals(spark, f"{tmp_path}/g/x")) == [(7, 5, 3)]
 
 
+def test_unread_lines(spark, tmp_path):
+    (tmp_path / "v").write_text("# 2 2\n0 1 2 3\n0 x 2 3\n\n1 2 3\n1  2\t3 4 5\n")
+    assert sorted(r[0] for r in gf.unread_lines(spark, f"{tmp_path}/v", 4).collect()) == ["0 x 2 3", "1 2 3"]
+
+
 def test_graph_formats(spark, rows, tmp_path):
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (0, 1)], "a bigint, b bigint")
     nodes = spark.createDataFrame([(0,), (1,), (2,)], "id bigint")

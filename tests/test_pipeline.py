@@ -22,6 +22,7 @@ def test_answer(spark, tmp_path, algorithm):
     pipeline.main(["answer", "--inputPath", f"{tmp_path}/g", "--queryFilePath", f"{tmp_path}/q", "--outputPath", f"{tmp_path}/out", "--algorithm", algorithm])
     report = json.loads(open(glob.glob(f"{tmp_path}/out/report/*.json")[0]).read())
     assert report["n_disagree"] == 0 and report["n_queries"] == len(asked) and report["DAG_node_num"] == len(g[0])
+    assert report["AvgPosQuery_us"] > 0 and report["TotalNegQuery_ms"] > 0 and report["Memory_GB"] > 0 and ("ConGraph_edge_num" in report) == (algorithm != "fixpoint")
     with pytest.raises(ValueError):
         pipeline.answer(spark, None, None, algorithm="none")
 

@@ -38,19 +38,21 @@ def endpoints(queries: DataFrame, meeting: DataFrame, slot: DataFrame) -> DataFr
     a visitor don't overlap, so each is an as-of look-up by an end or a start, and so is the slot:
     a window may reach as far as it likes.
     """
-    ask = clean_queries(queries).where("q_start < q_end")
-    found = {}
+    ask = cut(clean_queries(queries).where("q_start < q_end"))
+    seen = meeting.select("u", "ts", "te", "v", "c_start")
+    sides = []
     for side, who in (("src", "u"), ("dst", "w")):
         rows = ask.select("qid", F.col(who).alias("u"), "q_start", "q_end", (F.col("q_start") + 1).alias("_from"), (F.col("q_end") - 1).alias("_to"))
         if side == "src":
-            rows = as_of(rows, meeting, ["u"], "_from", "te", "te", forward=True).join(meeting.select("u", "te", "ts", "v", "c_start"), ["u", "te"])
+            rows = as_of(rows, seen, ["u"], "_from", "te", "te", forward=True).join(seen, ["u", "te"])
         else:
-            rows = as_of(rows, meeting, ["u"], "_to", "ts", "ts").join(meeting.select("u", "ts", "te", "v", "c_start"), ["u", "ts"])
-        rows = rows.where("te > q_start AND ts < q_end")
+            rows = as_of(rows, seen, ["u"], "_to", "ts", "ts").join(seen, ["u", "ts"])
         at = F.greatest("ts", "q_start") if side == "src" else F.least(F.col("te"), F.col("q_end")) - 1
-        rows = as_of(rows.withColumn("at", at), slot, ["v"], "at", "slot_start", "slot_start")
-        found[side] = rows.select("qid", F.col("v").alias(f"{side}_v"), F.col("c_start").alias(f"{side}_c"), F.col("slot_start").alias(f"{side}_start"))
-    return found["src"].join(found["dst"], "qid")
+        sides.append(rows.where("te > q_start AND ts < q_end").select("qid", F.lit(side).alias("side"), "v", "c_start", at.alias("at")))
+    both = as_of(cut(sides[0].unionByName(sides[1])), slot, ["v"], "at", "slot_start", "slot_start")
+    names = {"v": "v", "c_start": "c", "slot_start": "start"}
+    found = [both.where(F.col("side") == side).select("qid", *[F.col(c).alias(f"{side}_{n}") for c, n in names.items()]) for side in ("src", "dst")]
+    return found[0].join(found[1], "qid")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

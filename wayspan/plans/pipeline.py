@@ -134,6 +134,8 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--minBlock", type=int, default=4)
     parser.add_argument("--queryNum", type=int, default=4)
     parser.add_argument("--delta", type=int, default=2**31 - 1)
+    for name in ("inputTestPath", "maxBlock", "reach", "numStep", "splitData"):
+        parser.add_argument(f"--{name}", help="accepted, has no effect")
     a = parser.parse_args(args)
     spark = SparkSession.getActiveSession() or local_session()
     if a.what == "tool":

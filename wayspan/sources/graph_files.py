@@ -14,6 +14,16 @@ def _numbers(spark: SparkSession, path: str, names: list[str], sep: str = " ") -
     return lines.select(*[F.try_element_at(parts, F.lit(k + 1)).try_cast("bigint").alias(n) for k, n in enumerate(names)])
 
 
+def unread_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """value of the lines of a file of numbers that are no comments, not blank and don't begin with n integers: those a reader gives nulls for."""
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    parts = F.split(F.trim(F.regexp_replace("value", r"[\s]+", " ")), " ")
+    sound = F.lit(True)
+    for k in range(n):
+        sound = sound & F.try_element_at(parts, F.lit(k + 1)).try_cast("bigint").isNotNull()
+    return lines.where(~sound)
+
+
 def read_visits(spark: SparkSession, path: str) -> DataFrame:
     """u, v, ts, te of a bipartite graph file. A missing path is an error, as is a file without rows."""
     rows = _numbers(spark, path, ["u", "v", "ts", "te"])
