@@ -251,14 +251,18 @@ def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = 3_600) -
     isn't reversed; nulls and unknown ids are false.
 
     No pairs of visits are made: in each round the carriers' visits of a query are united within
-    (place, cell of time), and every visit of that cell that overlaps the union receives.
+    (place, cell of time), and every visit of that cell that overlaps the union receives. What ends
+    after the last visit of w that ends by q_end is of no use, and a query without one that ends after the
+    source's first start is not followed.
     """
     ask = cut(clean_queries(queries))
     last = visits.agg(F.max("ts")).first()[0] or 0  # an overlap starts where a visit does
     end = F.least(F.col("te"), F.lit(last + 1))
     tiles = cut(by_cells(visits.select("u", "v", "ts", "te"), F.col("ts"), end, width))
     days = cut(visits.select("u", "v", "ts", "te", F.floor(F.col("ts") / F.lit(DAY)).cast("bigint").alias("_cell")))
-    until = ask.select("qid", "q_start", "q_end", "w")
+    first = cut(_of_source(ask, visits))
+    goal = as_of(ask.select("qid", "w", F.col("w").alias("u"), "q_end"), visits, ["u"], "q_end", "te", "_last").join(first.groupBy("qid").agg(F.min("ts").alias("_low")), "qid")
+    until = cut(goal.where("_last > _low").select("qid", "w", F.col("_last").alias("q_end")))
 
     def passed(carried: DataFrame) -> DataFrame:
         """Receivers of the carriers' visits qid, v, ts, te, q_end."""
@@ -271,7 +275,7 @@ def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = 3_600) -
         got = union.join(tiles, ["v", "_cell"]).where("_s < te AND ts < _e AND te <= q_end")
         return got.select("qid", F.col("u").alias("who"), F.col("te").alias("ready"))
 
-    start = passed(_of_source(ask, visits))
+    start = passed(first.drop("q_end").join(until, "qid").where("ts < q_end").select("qid", "q_end", "v", "ts", "te"))
 
     def step(fresh: DataFrame) -> DataFrame:
         rows = fresh.join(until.select("qid", "q_end"), "qid")
