@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,32 @@ def test_distances(spark, rows):
     got = graphs.distances(spark.createDataFrame(pairs, "qid bigint, source bigint, target bigint"), spark.createDataFrame([*edges, (None, 3)], "a bigint, b bigint"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert graphs.distances(spark.createDataFrame([], "qid bigint, source bigint, target bigint"), spark.createDataFrame([(1, 2)], "a bigint, b bigint")).count() == 0
+
+
+def test_reach_counts(spark, rows):
+    r = random.Random(1)
+    edges = {(r.randint(0, 9), r.randint(0, 9)) for _ in range(20)} | {(9, 100 + k) for k in range(70)} | {(300, 300), (301, 300)}
+    far = reached(sorted(edges))
+    want = sorted((a, len(far(a))) for a in {a for a, _ in edges})
+    got = graphs.reach_counts(spark.createDataFrame([*edges, *list(edges)[:9], (None, 3), (3, None)], "a bigint, b bigint"), 1)
+    assert rows(got) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reached_sizes(seed):
+    r = random.Random(seed)
+    name = r.sample(range(200), 200)
+    edges = sorted({tuple(sorted((r.randint(0, 199), r.randint(0, 199)))) for _ in range(260)} | {(k, k + 1) for k in range(90)})
+    edges = [(name[a], name[b]) for a, b in edges if a != b]
+    size = np.array([r.choice((1, 1, 1, 5)) for _ in range(200)])
+    cyclic = np.array([int(s > 1 or r.random() < 0.1) for s in size])
+    far = reached(edges)
+    want = [sum(int(size[b]) for b in far(a)) + int(size[a] * cyclic[a]) for a in range(200)]
+    for width in (64, 128, 256):
+        assert sum(graphs._reached_sizes(*np.array(edges).T, size, cyclic, low, width) for low in range(0, 200, width)).tolist() == want
+
+
+def test_reach_counts_beyond_all_pairs(spark):
+    n = 7_500  # more than 50 million pairs
+    edges = spark.range(1, n + 1).selectExpr("explode(array(struct(id AS a, 0L AS b), struct(0L AS a, id AS b))) AS x").select("x.*").unionAll(spark.sql("SELECT 1L AS a, -1L AS b"))
+    assert [tuple(x) for x in graphs.reach_counts(edges).groupBy("n_reached").count().collect()] == [(n + 2, n + 1)]

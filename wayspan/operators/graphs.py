@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wayspan.operators.blocks import with_next, with_running_max
-from wayspan.session import cut, drop
+from wayspan.operators.blocks import with_next, with_rank, with_running_max
+from wayspan.session import cut, drop, small
 
 MOST_ROUNDS = 200
+#: Bytes of bitsets that a task of reach_counts holds, and numbers that it packs into a row.
+REACH_BYTES, REACH_RUN = 64 << 20, 65_536
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,6 +92,73 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError("no fixpoint was reached")
 
 
+def reach_counts(edges: DataFrame, most_bytes: int = REACH_BYTES) -> DataFrame:
+    """id, n_reached: how many nodes each node with an out-edge leads to, itself where it lies on a cycle; edges: a, b, nulls left out.
+
+    No pairs are made: nodes of one strongly connected component lead to the same nodes, so it is components
+    that are counted, by their sizes. Targets are taken by blocks of components, a bit each, as many as
+    most_bytes has room for; the task of a block sees all edges between components. The work grows with the
+    square of the components, not of the nodes.
+    """
+    given = cut(edges.select("a", "b").dropna().distinct())
+    ids = given.select(F.col("a").alias("id")).unionAll(given.select(F.col("b").alias("id"))).distinct()
+    strong = cut(strong_components(ids, given))
+    loops = given.where("a = b").select(F.col("a").alias("id"), F.lit(1).alias("_loop"))
+    size = strong.join(loops, "id", "left").groupBy("label").agg(F.count("*").alias("size"), F.count("_loop").alias("_loops"))
+    ranked = cut(with_rank(size.select("label", "size", ((F.col("size") > 1) | (F.col("_loops") > 0)).cast("int").alias("cyclic")), ["label"]))
+    m = ranked.count()
+    links = condensation(given, strong).join(ranked.select(F.col("label").alias("src"), F.col("rank").alias("x")), "src").join(ranked.select(F.col("label").alias("dst"), F.col("rank").alias("y")), "dst")
+    rows = ranked.select(F.lit("node").alias("row"), F.col("rank").alias("x"), (F.col("size") * 2 + F.col("cyclic")).alias("y")).unionByName(links.select(F.lit("link").alias("row"), "x", "y"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "x": [pdf["x"].to_numpy("int64").tobytes()], "y": [pdf["y"].to_numpy("int64").tobytes()]})
+
+    packed = cut(rows.groupBy("row", F.floor(F.col("x") / F.lit(REACH_RUN)).alias("_run")).applyInPandas(pack, "row string, x binary, y binary"))
+    width = 64 * max(1, min(-(-m // 64), most_bytes // 8 // max(1, m)))
+    blocks = edges.sparkSession.range(-(-m // width)).withColumnRenamed("id", "block")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = {row: [np.concatenate([np.frombuffer(b, np.int64) for b in g[c]]) for c in ("x", "y")] for row, g in pdf.groupby("row")}
+        rank, what = held["node"]
+        what = what[np.argsort(rank)]
+        n = _reached_sizes(*held.get("link", [np.zeros(0, np.int64)] * 2), what >> 1, what & 1, int(pdf["block"].iloc[0]) * width, width)
+        at = n.nonzero()[0]
+        return pd.DataFrame({"rank": at, "n": n[at]}, dtype="int64")
+
+    sums = blocks.crossJoin(small(packed)).groupBy("block").applyInPandas(count, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n_reached"))
+    return strong.join(ranked.join(sums, "rank").select("label", "n_reached"), "label").select("id", "n_reached")
+
+
+def _reached_sizes(src: np.ndarray, dst: np.ndarray, size: np.ndarray, cyclic: np.ndarray, low: int, width: int) -> np.ndarray:
+    """For each component of an acyclic graph of components: the nodes of those in [low, low + width) that it leads to, its own only if it is cyclic."""
+    m = len(size)
+    order = np.argsort(src, kind="stable")
+    kids, start = dst[order], np.searchsorted(src[order], np.arange(m + 1))
+    order = np.argsort(dst, kind="stable")
+    parents, first = src[order], np.searchsorted(dst[order], np.arange(m + 1)).tolist()
+    left = np.diff(start)
+    free = np.flatnonzero(left == 0).tolist()
+    left = left.tolist()
+    bits = np.zeros((m, width // 64), np.uint64)
+    while free:
+        i = free.pop()
+        if start[i] < start[i + 1]:
+            np.bitwise_or.reduce(bits[kids[start[i] : start[i + 1]]], axis=0, out=bits[i])
+        if low <= i < low + width:
+            bits[i, (i - low) >> 6] |= np.uint64(1 << ((i - low) & 63))
+        for p in parents[first[i] : first[i + 1]].tolist():
+            left[p] -= 1
+            if not left[p]:
+                free.append(p)
+    out = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    here = np.arange(low, min(low + width, m))
+    for c in here[size[here] > 1].tolist():
+        out += ((bits[:, (c - low) >> 6] >> np.uint64((c - low) & 63)) & np.uint64(1)).astype(np.int64) * (size[c] - 1)
+    alone = here[cyclic[here] == 0]
+    out[alone] -= size[alone]
+    return out
+
+
 def successor_classes(edges: DataFrame, hops: int = 1) -> DataFrame:
     """n_members, n_classes: how many classes of nodes share one set of successors at most `hops` away, by class size.
 

@@ -153,7 +153,7 @@ def place_distances(spark: SparkSession, d: str) -> DataFrame:
 
 def place_closure(spark: SparkSession, d: str) -> DataFrame:
     """How many places each place leads to."""
-    return graphs.transitive_closure(_places(spark, d).distinct()).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_reached"))
+    return graphs.reach_counts(_places(spark, d))
 
 
 QUERIES = {
