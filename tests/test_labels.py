@@ -1,9 +1,11 @@
 """Indexes of fragments and operators on general graphs against brute force on random graphs."""
 
 import random
+import tracemalloc
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,42 @@ def test_reach_counts_beyond_all_pairs(spark):
     n = 7_500  # more than 50 million pairs
     edges = spark.range(1, n + 1).selectExpr("explode(array(struct(id AS a, 0L AS b), struct(0L AS a, id AS b))) AS x").select("x.*").unionAll(spark.sql("SELECT 1L AS a, -1L AS b"))
     assert [tuple(x) for x in graphs.reach_counts(edges).groupBy("n_reached").count().collect()] == [(n + 2, n + 1)]
+
+
+def test_contraction_keeps_only_the_sets_it_looks_up(spark):
+    slots, edges = drawn_slots(5)
+    frag = cut(fr.fragments(spark.createDataFrame(slots, SLOT), 6))
+    edge = cut(fr.with_fragments(spark.createDataFrame([(*a, *b) for a, b in edges], EDGE), frag))
+    at, everything = sorted({x[:2] for x in slots}, key=lambda x: (x[1], x[0])), reached(edges)
+    pairs = [(q, *a, *b) for q, (a, b) in enumerate(product(at[:9], at[-9:]))]
+    want = {q for q, v, t, w, u in pairs if (w, u) in everything((v, t)) or (v, t) == (w, u)}
+    ends = spark.createDataFrame(pairs, "qid bigint, " + EDGE)
+    for share in (True, False):
+        found, all_ = fr.asked_classes(ends, frag, edge, share), cut(fr.classes(frag, edge, share))
+        assert found.where("bits IS NOT NULL").count() < all_.where("bits IS NOT NULL").count()
+        slim = lambda df: sorted(map(tuple, df.where("bits IS NULL").select("row", "frag", "v", "slot_start", "class", "n").collect()))
+        assert slim(found) == slim(all_)
+        for block in (7, 2_048):
+            assert {r["qid"] for r in fr.contracted_reach(ends, frag, edge, found, block=block).collect()} == want
+
+
+def test_hop_needs_no_matrix_of_entries_and_ghosts():
+    """6,000 entries that lead to 60,000 ghosts: as a matrix of numbers 1.4 GB."""
+    n, m = 6_000, 60_000
+    far = np.zeros(m // 8, np.uint8).tobytes()[:-1] + b"\x80"
+    rows = [("lead", None, k, k % 5 + 1, None) for k in range(n)] + [("set", None, c, None, b"\x01" if c < 5 else far) for c in range(1, 6)]
+    rows += [("ghost", k, k, 9, None) for k in range(m)] + [("come", 3, None, None, b"\x01"), ("come", 4, None, None, b"\x10"), ("goal", 4, None, None, b"\x10")]
+    tracemalloc.start()
+    got = fr._hop(pd.DataFrame(rows, columns=["row", "qid", "k", "to_frag", "bits"]))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert sorted((q, to, int.from_bytes(b, "little")) for q, to, b in got.itertuples(index=False)) == [(3, 9, 1), (4, -1, 0), (4, 9, 1 << (m - 1))]
+
+
+def test_cut_leaves_no_shuffles(spark):
+    held = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = held()
+    rows = spark.range(10_000).selectExpr("id % 100 AS k").groupBy("k").count()
+    got = cut(rows)
+    assert held() <= before
+    assert got.count() == rows.count() == 100  # what was cut can be computed again

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wayspan.operators.blocks import with_rank
-from wayspan.session import cut
+from wayspan.session import cut, drop
 
 #: Slots of a fragment at most, and least number of fragments, where the number is left open.
 FRAGMENT_SLOTS, LEAST_FRAGMENTS = 50_000, 8
@@ -124,41 +124,61 @@ def unpacked(pdf: pd.DataFrame):
     return nodes, children, list(ghosts), out, entries
 
 
-def classes(frag: DataFrame, edge: DataFrame, share: bool = True) -> DataFrame:
+def classes(frag: DataFrame, edge: DataFrame, share: bool = True, wanted: DataFrame | None = None) -> DataFrame:
     """Classes of slots of one fragment that lead to, or come from, the same border slots.
 
     Rows: row = out and in for each slot (class is its class within the fragment and side, n the
     size of its border set, bits null); row = out_class and in_class for each class that isn't empty,
     with its set as bits, v and slot_start null; row = ghost and entry for the border slots of later
     fragments and of this one, class being the bit they have. Class 0 is the empty set. Without
-    share every slot has a class of its own, which tells what sharing saves.
+    share every slot has a class of its own, which tells what sharing saves. With wanted (frag, side,
+    v, slot_start) only the classes of those slots, and the out-classes of entries, have a row with
+    their set, cut behind its last bit: what contracted_reach looks up.
     """
+    whole = wanted is None
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         here = int(pdf["frag"].iloc[0])
         nodes, children, ghosts, out, entries = unpacked(pdf)
-        back = [0] * len(nodes)
-        for k, i in enumerate(entries):
-            back[i] |= 1 << k
-        for i in range(len(nodes)):  # edges lead to later starts, so this order is topological
-            for j in children[i]:
-                back[j] |= back[i]
-        for i in range(len(nodes) - 1, -1, -1):
-            for j in children[i]:
-                out[i] |= out[j]
         rows = [(here, "ghost", v, t, k, None, None) for k, (t, v) in enumerate(ghosts)]
         rows += [(here, "entry", nodes[i][1], nodes[i][0], k, None, None) for k, i in enumerate(entries)]
-        for side, bits, width in (("out", out, len(ghosts)), ("in", back, len(entries))):
-            number, sets = {0: 0}, {}
+        asked = {side: set(zip(g["a_t"].tolist(), g["a_v"].tolist())) for side in ("out", "in") if len(g := pdf[pdf["row"] == f"want_{side}"])}
+        asked.setdefault("out", set()).update(nodes[i] for i in entries)
+
+        def add(side: str, bits: list[int], width: int) -> None:
+            number, sets, mine = {0: 0}, {}, asked.get(side, set())
             for k, ((t, v), b) in enumerate(zip(nodes, bits)):
                 c = number.setdefault(b, len(number)) if share or not b else k + 1
-                sets[c] = b
+                if whole or (t, v) in mine:
+                    sets[c] = b
                 rows.append((here, side, v, t, c, b.bit_count(), None))
-            rows += [(here, f"{side}_class", None, None, c, b.bit_count(), b.to_bytes(-(-width // 8), "little")) for c, b in sets.items() if b]
+            rows.extend((here, f"{side}_class", None, None, c, b.bit_count(), b.to_bytes(-(-(width if whole else b.bit_length()) // 8), "little")) for c, b in sets.items() if b)
+
+        for i in range(len(nodes) - 1, -1, -1):  # edges lead to later starts, so this order is topological
+            for j in children[i]:
+                out[i] |= out[j]
+        add("out", out, len(ghosts))
+        del out
+        back = [0] * len(nodes)
+        for k, i in enumerate(entries):
+            back[i] |= 1 << k
+        for i in range(len(nodes)):
+            for j in children[i]:
+                back[j] |= back[i]
+        add("in", back, len(entries))
         frame = pd.DataFrame(rows, columns=["frag", "row", "v", "slot_start", "class", "n", "bits"])
         return frame.astype({"v": "Int64", "slot_start": "Int64", "class": "Int64", "n": "Int64"})
 
-    return pieces(frag, edge).groupBy("frag").applyInPandas(kernel, _KERNEL)
+    rows = pieces(frag, edge)
+    if not whole:
+        rows = rows.unionByName(wanted.select("frag", F.concat(F.lit("want_"), "side").alias("row"), F.col("v").alias("a_v"), F.col("slot_start").alias("a_t")), allowMissingColumns=True)
+    return rows.groupBy("frag").applyInPandas(kernel, _KERNEL)
+
+
+def asked_classes(ends: DataFrame, frag: DataFrame, edge: DataFrame, share: bool = True) -> DataFrame:
+    """classes() with the sets that contracted_reach looks up for the pairs of ends only, cut."""
+    sides = [ends.select(F.lit(side).alias("side"), F.col(f"{end}_v").alias("v"), F.col(f"{end}_start").alias("slot_start")) for side, end in (("out", "src"), ("in", "dst"))]
+    return cut(classes(frag, edge, share, sides[0].unionByName(sides[1]).distinct().join(frag.select("v", "slot_start", "frag"), ["v", "slot_start"])))
 
 
 def local_closure(frag: DataFrame, edge: DataFrame) -> DataFrame:
@@ -366,8 +386,8 @@ def _local_hits(pairs: DataFrame, frag: DataFrame, edge: DataFrame) -> DataFrame
     return rows.unionByName(asks).groupBy("frag").applyInPandas(kernel, "qid bigint")
 
 
-#: Queries that a task of contracted_reach takes together.
-QUERY_BLOCK = 2_048
+#: Queries at a fragment that a task of contracted_reach takes together, and bytes of sets that it unites at a time.
+QUERY_BLOCK, UNITE_BYTES = 2_048, 16 << 20
 
 
 def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: DataFrame, block: int = QUERY_BLOCK, local=None) -> DataFrame:
@@ -375,8 +395,8 @@ def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: D
 
     found is the result of classes(). Within a fragment: local(pairs, frag, edge), else a walk by its kernel. Between fragments:
     from the out-class of the source, border to border, to the in-class of the target. In each round
-    all queries take one step from wherever they have come: a task has the queries of a block at
-    one fragment, and goes on only with border slots that are new to a query. Answered queries stop.
+    all queries take one step from wherever they have come: a task has at most about a block of the queries
+    at one fragment, and goes on only with border slots that are new to a query. Answered queries stop.
     """
     where = frag.select("v", "slot_start", "frag")
     rows = cut(
@@ -386,34 +406,41 @@ def contracted_reach(ends: DataFrame, frag: DataFrame, edge: DataFrame, found: D
     )
     hits = [(local or _local_hits)(rows.where("f = g"), frag, edge)]
     far = rows.where("f < g")
-    n_blocks = max(1, -(-far.count() // block))
     of = found.where("row IN ('out', 'in') AND class > 0").select("row", "frag", "v", "slot_start", "class")
     sets = found.where("row IN ('out_class', 'in_class')").select(F.regexp_replace("row", "_class", "").alias("row"), "frag", "class", "bits")
-    has = cut(of.join(sets, ["row", "frag", "class"]).select("row", "frag", "v", "slot_start", "bits"))
     empty = F.lit(None).cast("bigint")
-    of_query = F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("bigint").alias("part")
-    begin = far.join(has.where("row = 'out'"), (F.col("f") == F.col("frag")) & (F.col("src_v") == F.col("v")) & (F.col("src_start") == F.col("slot_start")))
-    begin = begin.select("frag", of_query, F.lit("begin").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits")
-    goal = far.join(has.where("row = 'in'"), (F.col("g") == F.col("frag")) & (F.col("dst_v") == F.col("v")) & (F.col("dst_start") == F.col("slot_start")))
-    goal = cut(goal.select("frag", of_query, F.lit("goal").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits"))
+
+    def held(side: str, name: str, at: str, end: str) -> DataFrame:
+        """The sets of the queries' slots on a side."""
+        slot = far.select("qid", F.col(at).alias("frag"), F.col(f"{end}_v").alias("v"), F.col(f"{end}_start").alias("slot_start"))
+        rows = slot.join(of.where(F.col("row") == side), ["frag", "v", "slot_start"]).join(sets.where(F.col("row") == side).drop("row"), ["frag", "class"])
+        return cut(rows.select("frag", F.lit(name).alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits"))
+
+    goal = held("in", "goal", "g", "dst")
     entry = found.where("row = 'entry'").select("frag", "v", "slot_start", F.col("class").alias("k"))
-    lead = entry.join(has.where("row = 'out'"), ["frag", "v", "slot_start"]).select("frag", F.lit("lead").alias("row"), empty.alias("qid"), "k", empty.alias("to_frag"), "bits")
+    lead = cut(entry.join(of.where("row = 'out'"), ["frag", "v", "slot_start"]).select("frag", F.lit("lead").alias("row"), empty.alias("qid"), "k", F.col("class").alias("to_frag"), F.lit(None).cast("binary").alias("bits")))
+    used = lead.select("frag", F.col("to_frag").alias("class")).distinct()
+    sets_ = sets.where("row = 'out'").join(used, ["frag", "class"], "left_semi").select("frag", F.lit("set").alias("row"), empty.alias("qid"), F.col("class").alias("k"), empty.alias("to_frag"), "bits")
     ghost = found.where("row = 'ghost'").select("frag", "v", "slot_start", F.col("class").alias("k"))
     ghost = ghost.join(entry.select(F.col("frag").alias("to_frag"), "v", "slot_start", F.col("k").alias("to_k")), ["v", "slot_start"])
     ghost = ghost.select("frag", F.lit("ghost").alias("row"), F.col("to_k").alias("qid"), "k", "to_frag", F.lit(None).cast("binary").alias("bits"))
-    fixed = cut(lead.unionByName(ghost))
-    come, seen = cut(begin), None
+    fixed = cut(lead.unionByName(sets_).unionByName(ghost))
+    come, seen = held("out", "begin", "f", "src"), None
     while not come.isEmpty():
-        here = cut(come.select("frag", "part").distinct())
-        feed = come.unionByName(fixed.join(here, "frag")).unionByName(goal.join(here, ["frag", "part"], "left_semi"))
+        here = cut(come.groupBy("frag").agg(F.ceil(F.countDistinct("qid") / F.lit(block)).cast("bigint").alias("parts")))
+        now = cut(come.select("frag", "qid").distinct())
+        feed = come.unionByName(goal.join(now, ["frag", "qid"], "left_semi"))
         if seen is not None:
-            feed = feed.unionByName(seen.join(here, ["frag", "part"], "left_semi").withColumn("row", F.lit("seen")))
-        out = cut(feed.groupBy("frag", "part").applyInPandas(_hop, "qid bigint, to_frag bigint, bits binary"))
-        hits.append(out.where("to_frag = -1").select("qid"))
+            feed = feed.unionByName(seen.join(now, ["frag", "qid"], "left_semi").withColumn("row", F.lit("seen")))
+        feed = feed.join(here, "frag").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
+        feed = feed.unionByName(fixed.join(here, "frag").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))))
+        out = cut(feed.drop("parts").groupBy("frag", "part").applyInPandas(_hop, "qid bigint, to_frag bigint, bits binary"))
+        hits.append(cut(out.where("to_frag = -1").select("qid").distinct()))
         came = come.where("row = 'come'")
         seen = came if seen is None else seen.unionByName(came)
-        come = out.where("to_frag >= 0").join(hits[-1].distinct(), "qid", "left_anti")
-        come = cut(come.select(F.col("to_frag").alias("frag"), of_query, F.lit("come").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits"))
+        come = out.where("to_frag >= 0").join(hits[-1], "qid", "left_anti")
+        come = cut(come.select(F.col("to_frag").alias("frag"), F.lit("come").alias("row"), "qid", empty.alias("k"), empty.alias("to_frag"), "bits"))
+        drop(out, here, now)
     out = hits[0]
     for h in hits[1:]:
         out = out.unionByName(h)
@@ -457,10 +484,22 @@ def _hop(pdf: pd.DataFrame) -> pd.DataFrame:
     if n_ghosts:
         out = np.zeros((len(place), n_ghosts), bool)
         if "lead" in by and len(place):
-            lead = by["lead"]
-            table = np.zeros((n_entries, n_ghosts), bool)
-            table[lead["k"].astype("int64").to_numpy()] = _bits(lead["bits"].tolist(), n_ghosts)
-            out = at.astype(np.float32) @ table.astype(np.float32) > 0
+            lead, sets = by["lead"], by["set"]
+            width = -(-n_ghosts // 8)
+            table = np.zeros((len(sets), width), np.uint8)
+            for i, b in enumerate(sets["bits"]):
+                table[i, : len(b)] = np.frombuffer(b, np.uint8)
+            number = {c: i for i, c in enumerate(sets["k"].astype("int64").tolist())}
+            of = np.full(n_entries, -1)
+            of[lead["k"].astype("int64").to_numpy()] = [number[c] for c in lead["to_frag"].astype("int64").tolist()]
+            step = max(1, UNITE_BYTES // width)
+            for q in range(len(place)):
+                which = np.unique(of[at[q]])
+                which = which[which >= 0]
+                whole = np.zeros(width, np.uint8)
+                for low in range(0, len(which), step):
+                    whole |= np.bitwise_or.reduce(table[which[low : low + step]], axis=0)
+                out[q] = np.unpackbits(whole, bitorder="little")[:n_ghosts]
         ids = list(place)
         if "begin" in by:
             ids += [int(q) for q in by["begin"]["qid"]]

@@ -71,8 +71,8 @@ def contracted_size(spark: SparkSession, d: str) -> DataFrame:
 
 def span_reach_contracted(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
-    ends = reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots)
-    yes = fr.contracted_reach(ends, *_parts(spark, d), _classes(spark, d)).withColumn("_yes", F.lit(True))
+    parts, ends = _parts(spark, d), cut(reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots))
+    yes = fr.contracted_reach(ends, *parts, fr.asked_classes(ends, *parts)).withColumn("_yes", F.lit(True))
     asked = table(spark, d, "span_query").select("qid").distinct()
     return asked.join(yes, "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
 

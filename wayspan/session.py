@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 #: A side is broadcast only after its rows, and the bytes of its strings and arrays, were counted and found to be at most so many.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Whether the files of a query's shuffles go when it has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -51,10 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike checkpoint(), which computes its input twice, this is one pass, keeps
     column pruning and filters on the files, and survives the loss of executors.
+    The shuffles that made it are removed when it is written, not when the driver happens
+    to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_cut_path"] = path
