@@ -32,8 +32,8 @@ def index_reach(spark: SparkSession, d: str) -> DataFrame:
 
 def span_reach_unshared(spark: SparkSession, d: str) -> DataFrame:
     """Answers through fragments in which every slot is a class of its own."""
-    frag, edge = _parts(spark, d)
-    return _answers(spark, d, fr.contracted_reach(_ends(spark, d), frag, edge, cut(fr.classes(frag, edge, share=False))))
+    parts, ends = _parts(spark, d), cut(_ends(spark, d))
+    return _answers(spark, d, fr.contracted_reach(ends, *parts, fr.asked_classes(ends, *parts, share=False)))
 
 
 def span_reach_paths(spark: SparkSession, d: str) -> DataFrame:
