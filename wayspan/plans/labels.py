@@ -38,7 +38,8 @@ def span_reach_unshared(spark: SparkSession, d: str) -> DataFrame:
 
 def span_reach_paths(spark: SparkSession, d: str) -> DataFrame:
     """Answers through fragments, with path labels in place of walks within one."""
-    return _answers(spark, d, fr.contracted_reach(_ends(spark, d), *_parts(spark, d), _classes(spark, d), local=labels.path_hits))
+    parts, ends = _parts(spark, d), cut(_ends(spark, d))
+    return _answers(spark, d, fr.contracted_reach(ends, *parts, fr.asked_classes(ends, *parts), local=labels.path_hits))
 
 
 def class_sharing(spark: SparkSession, d: str) -> DataFrame:
