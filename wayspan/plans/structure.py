@@ -95,15 +95,11 @@ def chain_labels(spark: SparkSession, d: str) -> DataFrame:
 def label_tests(spark: SparkSession, d: str) -> DataFrame:
     """For each query with endpoints, whether its slots are the same, reach (yes) or don't (no); and what told it."""
     i = index(spark, d)
-    ends = reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots)
-    return labels.label_verdicts(ends, *_parts(spark, d), _classes(spark, d), _labels(spark, d))
-
-
-def _labels(spark: SparkSession, d: str) -> DataFrame:
-    i = index(spark, d)
-    if "labels" not in i.__dict__:
-        i.labels = cut(labels.label_table(*_parts(spark, d), _classes(spark, d)))
-    return i.labels
+    parts, ends = _parts(spark, d), cut(reach.endpoints(table(spark, d, "span_query"), i.meeting, i.slots))
+    found = fr.asked_classes(ends, *parts)
+    if "labels" not in i.__dict__:  # numbers of classes don't depend on what is asked
+        i.labels = cut(labels.label_table(*parts, found))
+    return labels.label_verdicts(ends, *parts, found, i.labels)
 
 
 def index_size(spark: SparkSession, d: str) -> DataFrame:
