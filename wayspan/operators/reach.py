@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wayspan.operators.blocks import as_of, by_cells
-from wayspan.session import cut, drop, small
+from wayspan.operators.sweep import passages, swept
+from wayspan.session import cut, small
 
 DAY = 86_400
 #: Rounds after which a fixpoint is taken to be broken; each round is a change of place, of which a path has few.
 MOST_ROUNDS = 500
+#: Queries of a block that one task answers.
+PASSAGE_LANES = 512
 
 
 def _sized(df: DataFrame) -> tuple[DataFrame, int]:
@@ -220,26 +223,11 @@ def fastest(sources: DataFrame, edges: DataFrame) -> DataFrame:
     at one vertex only such are kept as no other leaves later and arrives no later. Labels that come
     back to the source are dropped, since leaving it anew is no slower. Input as for earliest_arrival.
     """
-    times, ask = _Timetable(edges), _asked(sources)
-    until = ask.select("qid", "source", "t_end")
-
-    def kept(labels: DataFrame) -> DataFrame:
-        best = labels.groupBy("qid", "vertex", "leave").agg(F.min(F.struct("arrival", "fresh")).alias("x")).select("qid", "vertex", "leave", "x.*")
-        later = W.partitionBy("qid", "vertex").orderBy(F.desc("leave")).rowsBetween(W.unboundedPreceding, -1)
-        return best.withColumn("_m", F.min("arrival").over(later)).where("_m IS NULL OR arrival < _m").drop("_m")
-
-    cells = by_cells(ask, F.greatest("t_start", F.lit(times.first)), F.least(F.col("t_end"), F.lit(times.last)) + 1, times.width)
-    first = cells.join(times.edge.withColumnRenamed("src", "source"), ["source", "_cell"]).where("depart BETWEEN t_start AND t_end AND _then <= t_end AND dst <> source")
-    start = first.select("qid", F.col("dst").alias("vertex"), F.col("depart").alias("leave"), F.col("_then").alias("arrival"), F.lit(True).alias("fresh"))
-    state = cut(kept(start))
-    for _ in range(MOST_ROUNDS):
-        fresh, n = _sized(state.where("fresh").drop("fresh"))
-        if not n:
-            return state.groupBy("qid", "vertex").agg(F.min(F.col("arrival") - F.col("leave")).alias("seconds"))
-        step = times.onward(fresh.join(until, "qid")).where("vertex <> source").select("qid", "vertex", "leave", "arrival", F.lit(True).alias("fresh"))
-        before, state = state, cut(kept(state.withColumn("fresh", F.lit(False)).unionByName(step)))
-        drop(before, fresh)
-    raise RuntimeError("no fixpoint was reached")
+    edge = edges.select("src", "dst", F.col("depart").alias("t"), "duration").dropna().where("duration >= 0")
+    edge = edge.groupBy(F.col("src").alias("a"), F.col("dst").alias("b"), "t").agg((F.col("t") + F.min("duration")).alias("till"))
+    lanes = _asked(sources).select("qid", F.col("source").alias("who"), F.col("source").alias("goal"), F.col("t_start").alias("start"), F.col("t_start").alias("low"), F.col("t_end").alias("until"))
+    got = swept(*[df.select(*[F.col(c).cast("bigint") for c in df.columns]) for df in (lanes, cut(edge))], passages, "qid bigint, vertex bigint, seconds bigint", PASSAGE_LANES)
+    return got.groupBy("qid", "vertex").agg(F.min("seconds").alias("seconds"))
 
 
 def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = 3_600) -> DataFrame:
