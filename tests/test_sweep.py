@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from graph_brute import wedge
 
 from wayspan.operators import reach
 
@@ -42,3 +44,59 @@ def test_fastest_in_blocks(spark, rows, monkeypatch, seed, lanes, day):
     want = passages(asks, edges)
     assert len(want) > 20
     assert rows(reach.fastest(spark.createDataFrame(asks, WINDOW), spark.createDataFrame(edges, EDGE))) == want
+
+
+VISIT = "u bigint, v bigint, ts bigint, te bigint"
+QUERY = "qid bigint, u bigint, w bigint, q_start bigint, q_end bigint"
+
+
+def wedge_rows(spark, visits, asks, width=7):
+    got = reach.wedge_reachable(spark.createDataFrame(asks, QUERY), spark.createDataFrame(visits, VISIT), width)
+    return [r["reachable"] for r in got.orderBy("qid").collect()]
+
+
+def crowd(seed, n_u, n_v, n, width):
+    r, out = random.Random(seed), []
+    for u in range(n_u):
+        t = r.randint(0, width)
+        for _ in range(n):
+            t += r.choice([0, 0, 1, 5])
+            d = r.randint(1, width)
+            out.append((u, min(r.randint(0, n_v - 1), r.randint(0, n_v - 1)), t, t + d))
+            t += d
+    top = max(x[3] for x in out)
+    asks = [(k, r.randint(0, n_u), r.randint(0, n_u - 1), *sorted((r.randint(0, top), r.randint(0, top + 5)))) for k in range(60)]
+    return out, asks
+
+
+def test_wedge_over_more_visitors_than_rounds(spark, monkeypatch):
+    monkeypatch.setattr(reach, "MOST_ROUNDS", 3)
+    visits = []
+    for k in range(40):  # k meets k + 1 at place k
+        visits += [(k, k, 10 * k, 10 * k + 5), (k + 1, k, 10 * k + 2, 10 * k + 6)]
+    asks = [(0, 0, 40, 0, 396), (1, 0, 40, 0, 395), (2, 40, 0, 0, 500), (3, 0, 40, 5, 500)]
+    assert wedge_rows(spark, visits, asks) == [True, False, False, False]
+
+
+@pytest.mark.parametrize("seed, lanes, width", [(0, 1_024, 7), (1, 7, 3)])
+def test_wedge_in_blocks(spark, monkeypatch, seed, lanes, width):
+    monkeypatch.setattr(reach, "WEDGE_LANES", lanes, raising=False)
+    visits, asks = crowd(seed, 8, 3, 6, 9)
+    want = [wedge(visits, *q[1:]) for q in asks]
+    assert 10 < sum(want) < 50
+    assert wedge_rows(spark, visits, asks, width) == want
+
+
+@pytest.mark.parametrize("seed, n_u, n_v, n, width", [(0, 60, 2, 10, 40), (1, 120, 1, 4, 300), (2, 40, 5, 12, 6)])
+def test_sets_of_crowded_places_are_united(seed, n_u, n_v, n, width):
+    from wayspan.operators.sweep import wedges
+
+    visits, asks = crowd(seed, n_u, n_v, n, width)
+    asks = [q for q in asks if q[1] != q[2]] * 2
+    rows = sorted((ts, u, v, te) for u, v, ts, te in visits)
+    parts = [[np.array(c) for c in zip(*rows[k : k + 50])] for k in range(0, len(rows), 50)]
+    lanes = [np.array(c) for c in zip(*[(k, u, w, low, high) for k, (_, u, w, low, high) in enumerate(asks)])]
+    yes = {int(k) for out in wedges(*lanes, parts) for k in out[0]}
+    want = [wedge(visits, *q[1:]) for q in asks[: len(asks) // 2]] * 2
+    assert 0 < sum(want) < len(want)
+    assert [k in yes for k in range(len(asks))] == want

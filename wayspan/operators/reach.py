@@ -7,17 +7,17 @@ so a lost executor costs at most a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wayspan.operators.blocks import as_of, by_cells
-from wayspan.operators.sweep import passages, swept
+from wayspan.operators.sweep import passages, swept, wedges
 from wayspan.session import cut, small
 
 DAY = 86_400
 #: Rounds after which a fixpoint is taken to be broken; each round is a change of place, of which a path has few.
 MOST_ROUNDS = 500
 #: Queries of a block that one task answers.
-PASSAGE_LANES = 512
+PASSAGE_LANES, WEDGE_LANES = 512, 1_024
 
 
 def _sized(df: DataFrame) -> tuple[DataFrame, int]:
@@ -123,20 +123,15 @@ def reachable(queries: DataFrame, visits: DataFrame, ends: DataFrame) -> DataFra
     return asked.join(yes.withColumn("_yes", F.lit(True)), "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
 
 
-def _improve(state: DataFrame, step, keys: list[str], value: str, least: bool = True, answered=None) -> DataFrame:
+def _improve(state: DataFrame, step, keys: list[str], value: str, least: bool = True) -> DataFrame:
     """Label correcting: state and what step() makes of its last improvements, until none is left.
 
-    The better value is the least, or else the greatest. answered(fresh) tells the qids that need go
-    no further; their rows so far are in the result.
+    The better value is the least, or else the greatest.
     """
     agg = F.min if least else F.max
     fresh, n = _sized(state.groupBy(*keys).agg(agg(value).alias(value)))
     parts = [fresh]
     for _ in range(MOST_ROUNDS):
-        if n and answered is not None:
-            done, n_done = _sized(answered(fresh))
-            if n_done:
-                fresh, n = _sized(fresh.join(small(done), "qid", "left_anti"))
         if n:
             fresh, n = _news(step(fresh).groupBy(*keys).agg(agg(value).alias(value)), parts, keys, value, least)
             parts.append(fresh)
@@ -230,7 +225,7 @@ def fastest(sources: DataFrame, edges: DataFrame) -> DataFrame:
     return got.groupBy("qid", "vertex").agg(F.min("seconds").alias("seconds"))
 
 
-def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = 3_600) -> DataFrame:
+def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = DAY) -> DataFrame:
     """qid and reachable by the stricter meaning: who receives can pass on only in later visits.
 
     visits: u, v, ts, te, clipped. A carrier passes to a receiver whose visit overlaps its own and
@@ -238,52 +233,20 @@ def wedge_reachable(queries: DataFrame, visits: DataFrame, width: int = 3_600) -
     source may use a visit in progress at q_start, if it ends after it. u = w is true where the window
     isn't reversed; nulls and unknown ids are false.
 
-    No pairs of visits are made: in each round the carriers' visits of a query are united within
-    (place, cell of time), and every visit of that cell that overlaps the union receives. What ends
-    after the last visit of w that ends by q_end is of no use, and a query without one that ends after the
-    source's first start is not followed.
+    No pairs of visits are made: visits are taken once in order of time, for a block of queries at a time
+    (sweep.wedges). What ends after the last visit of w that ends by q_end is of no use, and a query without
+    one that ends after the source's first start is not followed. width: seconds of the cells by which visits find
+    their blocks.
     """
     ask = cut(clean_queries(queries))
-    last = visits.agg(F.max("ts")).first()[0] or 0  # an overlap starts where a visit does
-    end = F.least(F.col("te"), F.lit(last + 1))
-    tiles = cut(by_cells(visits.select("u", "v", "ts", "te"), F.col("ts"), end, width))
-    days = cut(visits.select("u", "v", "ts", "te", F.floor(F.col("ts") / F.lit(DAY)).cast("bigint").alias("_cell")))
-    first = cut(_of_source(ask, visits))
-    goal = as_of(ask.select("qid", "w", F.col("w").alias("u"), "q_end"), visits, ["u"], "q_end", "te", "_last").join(first.groupBy("qid").agg(F.min("ts").alias("_low")), "qid")
-    until = cut(goal.where("_last > _low").select("qid", "w", F.col("_last").alias("q_end")))
-
-    def passed(carried: DataFrame) -> DataFrame:
-        """Receivers of the carriers' visits qid, v, ts, te, q_end."""
-        low, high = F.col("_cell") * width, (F.col("_cell") + 1) * width
-        part = by_cells(carried, F.col("ts"), end, width).select("qid", "q_end", "v", "_cell", F.greatest("ts", low).alias("_s"), F.least("te", high).alias("_e")).distinct()
-        group = W.partitionBy("qid", "v", "_cell").orderBy("_s")
-        part = part.withColumn("_m", F.max("_e").over(group.rowsBetween(W.unboundedPreceding, -1)))
-        part = part.withColumn("_g", F.sum(F.when(F.col("_m").isNull() | (F.col("_s") > F.col("_m")), 1).otherwise(0)).over(group.rowsBetween(W.unboundedPreceding, 0)))
-        union = part.groupBy("qid", "q_end", "v", "_cell", "_g").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
-        got = union.join(tiles, ["v", "_cell"]).where("_s < te AND ts < _e AND te <= q_end")
-        return got.select("qid", F.col("u").alias("who"), F.col("te").alias("ready"))
-
-    start = passed(first.drop("q_end").join(until, "qid").where("ts < q_end").select("qid", "q_end", "v", "ts", "te"))
-
-    def step(fresh: DataFrame) -> DataFrame:
-        rows = fresh.join(until.select("qid", "q_end"), "qid")
-        rows = by_cells(rows.withColumn("_to", F.least(F.col("q_end"), F.lit(last + 1))), F.col("ready"), F.col("_to"), DAY)
-        rows = rows.withColumnRenamed("who", "u").join(days, ["u", "_cell"]).where("ts >= ready AND ts < q_end")
-        return passed(rows.select("qid", "q_end", "v", "ts", "te"))
-
-    answered = lambda fresh: fresh.join(until.select("qid", F.col("w").alias("who")), ["qid", "who"]).select("qid").distinct()
-    got = _improve(start, step, ["qid", "who"], "ready", answered=answered)
-    yes = got.join(until, "qid").where("who = w").select("qid").unionAll(ask.where("u = w").select("qid")).distinct()
+    seen = visits.select("u", "ts", "te")
+    low = as_of(ask.where("q_start < q_end").select("qid", "u", "q_start", "q_end", (F.col("q_start") + 1).alias("_from")), seen, ["u"], "_from", "te", "te", forward=True)
+    low = low.join(seen, ["u", "te"]).where("ts < q_end").select("qid", "u", "q_start", "q_end", F.col("ts").alias("low"))
+    last = as_of(ask.select("qid", F.col("w").alias("u"), "q_start", "q_end"), seen, ["u"], "q_end", "te", "until").withColumnRenamed("u", "goal")
+    lanes = low.join(last, ["qid", "q_start", "q_end"]).where("until > low")
+    lanes = lanes.select("qid", F.col("u").alias("who"), "goal", F.col("q_start").alias("start"), "low", "until")
+    rows = visits.select(F.col("ts").alias("t"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("te").alias("till"))
+    got = swept(cut(lanes), rows, wedges, "qid bigint", WEDGE_LANES, spans=True, width=width)
+    yes = got.unionAll(ask.where("u = w").select("qid")).distinct()
     asked = queries.select(F.col("qid").cast("bigint")).distinct()
     return asked.join(yes.withColumn("_yes", F.lit(True)), "qid", "left").select("qid", F.coalesce("_yes", F.lit(False)).alias("reachable"))
-
-
-def _of_source(ask: DataFrame, visits: DataFrame) -> DataFrame:
-    """Visits of each query's u that end after q_start and start before q_end: the one under way at q_start by an as-of look-up, the others by day."""
-    rows = visits.select("u", "v", "ts", "te")
-    first, last = (x or 0 for x in rows.agg(F.min("ts"), F.max("ts")).first())
-    ask = ask.where("q_start < q_end").select("qid", "u", "q_start", "q_end")
-    under = as_of(ask, rows, ["u"], "q_start", "ts", "ts").join(rows, ["u", "ts"]).where("ts < q_start AND te > q_start")
-    begun = by_cells(ask, F.greatest("q_start", F.lit(first)), F.least(F.col("q_end"), F.lit(last + 1)), DAY)
-    begun = begun.join(rows.withColumn("_cell", F.floor(F.col("ts") / F.lit(DAY)).cast("bigint")), ["u", "_cell"]).where("ts >= q_start AND ts < q_end")
-    return under.select("qid", "q_end", "v", "ts", "te").unionByName(begun.select("qid", "q_end", "v", "ts", "te"))
